@@ -10,7 +10,10 @@ def round_to(value: Column | str, digits: int) -> Column:
     """Round half up with plain double arithmetic, the same in every engine."""
     value = F.col(value) if isinstance(value, str) else value
     scale = float(10**digits)
-    return F.floor(value * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    shifted = value * F.lit(scale) + F.lit(0.5)
+    # from 2^53 on a double has no fraction, and floor's bigint would not hold it
+    whole = F.when(F.abs(shifted) < F.lit(2.0**53), F.floor(shifted)).otherwise(shifted)
+    return whole / F.lit(scale)
 
 
 def money_sum(value: Column | str) -> Column:

@@ -86,7 +86,7 @@ def delay_predictions(orders: DataFrame, suppliers: DataFrame, now: Column) -> D
     ).withColumn("days_remaining", remaining)
     known = suppliers.select(
         "supplier_id", F.col("name").alias("_name"), "trust_score", "avg_delay_days", F.lit(True).alias("_known"))
-    # a known supplier without a score is not trusted at all; an unknown one gets the default
+    # a known supplier without a score counts as fully trusted; an unknown one gets the default
     trust = F.when(F.col("_known"), F.coalesce("trust_score", F.lit(1.0))).otherwise(0.7)
     mean = F.coalesce("avg_delay_days", F.lit(0.0))
     left = F.col("days_remaining")

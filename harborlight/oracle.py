@@ -253,6 +253,7 @@ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM eve
 TABLES["audit_log"] = """
 SELECT event_id AS id, ts AS created_at, sha256('E' || event_id) AS row_hash,
        CASE WHEN event_id = 0 THEN repeat('0', 64) WHEN event_id % 997 = 5 THEN sha256('X' || event_id)
+            WHEN event_id % 991 = 7 THEN sha256('E' || (event_id - 2))
             ELSE sha256('E' || (event_id - 1)) END AS prev_hash
 FROM events
 """
