@@ -283,6 +283,8 @@ def compose(body: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{name} AS ({TABLES[name].strip()})" for name in needed)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
