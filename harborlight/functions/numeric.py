@@ -44,4 +44,5 @@ def to_int(value: Column, default: int = 0) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """The value held within bounds; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))

@@ -23,7 +23,8 @@ def decay_risk(orders: DataFrame, newest: Column) -> DataFrame:
     """
     seconds = F.unix_seconds(newest.cast("timestamp")) - F.unix_seconds(
         F.col("expected_delivery").cast("timestamp"))
-    age = F.coalesce(F.greatest(seconds / F.lit(86400.0), F.lit(0.0)), F.lit(UNKNOWN_AGE))
+    # greatest skips nulls, so the unknown date is asked for first
+    age = F.when(seconds.isNull(), UNKNOWN_AGE).otherwise(F.greatest(seconds / F.lit(86400.0), F.lit(0.0)))
     weight = F.exp(-age / F.lit(DECAY_DAYS))
     late = F.when(rules.is_late(F.col("delay_days")), weight).otherwise(0.0)
     sums = orders.filter(F.col("supplier_id").isNotNull()).groupBy("supplier_id").agg(

@@ -36,7 +36,8 @@ SELECT supplier_id, total_orders, {rnd('late / greatest(weight, 1e-9::DOUBLE)',
        {rnd('greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - 1 / sqrt(total_orders::DOUBLE)))', 3)} AS confidence
 FROM (SELECT supplier_id, count(*) AS total_orders, sum(w) AS weight,
              sum(CASE WHEN delay_days > 0 THEN w ELSE 0 END) AS late, sum(delay_days) AS delays
-      FROM (SELECT *, exp(-coalesce(greatest(date_diff('second', expected_delivery, now) / 86400.0::DOUBLE, 0.0::DOUBLE), 180.0::DOUBLE) / 90.0::DOUBLE) AS w
+      FROM (SELECT *, exp(-CASE WHEN expected_delivery IS NULL THEN 180.0::DOUBLE
+                       ELSE greatest(date_diff('second', expected_delivery, now) / 86400.0::DOUBLE, 0.0::DOUBLE) END / 90.0::DOUBLE) AS w
             FROM silver_orders, anchor) GROUP BY 1)"""
 
 

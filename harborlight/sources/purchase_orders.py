@@ -26,7 +26,8 @@ STOCK_MOVEMENT = """
 def parse(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """JSON lines to nested rows, other columns kept."""
     others = [c for c in lines.columns if c != value]
-    return lines.select(*others, F.from_json(value, schema).alias("_r")).select(*others, "_r.*")
+    # inline keeps later filters above the parsing, which so runs once per line
+    return lines.select(*others, F.inline(F.array(F.from_json(value, schema))))
 
 
 def _or_empty(c: str) -> Column:

@@ -92,8 +92,8 @@ def valid(events: DataFrame) -> DataFrame:
 def parse_json(messages: DataFrame, value: str = "value") -> DataFrame:
     """JSON text to typed events; text that is no JSON leaves every field null."""
     parsed = F.from_json(F.col(value).cast("string"), EVENT_SCHEMA, {"mode": "PERMISSIVE"})
-    return messages.withColumn("_event", parsed).select(*[
-        c for c in messages.columns], "_event.*")
+    # inline keeps later filters above the parsing, which so runs once per message
+    return messages.select(*messages.columns, F.inline(F.array(parsed)))
 
 
 def dead_letters(events_with_errors: DataFrame, failed_at: Column) -> DataFrame:
