@@ -260,11 +260,11 @@ def label_encode(t):
 
 @query("score_drift", "F12", f"""
 SELECT month, CAST(n AS BIGINT) AS rows, auc AS roc_auc, {rnd('lag(auc) OVER (ORDER BY month) - auc', 4)} AS drop_vs_previous,
-       {rnd('first_value(auc) OVER (ORDER BY month) - auc', 4)} AS drop_vs_first,
-       {rnd('first_value(auc) OVER (ORDER BY month) - auc', 4)} > 0.05 AS retrain,
-       CASE WHEN auc < 0.6 THEN 'BELOW_FLOOR' WHEN n < 100 THEN 'TOO_FEW_ROWS'
+       {rnd('first_value(auc IGNORE NULLS) OVER (ORDER BY month) - auc', 4)} AS drop_vs_first,
+       coalesce({rnd('first_value(auc IGNORE NULLS) OVER (ORDER BY month) - auc', 4)} > 0.05, false) AS retrain,
+       CASE WHEN auc IS NULL OR auc < 0.6 THEN 'BELOW_FLOOR' WHEN n < 100 THEN 'TOO_FEW_ROWS'
             WHEN auc <= lag(auc) OVER (ORDER BY month) THEN 'NOT_BETTER' ELSE 'CANDIDATE' END AS promotion
-FROM (SELECT month, n, {rnd('(rank_sum - p * (p + 1) / 2.0::DOUBLE) / (p::DOUBLE * (n - p))', 4)} AS auc
+FROM (SELECT month, n, {rnd('(rank_sum - p * (p + 1) / 2.0::DOUBLE) / nullif(p::DOUBLE * (n - p), 0)', 4)} AS auc
   FROM (SELECT month, count(*) AS n, count(*) FILTER (WHERE late) AS p, sum(avg_rank) FILTER (WHERE late) AS rank_sum
     FROM (SELECT month, late, rank() OVER (PARTITION BY month ORDER BY score)
                  + (count(*) OVER (PARTITION BY month, score) - 1) / 2.0::DOUBLE AS avg_rank
