@@ -32,9 +32,23 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
+# a plain decimal number, blanks around it allowed
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def number(value: Column) -> Column:
+    """Text to double, null for what is no number.
+
+    The pattern is asked first: a failing cast raises and catches an exception
+    per cell, which is far dearer than a match when many cells are bad.
+    """
+    text = value.cast("string")
+    return F.when(F.rlike(text, F.lit(NUMBER)), text.try_cast("double"))
+
+
 def to_double(value: Column, default: float) -> Column:
     """Lenient number: text that is no number becomes the default."""
-    return F.coalesce(value.cast("string").try_cast("double"), F.lit(default))
+    return F.coalesce(number(value), F.lit(default))
 
 
 def to_int(value: Column, default: int = 0) -> Column:

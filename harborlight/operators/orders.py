@@ -88,45 +88,39 @@ def coerce_orders(df: DataFrame, today: Column) -> DataFrame:
         given = F.nullif(F.trim(F.col(name).cast("string")), F.lit(""))
         return F.coalesce(given, default)
 
-    quantity = F.greatest(F.lit(1), numeric.to_int(F.col("quantity"), 1))
-    price = F.greatest(F.lit(0.0), numeric.to_double(F.col("unit_price"), 0.0))
-    rows = (
-        df.withColumn("order_id", F.trim(F.col("order_id").cast("string")))
-        .filter(F.col("order_id") != "")
-        .withColumn("quantity", quantity)
-        .withColumn("_price", price)
-    )
-    bill = F.col("_price") * F.col("quantity")
-    given_value = F.greatest(
-        F.lit(0.0), F.coalesce(F.col("order_value").cast("string").try_cast("double"), bill)
+    # each text cell is read once; inline keeps Spark from repeating that per use
+    cells = F.struct(
+        F.trim(F.col("order_id").cast("string")).alias("_id"),
+        F.greatest(F.lit(1), numeric.to_int(F.col("quantity"), 1)).alias("_quantity"),
+        F.greatest(F.lit(0.0), numeric.to_double(F.col("unit_price"), 0.0)).alias("_price"),
+        numeric.number(F.col("order_value")).alias("_value"),
+        F.greatest(F.lit(0), numeric.to_int(F.col("delay_days"), 0)).alias("_delay"),
+        F.upper(F.nullif(F.col("status").cast("string"), F.lit(""))).alias("_given_status"),
     )
+    rows = df.select("*", F.inline(F.array(cells))).filter(F.col("_id") != "")
+    bill = F.col("_price") * F.col("_quantity")
+    given_value = F.greatest(F.lit(0.0), F.coalesce("_value", bill))
     value = F.when((given_value == 0) & (F.col("_price") > 0), bill).otherwise(given_value)
-    delay = F.greatest(F.lit(0), numeric.to_int(F.col("delay_days"), 0))
-    status = F.upper(
-        F.coalesce(
-            F.nullif(F.col("status").cast("string"), F.lit("")),
-            F.when(F.col("delay_days") > 0, "DELAYED").otherwise("PENDING"),
-        )
-    )
+    status = F.coalesce(
+        "_given_status", F.when(F.col("_delay") > 0, "DELAYED").otherwise("PENDING"))
     inventory = (
         numeric.clamp(numeric.to_double(F.col("inventory_level"), 80.0), 0.0, 100.0)
         if "inventory_level" in df.columns
         else F.lit(80.0)
     )
     return (
-        rows.withColumn("delay_days", delay)
-        .withColumn("_status", status)
+        rows.withColumn("_status", status)
         .select(
-            "order_id",
+            F.col("_id").alias("order_id"),
             text("supplier_id").alias("supplier_id"),
             text("product").alias("product"),
             text("region").alias("region"),
-            "quantity",
+            F.col("_quantity").alias("quantity"),
             numeric.round_to("_price", 2).alias("unit_price"),
             numeric.round_to(value, 2).alias("order_value"),
             stamp("expected_delivery", today).alias("expected_delivery"),
             stamp("actual_delivery", F.lit(None).cast("string")).alias("actual_delivery"),
-            "delay_days",
+            F.col("_delay").alias("delay_days"),
             F.when(F.col("_status").isin(rules.ORDER_STATUSES), F.col("_status"))
             .otherwise("PENDING").alias("status"),
             inventory.alias("inventory_level"),

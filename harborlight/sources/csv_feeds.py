@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborlight.functions.aliases import rename_known
-from harborlight.functions.numeric import round_to
+from harborlight.functions.numeric import number, round_to
 
 # Headers of the known feeds.
 ORDER_HEADER = [
@@ -51,7 +51,7 @@ def _text(name: str) -> Column:
 def _number(name: str) -> Column:
     """Number in a cell; an empty cell is 0, text is null."""
     cell = F.col(name)
-    return F.when(cell.isNull() | (cell == ""), F.lit(0.0)).otherwise(cell.try_cast("double"))
+    return F.when(cell.isNull() | (cell == ""), F.lit(0.0)).otherwise(number(cell))
 
 
 def _whole(name: str) -> Column:
