@@ -52,9 +52,9 @@ def degrees(edge_list: DataFrame) -> DataFrame:
 
 def degree_risk(edge_list: DataFrame) -> DataFrame:
     """Degree centrality, and the in-degree as risk where paths are not looked at."""
-    deg = degrees(edge_list)
-    n = deg.agg(F.count("*")).scalar()
-    m = edge_list.agg(F.count("*")).scalar()
+    checkpoint_root(edge_list.sparkSession)
+    deg = degrees(edge_list).checkpoint()
+    n, m = deg.agg(F.count("*")).scalar(), deg.agg(F.sum("in_degree")).scalar()
     return deg.select(
         "id", "in_degree", "out_degree",
         round_to((F.col("in_degree") + F.col("out_degree")).cast("double") / F.greatest(n - 1, F.lit(1)), 4)

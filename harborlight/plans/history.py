@@ -205,7 +205,7 @@ F_SQL = {
     f"{rnd(f'stddev_samp({c}::DOUBLE)', 3)} AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, "
     f"{rnd(f'(count(*) - count({c}))::DOUBLE / count(*)', 4)} AS null_pct FROM raw_orders" for c in NUMERIC))
 def column_profile(t):
-    return feat.profile(t.raw_orders(*NUMERIC), NUMERIC)
+    return feat.profile(t.bronze_orders(*NUMERIC), NUMERIC)
 
 
 @query("computed_features", "K17", "SELECT order_id, " + ", ".join(

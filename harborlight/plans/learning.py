@@ -8,17 +8,16 @@ from harborlight.operators import features as feat
 from harborlight.operators import learning as ops
 from harborlight.registry import query
 from harborlight.session import app_dir, path_exists
-from harborlight.sources.layers import fingerprint, materialized
 
 
 def rows(t):
     """Labelled rows, written once: training passes over them many times."""
-    return materialized(t.spark, "labelled_orders", t.folder, lambda: ops.labelled(
+    return t.layer("labelled_orders", lambda: ops.labelled(
         feat.encode(t.silver_orders(), ["supplier_id", "region"])))
 
 
 def model(t):
-    key = f"{t.folder.strip('/').replace('/', '_')}-{fingerprint(t.spark, t.folder)}"
+    key = f"{t.folder.strip('/').replace('/', '_')}-{t.state}"
     path = app_dir(t.spark, f"delay-model-{key}")
     if not path_exists(t.spark, f"{path}/metadata/_SUCCESS"):
         ops.train(rows(t)).write().overwrite().save(path)

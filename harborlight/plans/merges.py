@@ -30,13 +30,13 @@ def cut():
 
 
 def valid_rows(t):
-    raw = t.raw_orders()
+    raw = t.bronze_orders()
     return raw.filter(F.trim("order_id") != "").withColumn(
         "delay_days", F.coalesce("delay_days", F.lit(0))).filter(F.col("delay_days").between(0, 365))
 
 
 def old_orders(t):
-    return ord_ops.silver_orders(t.raw_orders().filter(F.col("expected_delivery") < cut()))
+    return ord_ops.silver_orders(t.bronze_orders().filter(F.col("expected_delivery") < cut()))
 
 
 def late_orders(t):
@@ -116,7 +116,7 @@ def dim_incremental(t):
     """Suppliers with recent orders are rebuilt; the rebuilt rows carry a new column."""
     full = sup.supplier_dimension(
         sup.staged_suppliers(t.suppliers()),
-        ord_ops.staged_orders(t.raw_orders("order_id", "supplier_id", "delay_days", "status")))
+        ord_ops.staged_orders(t.bronze_orders("order_id", "supplier_id", "delay_days", "status")))
     recent = t.silver_orders().filter(
         F.col("created_at") >= F.lit("2001-06-01").cast("timestamp_ntz")).select("supplier_id").distinct()
     old = full.select("supplier_id", "region", "trust_score", "order_count")

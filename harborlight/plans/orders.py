@@ -14,6 +14,7 @@ COLS = ", ".join(ORDER_COLUMNS)
 
 @query("silver_orders", "C02 F01 N03", f"SELECT {COLS} FROM silver_orders")
 def silver_orders(t):
+    """Straight from the raw rows, without the layer tables in between."""
     return ops.silver_orders(t.raw_orders()).select(*ORDER_COLUMNS)
 
 
@@ -21,7 +22,7 @@ def silver_orders(t):
 SELECT {COLS} FROM raw_orders
 WHERE order_id IS NOT NULL AND order_id <> '' AND delay_days >= 0 AND delay_days <= 365 AND status IN {ORDER_STATUS}""")
 def cleaned_orders(t):
-    return ops.cleaned_orders(t.raw_orders(*ORDER_COLUMNS))
+    return ops.cleaned_orders(t.bronze_orders(*ORDER_COLUMNS))
 
 
 @query("stg_orders", "B14", f"SELECT {COLS} FROM stg_orders")
@@ -83,7 +84,7 @@ def coerce_orders(t):
     def text(c):
         return F.col(c).cast("string")
 
-    foreign = t.raw_orders().select(
+    foreign = t.bronze_orders().select(
         F.concat(F.lit("  "), "order_id", F.lit(" ")).alias("order_id"),
         "supplier_id", "product", "region",
         F.when(k % 7 == 0, "many").otherwise(text("quantity")).alias("quantity"),
@@ -200,7 +201,7 @@ FROM (SELECT *, CASE WHEN delay_days > 7 THEN 'DELAY' WHEN inventory_level < 10
 WHERE deviation_type IS NOT NULL""")
 def deviations_v1(t):
     cleaned = ops.cleaned_orders(
-        t.raw_orders("order_id", "delay_days", "inventory_level", "order_value", "status"))
+        t.bronze_orders("order_id", "delay_days", "inventory_level", "order_value", "status"))
     return dev.first_match(cleaned).drop("status")
 
 

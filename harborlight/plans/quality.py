@@ -30,13 +30,13 @@ def failing(condition):
     rule_sql("expect_status_in_set", failing(
         f"status IS NULL OR (status NOT IN {ORDER_STATUS} AND status NOT IN ('CRF', 'DTD'))"), "raw_orders")]))
 def dq_suite(t):
-    return ops.run_suite(t.raw_orders(*BASIC))
+    return ops.run_suite(t.bronze_orders(*BASIC))
 
 
 @query("dq_invalid_sample", "J02", f"""
 SELECT DISTINCT status FROM raw_orders WHERE status NOT IN {ORDER_STATUS} ORDER BY 1 LIMIT 5""")
 def dq_invalid_sample(t):
-    return ops.invalid_sample(t.raw_orders("status"), "status", ops.business.ORDER_STATUSES)
+    return ops.invalid_sample(t.bronze_orders("status"), "status", ops.business.ORDER_STATUSES)
 
 
 @query("dq_expectations", "J05", "SELECT 'orders' AS suite, * FROM (" + " UNION ALL ".join([
@@ -63,7 +63,7 @@ def dq_expectations(t):
         expect("not_be_null", column="supplier_id"),
         expect("be_between", column="trust_score", min_value=0, max_value=1),
     ]}
-    first = ops.evaluate(t.raw_orders(*BASIC), ops.from_expectations(orders))
+    first = ops.evaluate(t.bronze_orders(*BASIC), ops.from_expectations(orders))
     second = ops.evaluate(t.suppliers(), ops.from_expectations(suppliers))
     return first.select(F.lit("orders").alias("suite"), "*").unionByName(
         second.select(F.lit("suppliers").alias("suite"), "*"))
@@ -91,7 +91,7 @@ def contract_sql(source, checks, anchor=""):
      "date_diff('second', max(created_at), (SELECT now FROM anchor)) / 3600.0::DOUBLE", "< 25"),
 ]))
 def dq_contract_orders(t):
-    raw = t.raw_orders("order_id", "supplier_id", "status", "delay_days", "unit_price", "quantity", "created_at")
+    raw = t.bronze_orders("order_id", "supplier_id", "status", "delay_days", "unit_price", "quantity", "created_at")
     return ops.contract(raw, ops.order_contract(t.order_anchor()))
 
 
@@ -185,7 +185,7 @@ UNION ALL SELECT 'delay_days_out_of_range', {failing('delay_days < -1 OR delay_d
 UNION ALL SELECT 'duplicate_order_ids', count(*) - (SELECT count(*) FROM (SELECT DISTINCT order_id FROM raw_orders)) FROM raw_orders
 UNION ALL SELECT 'bad_trust_score_count', {failing('trust_score < 0 OR trust_score > 1')} FROM suppliers""")
 def dq_silver_audit(t):
-    return ops.silver_audit(t.raw_orders(*BASIC)).unionByName(ops.trust_audit(t.suppliers()))
+    return ops.silver_audit(t.bronze_orders(*BASIC)).unionByName(ops.trust_audit(t.suppliers()))
 
 
 @query("dq_formulas", "J10", f"""
@@ -228,7 +228,7 @@ SELECT unnest(['unit_price', 'delay_days']) AS missing_column, count(*) AS rows
 def schema_drift(t):
     """An order file that came without two of the required columns."""
     came = [c for c in ord_ops.REQUIRED_ORDER_COLUMNS if c not in ("unit_price", "delay_days")]
-    return ops.missing_columns(t.raw_orders(*came), ord_ops.REQUIRED_ORDER_COLUMNS)
+    return ops.missing_columns(t.bronze_orders(*came), ord_ops.REQUIRED_ORDER_COLUMNS)
 
 
 @query("dq_freshness", "J12 E25")

@@ -39,7 +39,7 @@ FROM stg_suppliers s LEFT JOIN (
 def supplier_dimension(t):
     return ops.supplier_dimension(
         ops.staged_suppliers(t.suppliers()),
-        ord_ops.staged_orders(t.raw_orders("order_id", "supplier_id", "delay_days", "status")),
+        ord_ops.staged_orders(t.bronze_orders("order_id", "supplier_id", "delay_days", "status")),
     )
 
 
@@ -57,7 +57,7 @@ SELECT count(*) AS total_shipments, {money('order_value')} AS pipeline_value,
        (SELECT now FROM anchor) AS refreshed_at
 FROM fct_shipments""")
 def control_tower(t):
-    facts = ord_ops.shipments(ord_ops.staged_orders(t.raw_orders(
+    facts = ord_ops.shipments(ord_ops.staged_orders(t.bronze_orders(
         "order_id", "order_value", "expected_delivery", "actual_delivery", "delay_days", "status")))
     return alerts.control_tower(facts).withColumn("refreshed_at", t.order_anchor())
 
@@ -210,7 +210,7 @@ FROM stg_suppliers s LEFT JOIN (
   SELECT supplier_id, count(*) AS n, count(*) FILTER (WHERE delay_days > 0) AS late, sum(delay_days) AS delay
   FROM stg_orders WHERE created_at >= TIMESTAMP '2001-01-01' GROUP BY 1) b ON b.supplier_id = s.supplier_id""")
 def supplier_stats_merge(t):
-    batch = t.raw_orders("order_id", "supplier_id", "delay_days", "status", "created_at")
+    batch = t.bronze_orders("order_id", "supplier_id", "delay_days", "status", "created_at")
     batch = ord_ops.staged_orders(batch).filter(F.col("created_at") >= F.lit("2001-01-01").cast("timestamp_ntz"))
     return ops.merge_statistics(ops.staged_suppliers(t.suppliers()), batch)
 

@@ -15,7 +15,7 @@ from harborlight.functions.numeric import round_to
 from harborlight.operators import deviations as dev
 from harborlight.operators import orders as ord_ops
 from harborlight.operators import suppliers as sup
-from harborlight.sources.layers import materialized
+from harborlight.sources.layers import fingerprint, materialized
 
 RAW_COLUMNS = [
     "order_id", "supplier_id", "product", "region", "quantity", "unit_price", "order_value",
@@ -39,6 +39,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._state: str | None = None
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -46,6 +47,16 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    @property
+    def state(self) -> str:
+        """What the files below the folder look like; listed once per query."""
+        if self._state is None:
+            self._state = fingerprint(self.spark, self.folder)
+        return self._state
+
+    def layer(self, name: str, build) -> DataFrame:
+        return materialized(self.spark, name, self.folder, build, self.state)
+
     # -- orders -----------------------------------------------------------
 
     def order_anchor(self) -> Column:
@@ -115,15 +126,16 @@ class Tables:
         )
         return facts.select(*[exprs[c].alias(c) for c in wanted])
 
+    def bronze_orders(self, *columns: str) -> DataFrame:
+        """The raw order rows, read from their layer table."""
+        return self.layer("bronze_orders", self.raw_orders).select(*(columns or RAW_COLUMNS))
+
     def silver_orders(self) -> DataFrame:
         """The cleaned, one-row-per-id orders, read from their layer table."""
-        return materialized(
-            self.spark, "silver_orders", self.folder,
-            lambda: ord_ops.silver_orders(self.raw_orders()),
-        )
+        return self.layer("silver_orders", lambda: ord_ops.silver_orders(self.bronze_orders()))
 
     def staged_orders(self) -> DataFrame:
-        return ord_ops.staged_orders(self.raw_orders(*ORDER_COLUMNS))
+        return ord_ops.staged_orders(self.bronze_orders(*ORDER_COLUMNS))
 
     # -- suppliers and networks -------------------------------------------
 
@@ -182,7 +194,11 @@ class Tables:
         )
 
     def plant_ports(self) -> DataFrame:
-        """Which plant ships to which port; key pairs are made distinct before names join."""
+        """Which plant ships to which port, read from its layer table."""
+        return self.layer("plant_ports", self.derive_plant_ports)
+
+    def derive_plant_ports(self) -> DataFrame:
+        """Key pairs are made distinct before the names are joined."""
         pairs = (
             self.base("lineitem").select("l_orderkey", "l_suppkey")
             .join(self.base("orders").select("o_orderkey", "o_custkey"),

@@ -40,14 +40,16 @@ def fingerprint(spark: SparkSession, folder: str) -> str:
 
 
 def materialized(
-    spark: SparkSession, name: str, folder: str, build: Callable[[], DataFrame]
+    spark: SparkSession, name: str, folder: str, build: Callable[[], DataFrame], state: str | None = None
 ) -> DataFrame:
     """A layer table built once per input state and read back by every later job.
 
     Writing it cuts the lineage, so a lost executor re-reads files instead of
-    repeating the joins, and later scans prune columns in Parquet.
+    repeating the joins, and later scans prune columns in Parquet. ``state`` is
+    the folder's fingerprint where the caller has it already.
     """
-    key = (spark.sparkContext.applicationId, name, f"{folder}@{fingerprint(spark, folder)}")
+    state = state or fingerprint(spark, folder)
+    key = (spark.sparkContext.applicationId, name, f"{folder}@{state}")
     path = _BUILT.get(key)
     if path is None or not path_exists(spark, path + "/_SUCCESS"):
         path = run_dir(spark, f"layer-{name}")
