@@ -19,6 +19,11 @@ REQUIRED_ORDER_COLUMNS = [
     "unit_price", "order_value", "status", "delay_days",
 ]
 
+CANONICAL_ORDER_COLUMNS = [
+    "order_id", "supplier_id", "product", "region", "quantity", "unit_price", "order_value",
+    "expected_delivery", "actual_delivery", "delay_days", "status", "inventory_level", "created_at",
+]
+
 
 def silver_orders(raw: DataFrame, order: Sequence[str] = ARRIVAL_ORDER) -> DataFrame:
     """Valid rows, unknown delay as 0, one row per order id."""
@@ -72,7 +77,7 @@ def open_orders(orders: DataFrame) -> DataFrame:
 def coerce_orders(df: DataFrame, today: Column) -> DataFrame:
     """Foreign order rows to the canonical columns: defaults, clamps, status fallback.
 
-    A table without the required columns yields no rows.
+    A table without the required columns yields no rows. Columns of its own stay.
     """
     if not set(REQUIRED_ORDER_COLUMNS) <= set(df.columns):
         return df.limit(0)
@@ -125,6 +130,7 @@ def coerce_orders(df: DataFrame, today: Column) -> DataFrame:
             .otherwise("PENDING").alias("status"),
             inventory.alias("inventory_level"),
             stamp("created_at", today).alias("created_at"),
+            *[F.col(f"`{c}`") for c in df.columns if c not in CANONICAL_ORDER_COLUMNS],
         )
     )
 
@@ -160,6 +166,24 @@ def serving_orders(gold: DataFrame, synced_at: Column) -> DataFrame:
     )
 
 
+def serving_deviations(gold: DataFrame, synced_at: Column) -> DataFrame:
+    """Gold deviations in the shape of the serving table."""
+    return gold.select(
+        "deviation_id", "order_id", "severity",
+        F.coalesce("deviation_type", F.lit("DELAY")).alias("type"),
+        synced_at.alias("detected_at"), F.lit(False).alias("executed"), synced_at.alias("created_at"),
+    )
+
+
+def serving_suppliers(risk: DataFrame, synced_at: Column) -> DataFrame:
+    """Supplier risk in the shape of the serving table; names and regions are not known there."""
+    return risk.select(
+        "supplier_id", F.col("supplier_id").alias("name"), F.lit("NA").alias("region"), "trust_score",
+        "total_orders", "delayed_orders", "avg_delay_days",
+        synced_at.alias("created_at"), synced_at.alias("updated_at"),
+    )
+
+
 def unit_price(value: Column, quantity: Column) -> Column:
     """Value per piece; a quantity of 0 counts as 1."""
     return value / F.when(quantity == 0, 1).otherwise(quantity)

@@ -142,3 +142,36 @@ def dlq_split(t):
     from harborlight.streaming.validation import dead_letters, with_errors
 
     return dead_letters(with_errors(t.stream_events()), t.event_anchor()).select("event_id", "error", "context")
+
+
+_COUNT = "SELECT '{}' AS layer, count(*) AS rows FROM {}"
+
+
+@query("medallion_run", "N03 A11 A12 A13 N05 J04 K04 E05", " UNION ALL ".join([
+    _COUNT.format("bronze/orders", "raw_orders"),
+    _COUNT.format("silver/orders", "silver_orders"),
+    _COUNT.format("silver/freight_rates", "freight_silver"),
+    _COUNT.format("silver/wh_capacities", "wh_silver"),
+    "SELECT 'quality/orders', 3",
+    _COUNT.format("gold/orders_ai_ready", "silver_orders"),
+    _COUNT.format("gold/deviations", "silver_orders WHERE delay_days > 0"),
+    _COUNT.format("gold/supplier_risk", "supplier_risk"),
+    _COUNT.format("gold/forecasted_risks", "risks"),
+    "SELECT 'gold/demand_forecast', 30",
+]))
+def medallion_run(t):
+    """The batch job over two loads, the older orders first, then the later ones."""
+    from harborlight.medallion import LAYERS, Medallion
+    from harborlight.session import run_dir
+
+    job = Medallion(t.spark, run_dir(t.spark, "medallion"), t.order_anchor())
+    bronze = t.bronze_orders()
+    day = F.date_trunc("YEAR", F.col("created_at"))
+    for load in (bronze.filter(F.col("expected_delivery") < cut()), bronze.filter(F.col("expected_delivery") >= cut())):
+        job.run(load, t.freight_rates(), t.wh_capacities(), day)
+    job.maintain()
+    out = None
+    for layer in LAYERS:
+        rows = job.read(layer).groupBy(F.lit(layer).alias("layer")).agg(F.count("*").alias("rows"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from harborlight.functions import numeric, rules
 from harborlight.operators import deviations as dev
 from harborlight.operators import orders as ops
+from harborlight.operators.suppliers import supplier_risk
 from harborlight.oracle import ORDER_STATUS, rnd
 from harborlight.registry import query
 from harborlight.sources.derived import ORDER_COLUMNS
@@ -158,6 +159,22 @@ def serving_orders(t):
     return ops.serving_orders(t.silver_orders(), t.order_anchor())
 
 
+@query("serving_deviations", "A19", """
+SELECT 'GOLD-' || order_id || '-' || CASE WHEN delay_days > 7 THEN 'DELAY' ELSE 'MINOR_DELAY' END AS deviation_id, order_id,
+       CASE WHEN delay_days > 14 THEN 'CRITICAL' WHEN delay_days > 7 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+       CASE WHEN delay_days > 7 THEN 'DELAY' ELSE 'MINOR_DELAY' END AS type, now AS detected_at, false AS executed, now AS created_at
+FROM silver_orders, anchor WHERE delay_days > 0""")
+def serving_deviations(t):
+    return ops.serving_deviations(dev.delay_only(t.silver_orders()), t.order_anchor())
+
+
+@query("serving_suppliers", "A19", """
+SELECT supplier_id, supplier_id AS name, 'NA' AS region, trust_score, total_orders, delayed_orders, avg_delay_days,
+       now AS created_at, now AS updated_at FROM supplier_risk, anchor""")
+def serving_suppliers(t):
+    return ops.serving_suppliers(supplier_risk(t.silver_orders()), t.order_anchor())
+
+
 @query("list_orders", "C05 G03", """
 SELECT order_id, supplier_id, status, created_at FROM silver_orders
 WHERE status = 'DELAYED' AND supplier_id = 'Supplier#000000003'
