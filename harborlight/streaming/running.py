@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from harborlight.operators.latest import keep_last
 from harborlight.session import path_exists, run_dir
@@ -56,15 +55,7 @@ class BatchLog:
     def write(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
-    def before(self, batch_id: int | None = None) -> DataFrame:
-        """Rows of the batches before the given one, with their batch_id."""
-        if not path_exists(self.spark, self.path):
-            empty = self.spark.createDataFrame([], self.schema)
-            return empty.withColumn("batch_id", F.lit(0).cast("long"))
-        rows = self.spark.read.schema(
-            self.schema.add("batch_id", "long") if "batch_id" not in self.schema.names else self.schema
-        ).parquet(self.path)
-        return rows if batch_id is None else rows.filter(F.col("batch_id") < batch_id)
-
-    def current(self, keys: Sequence[str], batch_id: int | None = None) -> DataFrame:
-        return keep_last(self.before(batch_id), keys, ["batch_id"]).drop("batch_id")
+    def current(self, keys: Sequence[str]) -> DataFrame:
+        if not path_exists(self.spark, self.path):  # the stream had nothing
+            return self.spark.createDataFrame([], self.schema)
+        return keep_last(self.spark.read.parquet(self.path), keys, ["batch_id"]).drop("batch_id")

@@ -138,3 +138,28 @@ def test_plant_to_port_edges_have_no_inner_nodes(spark):
     assert {r.betweenness for r in graph.cascade_risk(edges).collect()} == {0.0}
     deg = {r.id: (r.in_degree, r.out_degree) for r in graph.degrees(edges).collect()}
     assert deg == {"plant:A": (0, 1), "plant:B": (0, 1), "port:x": (2, 0)}
+
+
+def test_delay_model_learns_and_its_metrics_add_up(spark):
+    from harborlight.operators import learning
+
+    df = spark.range(4000).select(
+        F.concat(F.lit("O"), F.col("id")).alias("order_id"), (F.col("id") % 5).alias("supplier_id_enc"),
+        (F.col("id") % 3).alias("region_enc"), (F.col("id") % 50).alias("quantity"),
+        F.when(F.col("id") % 7 != 0, 2.5).alias("unit_price"), (F.col("id") % 100).cast("double").alias("order_value"),
+        (F.col("id") % 90).cast("double").alias("inventory_level"),
+        F.when((F.col("id") % 50 > 30) | (F.col("id") % 11 == 0), 5).otherwise(0).alias("delay_days"))
+    rows = learning.labelled(df)
+    share = rows.agg(F.avg(F.col("train").cast("int"))).first()[0]
+    assert 0.76 < share < 0.84
+    assert rows.filter("unit_price IS NULL").count() == 0
+    scored = learning.score(learning.train(rows, trees=3), rows).cache()
+    m = learning.metrics(scored).first()
+    test = scored.filter("NOT train").collect()
+    assert m.test_rows == len(test) and m.train_rows + m.test_rows == 4000
+    hits = [(r.is_delayed, r.label == 1.0) for r in test]
+    assert abs(m.accuracy - sum(a == b for a, b in hits) / len(hits)) < 1e-4
+    assert abs(m.precision - sum(a and b for a, b in hits) / sum(a for a, _ in hits)) < 1e-4
+    assert abs(m.roc_auc - auc_by_hand([r.probability for r in test], [r.label == 1.0 for r in test])) < 1e-4
+    assert m.roc_auc > 0.85
+    assert {r.confidence for r in test} <= {"HIGH", "MEDIUM", "LOW"}

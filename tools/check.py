@@ -43,6 +43,17 @@ def table(names, rows):
     return [names[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+SAME_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+             "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
+def type_notes(df, cur):
+    """Columns whose Spark and DuckDB types differ."""
+    theirs = {d[0]: str(d[1]) for d in cur.description}
+    bad = [f"{n}:{k}/{theirs[n]}" for n, k in df.dtypes if n in theirs and SAME_TYPE.get(k) != theirs[n]]
+    return f"  types {bad}" if bad else ""
+
+
 def compare(spark, con, name, q, folder):
     start = time.time()
     df = q(spark, folder)
@@ -52,11 +63,12 @@ def compare(spark, con, name, q, folder):
     if sql is None:
         return "ROWS", len(got[1]), took, ""
     cur = con.execute(sql)
+    kinds = type_notes(df, cur)
     want = table([d[0] for d in cur.description], cur.fetchall())
     if got[0] != want[0]:
         return "COLUMNS", len(got[1]), took, f"\n   spark {got[0]}\n   check {want[0]}"
     if got[1] == want[1]:
-        return "ok" if got[1] else "EMPTY", len(got[1]), took, ""
+        return "ok" if got[1] else "EMPTY", len(got[1]), took, kinds
     left, right = set(got[1]) - set(want[1]), set(want[1]) - set(got[1])
     note = f" rows {len(got[1])}/{len(want[1])} differing {len(left)}/{len(right)}\n   {got[0]}"
     for side, rows in (("spark", left), ("check", right)):
