@@ -88,29 +88,37 @@ def critical_since(deviations: DataFrame, orders: DataFrame, since: Column) -> D
 def rolling_critical(deviations: DataFrame, hours: int = 24) -> DataFrame:
     """CRITICAL deviations of the supplier in the hours up to each moment.
 
-    Rows are first counted per supplier and moment. A moment is then put into
-    its own slice of time and, as background, into the next one, so the sliding
-    frame needs one slice only: a busy supplier spreads over its slices.
+    Rows are first counted per supplier and moment. Each count then enters at
+    its moment and leaves again when the hours are over, so a running sum of
+    entries and exits is the answer; a sliding frame would add up its whole
+    content again for every row. The sum runs inside day slices, and a slice
+    starts with the total of those before it: a busy supplier is many tasks.
     """
-    span = hours * 3600
+    span = hours * 3600 * 1_000_000
     moments = (
         deviations.filter(F.col("severity") == "CRITICAL")
         .groupBy("supplier_id", "detected_at")
         .agg(F.count("*").alias("n"))
-        .withColumn("_at", F.unix_seconds(F.col("detected_at").cast("timestamp")))
     )
-    slice_of = F.floor(F.col("_at") / span)
-    spread = moments.withColumn(
-        "_slot", F.explode(F.array(
-            F.struct(slice_of.alias("slice"), F.lit(True).alias("own")),
-            F.struct((slice_of + 1).alias("slice"), F.lit(False).alias("own")),
-        ))
-    )
-    frame = Window.partitionBy("supplier_id", "_slot.slice").orderBy("_at").rangeBetween(-span, 0)
+    at = F.unix_micros(F.col("detected_at").cast("timestamp"))
+    steps = moments.select(
+        "supplier_id", "detected_at",
+        F.inline(F.array(
+            F.struct(at.alias("at"), F.col("n").alias("step"), F.lit(True).alias("enters")),
+            F.struct((at + span + 1).alias("at"), (-F.col("n")).alias("step"), F.lit(False).alias("enters")),
+        )),
+    ).withColumn("_slice", F.floor(F.col("at") / 86_400_000_000))
+    # at one moment exits come first
+    inside = Window.partitionBy("supplier_id", "_slice").orderBy("at", "enters").rowsBetween(
+        Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("supplier_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = steps.groupBy("supplier_id", "_slice").agg(F.sum("step").alias("_move")).select(
+        "supplier_id", "_slice", F.coalesce(F.sum("_move").over(earlier), F.lit(0)).alias("_start"))
     return (
-        spread.withColumn("critical_24h", F.sum("n").over(frame))
-        .filter("_slot.own")
-        .select("supplier_id", "detected_at", "critical_24h")
+        steps.withColumn("_sum", F.sum("step").over(inside))
+        .filter("enters")
+        .join(starts, ["supplier_id", "_slice"])
+        .select("supplier_id", "detected_at", (F.col("_start") + F.col("_sum")).alias("critical_24h"))
     )
 
 

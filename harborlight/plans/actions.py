@@ -135,12 +135,10 @@ def procurement_events(t):
 
 @query("applicable_constraints", "D09", """
 SELECT o.order_id, c.id, c.entity_id, c.constraint_type, c.value FROM silver_orders o JOIN constraints c
-  ON c.entity_id = '*' OR c.entity_id = o.supplier_id OR c.entity_id = o.region OR c.entity_id = o.product
-WHERE o.delay_days > 7""")
+  ON c.entity_id = '*' OR c.entity_id = o.supplier_id OR c.entity_id = o.region OR c.entity_id = o.product""")
 def applicable_constraints(t):
-    late = t.silver_orders().filter(F.col("delay_days") > 7).select(
-        "order_id", "supplier_id", "region", "product")
-    return ops.applicable_constraints(late, F.broadcast(t.constraints())).select(
+    orders = t.silver_orders().select("order_id", "supplier_id", "region", "product")
+    return ops.applicable_constraints(orders, F.broadcast(t.constraints())).select(
         "order_id", "id", "entity_id", "constraint_type", "value")
 
 

@@ -86,15 +86,17 @@ def build_order_event(t):
 
 
 @query("stock_movements_flat", "A07", """
-SELECT id, supplier AS "originName", part AS "productCode", qty AS "quantityOrdered" FROM po_rows WHERE supplier IS NOT NULL""")
+SELECT id, coalesce(supplier, '') AS "originName", CASE WHEN has_item THEN part END AS "productCode",
+       CASE WHEN has_item THEN qty END AS "quantityOrdered" FROM po_rows""")
 def stock_movements_flat(t):
     body = F.struct(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
-        F.struct(F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("name")).alias("origin"),
-        F.array(F.struct(
+        F.when(F.col("l_suppkey") % 9 != 0, F.struct(
+            F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("name"))).alias("origin"),
+        F.when(F.col("l_linenumber") != 7, F.array(F.struct(
             F.struct(F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("productCode")).alias("product"),
-            F.col("l_quantity").cast("int").alias("quantityRequested"))).alias("lineItems"),
+            F.col("l_quantity").cast("int").alias("quantityRequested")))).alias("lineItems"),
     )
-    moves = t.base("lineitem").filter(F.col("l_suppkey") % 9 != 0).select(F.to_json(body).alias("value"))
+    moves = t.base("lineitem").select(F.to_json(body).alias("value"))
     return po.flatten_movements(po.parse(moves, po.STOCK_MOVEMENT)).select(
         "id", "originName", "productCode", "quantityOrdered")
