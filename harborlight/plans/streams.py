@@ -282,14 +282,14 @@ def stream_process_batch(t):
 
     Deviations shown are those the alert limit does not touch.
     """
-    w = writer.OrderWriter(run_dir(t.spark, "process"))
+    w = writer.OrderWriter(t.spark, run_dir(t.spark, "process"))
     w.run(stream(t))
-    orders = w.table(t.spark, "orders", "order_id")
-    versions = w.table(t.spark, "order_events").groupBy("order_id").agg(
+    orders = w.orders.current()
+    versions = w.table("order_events").groupBy("order_id").agg(
         F.max("aggregate_version").alias("versions"))
-    suppliers = w.table(t.spark, "suppliers", "supplier_id").select(
+    suppliers = w.suppliers.current().select(
         "supplier_id", F.col("total_orders").alias("supplier_orders"))
-    found = w.table(t.spark, "deviations").filter(F.col("severity") != "CRITICAL").groupBy("order_id").agg(
+    found = w.table("deviations").filter(F.col("severity") != "CRITICAL").groupBy("order_id").agg(
         F.count("*").alias("deviations"))
     return orders.join(versions, "order_id").join(suppliers, "supplier_id").join(found, "order_id", "left").select(
         "order_id", "status", "delay_days", "inventory_level", "versions", "supplier_orders",

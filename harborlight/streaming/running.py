@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from harborlight.operators.latest import keep_last
 from harborlight.session import path_exists, run_dir
@@ -35,27 +36,50 @@ def each_batch(stream: DataFrame, write: Writer, base: str, mode: str = "append"
 
 def drain_updates(stream: DataFrame, keys: Sequence[str], label: str, base: str | None = None) -> DataFrame:
     """Run an aggregation in update mode and return the last state of each key."""
-    base = base or run_dir(stream.sparkSession, label)
-    log = BatchLog(stream, f"{base}/out")
-    each_batch(stream, log.write, base, "update")
-    return log.current(keys)
-
-
-class BatchLog:
-    """A table kept as one folder per micro-batch.
-
-    A batch that runs again overwrites its own folder only, which makes writes
-    idempotent; the current state is the newest row per key. A long log is
-    shortened with ``sinks.compact``; with a table format, MERGE takes its place.
+    spark = stream.sparkSession
+    base = base or run_dir(spark, label)
+    log = KeyedLog(spark, f"{base}/out", keys)
+    each_batch(stream, log.save, base, "update")
+    found = log.current()
+    return spark.createDataFrame([], stream.schema) if found is None else found
+
+
+class KeyedLog:
+    """A keyed table kept as the rows each micro-batch changed.
+
+    A batch writes its own folder and reads only batches before it, so running
+    it again changes nothing. The state is the newest row per key. Every
+    ``fold_every`` batches the state so far is written down; later reads take
+    that and the few folders since, the older ones are pruned away unread.
+    With a table format at hand, MERGE takes the place of all this.
     """
 
-    def __init__(self, like: DataFrame, path: str):
-        self.spark, self.path, self.schema = like.sparkSession, path, like.schema
-
-    def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
-
-    def current(self, keys: Sequence[str]) -> DataFrame:
-        if not path_exists(self.spark, self.path):  # the stream had nothing
-            return self.spark.createDataFrame([], self.schema)
-        return keep_last(self.spark.read.parquet(self.path), keys, ["batch_id"]).drop("batch_id")
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], fold_every: int = 20):
+        self.spark, self.path, self.keys, self.fold_every = spark, path, list(keys), fold_every
+
+    def save(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/log/batch_id={batch_id}")
+        if (batch_id + 1) % self.fold_every == 0:
+            state = self.current(batch_id + 1)
+            state.write.mode("overwrite").parquet(f"{self.path}/folded/upto={batch_id + 1}")
+
+    def _folded(self, batch_id: int) -> int:
+        """The newest fold that holds batches before the given one only; 0 if there is none."""
+        upto = batch_id // self.fold_every * self.fold_every
+        while upto > 0 and not path_exists(self.spark, f"{self.path}/folded/upto={upto}/_SUCCESS"):
+            upto -= self.fold_every
+        return max(upto, 0)
+
+    def current(self, batch_id: int | None = None) -> DataFrame | None:
+        """State before a batch, or of all batches; None if nothing was written."""
+        if batch_id == 0 or not path_exists(self.spark, f"{self.path}/log"):
+            return None
+        log = self.spark.read.parquet(f"{self.path}/log")
+        if batch_id is None:
+            return keep_last(log, self.keys, ["batch_id"]).drop("batch_id")
+        upto = self._folded(batch_id)
+        rows = log.filter((F.col("batch_id") >= upto) & (F.col("batch_id") < batch_id))
+        if upto:
+            folded = self.spark.read.parquet(f"{self.path}/folded/upto={upto}")
+            rows = rows.unionByName(folded.withColumn("batch_id", F.lit(upto - 1)))
+        return keep_last(rows, self.keys, ["batch_id"]).drop("batch_id")

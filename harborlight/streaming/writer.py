@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.operators import deviations as dev
 from harborlight.operators import history, merge
 from harborlight.operators.latest import keep_last
+from harborlight.operators.suppliers import merge_statistics
 from harborlight.session import path_exists
 from harborlight.streaming import stateful
-from harborlight.streaming.running import BatchLog, each_batch
+from harborlight.streaming.running import KeyedLog, each_batch
 from harborlight.streaming.validation import dead_letters, with_errors
 from harborlight.streaming.windows import supplier_totals
 
@@ -45,84 +46,71 @@ def route(stream: DataFrame, base: str) -> dict[str, str]:
 class OrderWriter:
     """Keeps suppliers, orders, the order log, deviations and statistics up to date.
 
-    Every table is a log with one folder per batch: a batch writes what it
-    changed and reads only batches before it, so running it again gives the
-    same result, and its cost follows the batch and not the table's history of
-    rewrites.
+    Suppliers and orders are keyed logs; an order row carries the version its
+    event log has reached, so the log itself is never read again. Running a
+    batch a second time gives the same tables.
     """
 
-    def __init__(self, base: str):
-        self.base = base
-
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
-
-    def _before(self, spark, name: str, batch_id: int) -> DataFrame | None:
-        path = self.path(name)
-        if batch_id == 0 or not path_exists(spark, path):
-            return None
-        return spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
+    def __init__(self, spark: SparkSession, base: str, fold_every: int = 20):
+        self.spark, self.base = spark, base
+        self.suppliers = KeyedLog(spark, f"{base}/suppliers", ["supplier_id"], fold_every)
+        self.orders = KeyedLog(spark, f"{base}/orders", ["order_id"], fold_every)
 
     def _save(self, rows: DataFrame, name: str, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path(name)}/batch_id={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{self.base}/{name}/batch_id={batch_id}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         checked = with_errors(batch).filter(
             (F.size("errors") == 0) & (F.col("event_type") == "ORDER")).select(*ORDER_FIELDS).persist()
         try:
             if checked.isEmpty():
                 return
-            self._suppliers(spark, checked, batch_id)
-            before = self._orders(spark, checked, batch_id)
-            self._log(spark, checked, before, batch_id)
-            self._deviations(spark, checked, batch_id)
+            self._update_suppliers(checked, batch_id)
+            before = self._update_orders(checked, batch_id)
+            self._save(history.order_log(checked, before), "order_events", batch_id)
+            self._detect(checked, batch_id)
         finally:
             checked.unpersist()
 
-    def _suppliers(self, spark, events: DataFrame, batch_id: int) -> None:
-        stats = self._before(spark, "suppliers", batch_id)
-        delta = supplier_totals(events)
-        if stats is not None:
-            now = keep_last(stats, ["supplier_id"], ["batch_id"]).drop("batch_id")
+    def _update_suppliers(self, events: DataFrame, batch_id: int) -> None:
+        """New suppliers start as stubs; all of the batch's suppliers get its counts."""
+        now = self.suppliers.current(batch_id)
+        if now is None:
+            changed = supplier_totals(events)
+        else:
             touched = now.join(events.select("supplier_id").distinct(), "supplier_id", "left_semi")
-            unseen = merge.supplier_stubs(events, now, ARRIVAL).drop("name", "region")
-            from harborlight.operators.suppliers import merge_statistics
-
-            delta = merge_statistics(
-                touched.unionByName(unseen.select(*touched.columns)), events)
-        self._save(delta, "suppliers", batch_id)
+            unseen = merge.supplier_stubs(events, now, ARRIVAL).select(*touched.columns)
+            changed = merge_statistics(touched.unionByName(unseen), events)
+        self.suppliers.save(changed, batch_id)
 
-    def _orders(self, spark, events: DataFrame, batch_id: int) -> DataFrame | None:
-        """Write the new state of the batch's orders; return their state before it."""
-        log = self._before(spark, "orders", batch_id)
+    def _update_orders(self, events: DataFrame, batch_id: int) -> DataFrame | None:
+        """Write the new state of the batch's orders; return the state they had."""
         last = keep_last(events, ["order_id"], ARRIVAL)
-        if log is None:
-            self._save(last, "orders", batch_id)
-            return None
-        # only rows of this batch's orders take part
-        mine = log.join(last.select("order_id"), "order_id", "left_semi")
-        now = keep_last(mine, ["order_id"], ["batch_id"]).drop("batch_id")
-        self._save(merge.upsert_columns(now, last, "order_id", UPDATED, ARRIVAL), "orders", batch_id)
-        return now
-
-    def _log(self, spark, events: DataFrame, before: DataFrame | None, batch_id: int) -> None:
-        log = self._before(spark, "order_events", batch_id)
-        base = None
-        if log is not None and before is not None:
-            versions = log.join(before.select("order_id"), "order_id", "left_semi").groupBy("order_id").agg(
-                F.max("aggregate_version").alias("version"))
-            base = before.select("order_id", "status", "delay_days").join(versions, "order_id")
-        self._save(history.order_log(events, base), "order_events", batch_id)
-
-    def _deviations(self, spark, events: DataFrame, batch_id: int) -> None:
+        added = events.groupBy("order_id").agg(F.count("*").alias("_added"))
+        now = self.orders.current(batch_id)
+        before = None
+        if now is None:
+            changed = last.join(added, "order_id").withColumnRenamed("_added", "version")
+        else:
+            before = now.join(last.select("order_id"), "order_id", "left_semi")
+            versions = before.select("order_id", F.col("version").alias("_had"))
+            changed = (
+                merge.upsert_columns(before.drop("version"), last, "order_id", UPDATED, ARRIVAL)
+                .join(added, "order_id").join(versions, "order_id", "left")
+                .withColumn("version", F.coalesce("_had", F.lit(0)) + F.col("_added"))
+                .drop("_had", "_added")
+            )
+        self.orders.save(changed, batch_id)
+        return before
+
+    def _detect(self, events: DataFrame, batch_id: int) -> None:
         found = dev.all_matches(events, "supplier_id", "event_time", "event_id").withColumn(
             "deviation_id", F.concat_ws("-", F.lit("DEV"), F.col("event_id"), F.col("type"))).persist()
         try:
             criticals = found.filter(F.col("severity") == "CRITICAL")
-            passed = stateful.accepted_alerts(criticals, self._before(spark, "accepted", batch_id))
+            passed = stateful.accepted_alerts(criticals, _earlier(self.spark, f"{self.base}/accepted", batch_id))
             self._save(passed, "accepted", batch_id)
-            accepted = spark.read.parquet(f"{self.path('accepted')}/batch_id={batch_id}").select("event_id")
+            accepted = self.spark.read.parquet(f"{self.base}/accepted/batch_id={batch_id}").select("event_id")
             let_through = criticals.join(accepted, "event_id", "left_semi").unionByName(
                 found.filter(F.col("severity") != "CRITICAL"))
             self._save(let_through, "deviations", batch_id)
@@ -132,26 +120,27 @@ class OrderWriter:
     def run(self, stream: DataFrame) -> None:
         each_batch(stream, self, self.base)
 
-    def table(self, spark, name: str, *keys: str) -> DataFrame:
-        rows = spark.read.parquet(self.path(name))
-        if not keys:
-            return rows.drop("batch_id")
-        return keep_last(rows, keys, ["batch_id"]).drop("batch_id")
+    def table(self, name: str) -> DataFrame:
+        """One of the tables that only grow."""
+        return self.spark.read.parquet(f"{self.base}/{name}").drop("batch_id")
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Rows that batches before this one appended."""
+    if batch_id == 0 or not path_exists(spark, path):
+        return None
+    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id).drop("batch_id")
 
 
 def run_health(stream: DataFrame, base: str) -> DataFrame:
-    """Supplier health over a stream; the state table carries it from batch to batch."""
+    """Supplier health over a stream; the state carries it from batch to batch."""
     spark = stream.sparkSession
+    state = KeyedLog(spark, f"{base}/health_state", ["supplier_id"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        state = None
-        if batch_id > 0 and path_exists(spark, f"{base}/health_state"):
-            log = batch.sparkSession.read.parquet(f"{base}/health_state").filter(F.col("batch_id") < batch_id)
-            state = keep_last(log, ["supplier_id"], ["batch_id"])
         out = f"{base}/health/batch_id={batch_id}"
-        stateful.health_path(batch, state).write.mode("overwrite").parquet(out)
-        done = batch.sparkSession.read.parquet(out)
-        stateful.health_state(done).write.mode("overwrite").parquet(f"{base}/health_state/batch_id={batch_id}")
+        stateful.health_path(batch, state.current(batch_id)).write.mode("overwrite").parquet(out)
+        state.save(stateful.health_state(spark.read.parquet(out)), batch_id)
 
     each_batch(stream, write, base)
     return spark.read.parquet(f"{base}/health").drop("batch_id")
@@ -163,10 +152,8 @@ def run_suppression(criticals: DataFrame, base: str) -> DataFrame:
     path = f"{base}/accepted"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        prior = None
-        if batch_id > 0 and path_exists(spark, path):
-            prior = batch.sparkSession.read.parquet(path).filter(F.col("batch_id") < batch_id)
-        stateful.accepted_alerts(batch, prior).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        passed = stateful.accepted_alerts(batch, _earlier(spark, path, batch_id))
+        passed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     each_batch(criticals, write, base)
     return spark.read.parquet(path).drop("batch_id")
@@ -175,15 +162,12 @@ def run_suppression(criticals: DataFrame, base: str) -> DataFrame:
 def run_causes(stream: DataFrame, base: str) -> DataFrame:
     """Stock-outs and their causes over a stream."""
     spark = stream.sparkSession
-    state_path, out_path = f"{base}/delay_state", f"{base}/causes"
+    state = KeyedLog(spark, f"{base}/delay_state", ["supplier_id"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        state = None
-        if batch_id > 0 and path_exists(spark, state_path):
-            log = batch.sparkSession.read.parquet(state_path).filter(F.col("batch_id") < batch_id)
-            state = keep_last(log, ["supplier_id"], ["batch_id"])
-        stateful.causes(batch, state).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        stateful.cause_state(batch).write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+        found = stateful.causes(batch, state.current(batch_id))
+        found.write.mode("overwrite").parquet(f"{base}/causes/batch_id={batch_id}")
+        state.save(stateful.cause_state(batch), batch_id)
 
     each_batch(stream, write, base)
-    return spark.read.parquet(out_path).drop("batch_id")
+    return spark.read.parquet(f"{base}/causes").drop("batch_id")

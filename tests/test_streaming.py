@@ -130,18 +130,19 @@ def versions_by_hand(events):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_order_writer_keeps_all_tables(spark, events, parts):
-    w = writer.OrderWriter(run_dir(spark, "w"))
+@pytest.mark.parametrize("parts,fold", [(1, 20), (4, 20), (6, 2)])
+def test_order_writer_keeps_all_tables(spark, events, parts, fold):
+    w = writer.OrderWriter(spark, run_dir(spark, "w"), fold)
     w.run(as_stream(spark, events, parts))
-    log = {r.event_id: (r.aggregate_version, r.event_type, r.old_status) for r in w.table(spark, "order_events").collect()}
+    log = {r.event_id: (r.aggregate_version, r.event_type, r.old_status) for r in w.table("order_events").collect()}
     assert log == versions_by_hand(events)
 
     last = {e[3]: e for e in events}
-    orders = {r.order_id: r for r in w.table(spark, "orders", "order_id").collect()}
+    orders = {r.order_id: r for r in w.orders.current().collect()}
     assert {k: (v.status, v.delay_days) for k, v in orders.items()} == {k: (e[11], e[10]) for k, e in last.items()}
+    assert {k: v.version for k, v in orders.items()} == {k: sum(e[3] == k for e in events) for k in last}
 
-    suppliers = {r.supplier_id: r for r in w.table(spark, "suppliers", "supplier_id").collect()}
+    suppliers = {r.supplier_id: r for r in w.suppliers.current().collect()}
     for s in {e[4] for e in events}:
         mine = [e for e in events if e[4] == s]
         late = sum(e[10] > 0 for e in mine)
@@ -150,20 +151,33 @@ def test_order_writer_keeps_all_tables(spark, events, parts):
         assert abs(suppliers[s].trust_score - (1 - 0.5 * late / len(mine))) < 1e-9
 
     critical = [e for e in events if e[10] > 14]
-    passed = {r.event_id for r in w.table(spark, "deviations").filter("severity = 'CRITICAL'").collect()}
+    passed = {r.event_id for r in w.table("deviations").filter("severity = 'CRITICAL'").collect()}
     assert passed == accepted_by_hand(critical)
 
 
 def test_order_writer_batch_may_run_twice(spark, events):
-    w = writer.OrderWriter(run_dir(spark, "twice"))
+    w = writer.OrderWriter(spark, run_dir(spark, "twice"))
     first = spark.createDataFrame(events[:400], SCHEMA)
     second = spark.createDataFrame(events[400:800], SCHEMA)
     w(first, 0), w(second, 1), w(second, 1)
-    assert w.table(spark, "order_events").count() == 800
-    total = w.table(spark, "suppliers", "supplier_id").agg(F.sum("total_orders")).first()[0]
+    assert w.table("order_events").count() == 800
+    total = w.suppliers.current().agg(F.sum("total_orders")).first()[0]
     assert total == 800
 
 
+def test_keyed_log_folds_and_prunes(spark):
+    log = running.KeyedLog(spark, run_dir(spark, "keyed"), ["k"], fold_every=3)
+    want = {}
+    for b in range(8):
+        rows = [(f"k{(b + i) % 5}", b) for i in range(2)]
+        want.update(rows)
+        log.save(spark.createDataFrame(rows, "k string, v int"), b)
+        assert {r.k: r.v for r in log.current(b + 1).collect()} == want
+    assert {r.k: r.v for r in log.current().collect()} == want
+    assert log._folded(8) == 6 and log._folded(6) == 6 and log._folded(5) == 3 and log._folded(2) == 0
+    assert log.current(0) is None
+
+
 def test_window_updates_over_batches_equal_batch_result(spark, events):
     out = running.drain_updates(
         windows.supplier_windows(as_stream(spark, events, 4), "3650 days"), ["supplier_id", "window_start"], "win")
