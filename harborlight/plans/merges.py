@@ -6,7 +6,7 @@ from harborlight.operators import merge as ops
 from harborlight.operators import orders as ord_ops
 from harborlight.operators import suppliers as sup
 from harborlight.operators.orders import ARRIVAL_ORDER
-from harborlight.oracle import ORDER_STATUS, TABLES
+from harborlight.oracle import TABLES
 from harborlight.registry import query
 from harborlight.sources.derived import ORDER_COLUMNS
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from harborlight.functions import rules
 from harborlight.operators import deviations as dev
-from harborlight.oracle import TABLES, money, rnd
+from harborlight.oracle import TABLES, money
 from harborlight.registry import query
 from harborlight.session import run_dir
 from harborlight.sources import topics
