@@ -54,8 +54,8 @@ class Tables:
             self._state = fingerprint(self.spark, self.folder)
         return self._state
 
-    def layer(self, name: str, build) -> DataFrame:
-        return materialized(self.spark, name, self.folder, build, self.state)
+    def layer(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
+        return materialized(self.spark, name, self.folder, build, self.state, bucket_by)
 
     # -- orders -----------------------------------------------------------
 
@@ -132,7 +132,8 @@ class Tables:
 
     def silver_orders(self) -> DataFrame:
         """The cleaned, one-row-per-id orders, read from their layer table."""
-        return self.layer("silver_orders", lambda: ord_ops.silver_orders(self.bronze_orders()))
+        return self.layer(
+            "silver_orders", lambda: ord_ops.silver_orders(self.bronze_orders()), bucket_by="order_id")
 
     def staged_orders(self) -> DataFrame:
         return ord_ops.staged_orders(self.bronze_orders(*ORDER_COLUMNS))

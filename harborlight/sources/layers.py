@@ -40,19 +40,34 @@ def fingerprint(spark: SparkSession, folder: str) -> str:
 
 
 def materialized(
-    spark: SparkSession, name: str, folder: str, build: Callable[[], DataFrame], state: str | None = None
+    spark: SparkSession, name: str, folder: str, build: Callable[[], DataFrame],
+    state: str | None = None, bucket_by: str | None = None,
 ) -> DataFrame:
     """A layer table built once per input state and read back by every later job.
 
     Writing it cuts the lineage, so a lost executor re-reads files instead of
     repeating the joins, and later scans prune columns in Parquet. ``state`` is
     the folder's fingerprint where the caller has it already.
+
+    ``bucket_by`` names a key without hot values, such as the id of a table with
+    one row per id: joins and windows on it then need no shuffle.
     """
     state = state or fingerprint(spark, folder)
     key = (spark.sparkContext.applicationId, name, f"{folder}@{state}")
     path = _BUILT.get(key)
     if path is None or not path_exists(spark, path + "/_SUCCESS"):
         path = run_dir(spark, f"layer-{name}")
-        build().write.mode("errorifexists").parquet(path)
+        if bucket_by is None:
+            build().write.mode("errorifexists").parquet(path)
+        else:
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            # one task per bucket, so that a bucket is one file
+            build().repartition(parts, bucket_by).write.format("parquet").mode("errorifexists").option(
+                "path", path).bucketBy(parts, bucket_by).sortBy(bucket_by).saveAsTable(_table(path))
         _BUILT[key] = path
-    return spark.read.parquet(path)
+    return spark.table(_table(path)) if bucket_by else spark.read.parquet(path)
+
+
+def _table(path: str) -> str:
+    """Catalog name of a bucketed layer; its files stay in the shared folder."""
+    return "harborlight_" + path.rsplit("/", 1)[-1].replace("-", "_")
