@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import exact_dedup, line_dedup
+from harborlight.llm import exact_dedup, line_dedup, simhash
 from harborlight.llm.common import prepare, table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return line_dedup.without_repeats(docs).select("doc_id", "text", "lines_total", "lines_removed")
@@ -17,7 +21,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup)}
 
 # The rule itself: no fingerprints, all stretches of lines as text.
 ORACLE_LINES = r"""
