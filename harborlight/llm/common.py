@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +50,12 @@ def whole(text: str = "text") -> Column:
 def parallelism(spark: SparkSession) -> int:
     """Partitions to deal work out to when its size is not known."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def gather(first: np.ndarray, length: np.ndarray, data: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices ``data[first[i]:first[i] + length[i]]`` for each i of ``index``, joined; and where each one ends."""
+    if not len(index):
+        return data[:0], np.zeros(0, np.int64)
+    n = length[index]
+    ends = np.cumsum(n)
+    return data[np.repeat(first[index] - (ends - n), n) + np.arange(ends[-1])], ends

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import exact_dedup, line_dedup, simhash
+from harborlight.llm import exact_dedup, line_dedup, simhash, token_files
 from harborlight.llm.common import prepare, table
 
 
@@ -21,7 +22,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    manifest = token_files.write_tokens(
+        docs, token_files.token_folder(spark), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return token_files.read_documents(manifest)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup, op9_token_files)}
 
 # The rule itself: no fingerprints, all stretches of lines as text.
 ORACLE_LINES = r"""
