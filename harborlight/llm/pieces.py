@@ -47,38 +47,45 @@ class DoubleArray:
         self.value = np.full(size, -1, np.int64)
         used = np.zeros(size, bool)
         used[0] = True
-        slots, free = [0] * len(children), 1
+        # single children fill the gaps from the front; families try a few places, then go behind all others
+        slots, free, room, top = [0] * len(children), 1, 1, 1
         queue = [0]
         for node in queue:  # grows as it goes: breadth first
             here = slots[node]
             self.value[here] = ends[node]
-            if not children[node]:
+            codes = [c + 1 for c in sorted(children[node])]
+            if not codes:
                 continue
-            codes = np.array(sorted(children[node])) + 1
-            while used[free]:
+            while free < top and used[free]:
                 free += 1
-            base = max(free - int(codes[0]), 0)
+            at = max(free if len(codes) == 1 else room, codes[0])
+            tries = 0
             while True:
+                base = at - codes[0]
                 if base + 300 >= len(used):
-                    more = len(used)
-                    used = np.concatenate([used, np.zeros(more, bool)])
-                    self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
-                    self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
-                    self.value = np.concatenate([self.value, np.full(more, -1, np.int64)])
-                if not used[base + codes].any():
+                    used, self.base, self.check, self.value = self._grown(used)
+                if not any(used[base + c] for c in codes):
                     break
-                base += 1
+                at, tries = at + 1 if tries < 8 else max(at + 1, top), tries + 1
+            if tries > 8:
+                room = at
+            top = max(top, base + codes[-1] + 1)
             self.base[here] = base
-            self.check[base + codes] = here
-            used[base + codes] = True
-            for c, child in children[node].items():
-                slots[child] = base + c + 1
+            for c in codes:
+                self.check[base + c] = here
+                used[base + c] = True
+                child = children[node][c - 1]
+                slots[child] = base + c
                 queue.append(child)
-        last = int(np.flatnonzero(used)[-1]) + 300  # any byte can be looked up from any node
-        pad = max(0, last - len(used))
-        self.base = np.concatenate([self.base, np.zeros(pad, np.int64)])[:last]
-        self.check = np.concatenate([self.check, np.full(pad, -1, np.int64)])[:last]
-        self.value = np.concatenate([self.value, np.full(pad, -1, np.int64)])[:last]
+        used, self.base, self.check, self.value = self._grown(used)
+        last = int(self.base.max()) + 300  # any byte can be looked up from any node
+        self.base, self.check, self.value = self.base[:last], self.check[:last], self.value[:last]
+
+    def _grown(self, used: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = len(used)
+        return (np.concatenate([used, np.zeros(n, bool)]), np.concatenate([self.base, np.zeros(n, np.int64)]),
+                np.concatenate([self.check, np.full(n, -1, np.int64)]),
+                np.concatenate([self.value, np.full(n, -1, np.int64)]))
 
     def find(self, key: bytes) -> int:
         node = 0

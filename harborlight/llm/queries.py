@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import exact_dedup, line_dedup, simhash, token_files
+from harborlight.llm import exact_dedup, line_dedup, pieces, simhash, token_files
 from harborlight.llm.common import prepare, table
 
 
@@ -22,6 +22,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     manifest = token_files.write_tokens(
@@ -29,7 +34,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup, op8_sentencepiece, op9_token_files)}
 
 # The rule itself: no fingerprints, all stretches of lines as text.
 ORACLE_LINES = r"""

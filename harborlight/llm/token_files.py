@@ -203,9 +203,8 @@ class WordEncoder:
         units = self.pairs[words].ravel()
         held = units >= 0
         ids, at = gather(self.first, self.length, self.ids, units[held])
-        per_text = np.cumsum(held)[2 * np.cumsum(list(map(len, split))) - 1] if len(units) else np.zeros(len(split), int)
-        per_text[np.cumsum(list(map(len, split))) == 0] = 0
-        ends = np.concatenate([[0], np.concatenate([[0], at])[per_text]])
+        cuts = np.concatenate([[0], np.cumsum(held)])[2 * np.cumsum([0, *map(len, split)])]
+        ends = np.concatenate([[0], at])[cuts]
         tail = [] if end is None else [np.array([end], np.uint32)]
         return [np.concatenate([ids[a:b], *tail]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
