@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from harborlight.llm import exact_dedup, language_id, line_dedup, pieces, simhash, token_files
+from harborlight.llm import exact_dedup, language_id, line_dedup, mixing, pieces, simhash, token_files
 from harborlight.llm.common import prepare, table
 
 
@@ -22,6 +23,26 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+# The mixture: three domains of sources, by weight; names without a weight have 1.
+WEIGHTS = {
+    "domain": {"web": 3, "books": 5, "forum": 2},
+    "language": {"en": 4, "de": 3, "fr": 2, "es": 1},
+    "source_name": {"src1": 2, "src2": 3, "src10": 2},
+}
+MIX_SHARE, MIX_EPOCHS = (6, 10), 3
+
+
+def domain_of(source: str = "source") -> Column:
+    """src0 is the web crawl, src1 to src9 are books, all others forums."""
+    return F.when(F.col(source) == "src0", "web").when(
+        F.rlike(F.col(source), F.lit("^src[1-9]$")), "books").otherwise("forum")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return mixing.mixed(docs, domain_of(), MIX_SHARE, MIX_EPOCHS, WEIGHTS)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -38,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup, op8_sentencepiece, op9_token_files, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup, op5_mixing, op8_sentencepiece, op9_token_files, op10_language_id)}
 
 # The rule itself: no fingerprints, all stretches of lines as text.
 ORACLE_LINES = r"""
@@ -71,4 +92,42 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM t
 """
 
-ORACLES = {"op3_line_dedup": ORACLE_LINES, "op4_exact_dedup": ORACLE_EXACT}
+
+
+def _level(depth: int, column: str, path: list[str]) -> str:
+    """One level of the tree: deal the parent's budget by weight, up to the room."""
+    weights = "CASE " + " ".join(
+        f"WHEN {column} = '{k}' THEN {w}" for k, w in WEIGHTS[column].items()) + " ELSE 1 END"
+    keys, up = ", ".join(path), path[:-1]
+    given = f"(SELECT sum(avail) * {MIX_SHARE[0]} // {MIX_SHARE[1]} FROM leaf)" if not up else "any_value(b.budget)"
+    join = "" if not up else f"JOIN b{depth - 1} b USING ({', '.join(up)})"
+    group = f"PARTITION BY {', '.join(up)}" if up else ""
+    return f"""
+n{depth} AS (SELECT {keys}, sum(room)::HUGEINT AS room, {given} AS given, {weights} AS weight, {column} AS name
+  FROM leaf {join} GROUP BY {keys}),
+f{depth} AS (SELECT *, greatest(given - coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS lft,
+  sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+  row_number() OVER o AS i FROM n{depth} WINDOW o AS ({group} ORDER BY room::DOUBLE / weight, name)),
+p{depth} AS (SELECT *, min(CASE WHEN room * rest > lft * weight THEN i END) OVER ({group}) AS k FROM f{depth}),
+q{depth} AS (SELECT *, max(CASE WHEN i = k THEN lft END) OVER ({group}) AS base_left,
+  max(CASE WHEN i = k THEN rest END) OVER ({group}) AS base_rest FROM p{depth}),
+r{depth} AS (SELECT *, CASE WHEN i >= k THEN base_left * weight // base_rest ELSE room END AS part FROM q{depth}),
+b{depth} AS (SELECT {keys}, part + CASE WHEN i >= k AND i - k + 1 <= base_left - sum(part) FILTER (WHERE i >= k) OVER ({group})
+  THEN 1 ELSE 0 END AS budget FROM r{depth}),"""
+
+
+ORACLE_MIX = rf"""
+WITH w AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'web' WHEN regexp_matches(source, '^src[1-9]$') THEN 'books'
+  ELSE 'forum' END AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS source_name,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
+leaf AS (SELECT domain, language, source_name, sum(tokens) AS avail, sum(tokens) * {MIX_EPOCHS} AS room FROM w GROUP BY ALL),
+{_level(0, "domain", ["domain"])}{_level(1, "language", ["domain", "language"])}{_level(2, "source_name", mixing.LEAF)}
+e AS (SELECT w.*, budget, avail, CASE WHEN avail > 0 THEN budget // avail ELSE 0 END AS epoch FROM w
+  JOIN b2 USING (domain, language, source_name) JOIN leaf USING (domain, language, source_name)),
+s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, language, source_name
+  ORDER BY md5('1:' || epoch || ':' || doc_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+SELECT doc_id, domain, language, source_name, tokens, budget::BIGINT AS budget,
+  (epoch + CASE WHEN before < budget - epoch * avail THEN 1 ELSE 0 END)::BIGINT AS copies FROM s
+"""
+
+ORACLES = {"op3_line_dedup": ORACLE_LINES, "op4_exact_dedup": ORACLE_EXACT, "op5_mixing": ORACLE_MIX}
