@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm import exact_dedup, language_id, line_dedup, mixing, pieces, simhash, token_files
+from harborlight.llm import exact_dedup, language_id, line_dedup, mixing, pieces, simhash, token_files, url_filter
 from harborlight.llm.common import prepare, table
 
 
@@ -43,6 +43,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, domain_of(), MIX_SHARE, MIX_EPOCHS, WEIGHTS)
 
 
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+         ("block", "com/de/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(prepare(spark), sf_dir, "pages"), RULES)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -59,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup, op5_mixing, op8_sentencepiece, op9_token_files, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup, op5_mixing, op7_url_filter, op8_sentencepiece, op9_token_files, op10_language_id)}
 
 # The rule itself: no fingerprints, all stretches of lines as text.
 ORACLE_LINES = r"""
@@ -130,4 +138,47 @@ SELECT doc_id, domain, language, source_name, tokens, budget::BIGINT AS budget,
   (epoch + CASE WHEN before < budget - epoch * avail THEN 1 ELSE 0 END)::BIGINT AS copies FROM s
 """
 
-ORACLES = {"op3_line_dedup": ORACLE_LINES, "op4_exact_dedup": ORACLE_EXACT, "op5_mixing": ORACLE_MIX}
+
+def _depth(d: int) -> str:
+    """One level of the template trees."""
+    return f"""
+h{d} AS MATERIALIZED (SELECT *, segs[{d + 1}] AS seg FROM t{d}),
+k{d} AS MATERIALIZED (SELECT host, t, seg, count(*) AS n, count(bad) AS l, coalesce(sum(bad), 0) AS b FROM h{d}
+  WHERE seg IS NOT NULL GROUP BY ALL),
+n{d} AS (SELECT host, t, count(*) AS kids, sum(n) AS pages, sum(l) AS ll, sum(b) AS bb,
+  sum(CASE WHEN regexp_matches(seg, '[0-9]') THEN n ELSE 0 END) AS digits FROM k{d} GROUP BY ALL),
+w{d} AS (SELECT *, kids > {url_filter.CHILDREN} OR digits * 2 > pages OR (kids >= {url_filter.FEW} AND kids * 2 > pages) AS wild
+  FROM n{d}),
+s{d} AS (SELECT k.host, k.t, k.seg FROM k{d} k JOIN w{d} w ON k.host = w.host AND k.t = w.t
+  WHERE NOT wild AND ll > 0 AND (b * ll::DOUBLE - l * bb::DOUBLE) * (b * ll::DOUBLE - l * bb::DOUBLE)
+    <= {url_filter.Z2} * l * bb::DOUBLE * (ll - bb)),
+t{d + 1} AS MATERIALIZED (SELECT h.page_id, h.host, h.path, h.rule, h.ruled, h.bad, h.segs, h.t || CASE
+  WHEN h.seg IS NULL THEN '' WHEN wild THEN '/*' WHEN s.seg IS NOT NULL THEN '/~' ELSE '/' || h.seg END AS t
+  FROM h{d} h LEFT JOIN w{d} w ON h.host = w.host AND h.t = w.t
+  LEFT JOIN s{d} s ON h.host = s.host AND h.t = s.t AND h.seg = s.seg),"""
+
+
+ORACLE_URLS = rf"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+    '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(verdict, rule, h, p) AS (VALUES {", ".join(
+    f"('{v}', '{t}', '{t[:t.index('/')]}', '{t[t.index('/'):]}')" for v, t in RULES)}),
+m AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, length(h) DESC, rule) AS i
+  FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+t0 AS (SELECT u.*, rule, verdict AS ruled, CASE verdict WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad,
+  list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS t FROM u LEFT JOIN m ON u.page_id = m.page_id AND i = 1),
+{"".join(_depth(d) for d in range(url_filter.DEPTH))}
+f AS MATERIALIZED (SELECT *, t || CASE WHEN len(segs) > {url_filter.DEPTH} THEN '/**' ELSE '' END AS template
+  FROM t{url_filter.DEPTH}),
+own AS (SELECT host, template, count(bad) AS l, count(bad) - coalesce(sum(bad), 0) AS good FROM f GROUP BY ALL),
+sh AS (SELECT template, sum(l) AS shape_l, sum(good) AS shape_good FROM own GROUP BY ALL),
+e AS (SELECT (coalesce(sum(good), 0) + 1.0::DOUBLE) / (coalesce(sum(l), 0) + 2.0::DOUBLE) AS base FROM own),
+pure AS (SELECT host, own.template, (good + 2.0::DOUBLE * ((shape_good + 2.0::DOUBLE * base) / (shape_l + 2.0::DOUBLE)))
+  / (l + 2.0::DOUBLE) AS purity FROM own JOIN sh USING (template), e)
+SELECT page_id, f.host, path, rule, coalesce(ruled, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  f.template, purity FROM f JOIN pure ON f.host = pure.host AND f.template = pure.template
+"""
+
+ORACLES = {"op3_line_dedup": ORACLE_LINES, "op4_exact_dedup": ORACLE_EXACT, "op5_mixing": ORACLE_MIX,
+           "op7_url_filter": ORACLE_URLS}
