@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm import exact_dedup, language_id, line_dedup, mixing, pieces, simhash, token_files, url_filter
+from harborlight.llm import exact_dedup, language_id, line_dedup, mixing, pieces, simhash, token_files, toxicity, url_filter
 from harborlight.llm.common import prepare, table
 
 
@@ -43,6 +43,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, domain_of(), MIX_SHARE, MIX_EPOCHS, WEIGHTS)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
          ("block", "com/de/")]
 
@@ -67,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup, op5_mixing, op7_url_filter, op8_sentencepiece, op9_token_files, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup, op5_mixing, op6_toxicity, op7_url_filter, op8_sentencepiece, op9_token_files, op10_language_id)}
 
 # The rule itself: no fingerprints, all stretches of lines as text.
 ORACLE_LINES = r"""
