@@ -30,7 +30,7 @@ NEAREST = 15
 BLOCK = 64        # examples in a block
 OPENED = 4        # blocks opened at once
 LEAST_DOCS = 4    # examples that must hold a term
-LEAST_CHI2 = 24.0  # how far a term's share must differ between the labels; chance gives this once in a million terms
+LEAST_CHI2, LEAST_EFFECT = 15.0, 0.012  # how sure and how large a term's difference between the labels must be (phi squared)
 EVIDENCE = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -99,7 +99,7 @@ class Judge:
             under = (a + b) * (c + d) * (a + c) * (b + d)
             return n * (a * d - b * c) ** 2 / under if under else 0.0
 
-        kept = sorted(w for w, k in df.items() if k >= LEAST_DOCS and chi2(w) >= LEAST_CHI2)
+        kept = sorted(w for w, k in df.items() if k >= LEAST_DOCS and chi2(w) >= max(LEAST_CHI2, LEAST_EFFECT * n))
         self.terms = {w: i for i, w in enumerate(kept)}
         self.idf = np.array([np.log((1 + n) / (1 + df[w])) + 1 for w in kept])
         vectors = [self.vector(t) for t in tokens]
