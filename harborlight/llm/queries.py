@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm import exact_dedup, language_id, line_dedup, mixing, pieces, simhash, token_files, toxicity, url_filter
+from harborlight.llm import exact_dedup, language_id, line_dedup, mixing, neighbours, pieces, simhash, token_files, toxicity, url_filter
 from harborlight.llm.common import prepare, table
 
 
@@ -14,6 +14,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(prepare(spark), sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return line_dedup.without_repeats(docs).select("doc_id", "text", "lines_total", "lines_removed")
@@ -72,7 +77,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_exact_dedup, op5_mixing, op6_toxicity, op7_url_filter, op8_sentencepiece, op9_token_files, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_neighbours, op3_line_dedup, op4_exact_dedup, op5_mixing, op6_toxicity, op7_url_filter, op8_sentencepiece, op9_token_files, op10_language_id)}
 
 # The rule itself: no fingerprints, all stretches of lines as text.
 ORACLE_LINES = r"""

@@ -19,6 +19,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +138,7 @@ class WordEncoder:
     MARK = "\x01"  # a group and a token of its own; parts the units of one library call
     BLOCK = 200
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -146,46 +147,57 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self._forget_words()
         self.units: dict[str, int] = {}
-        self.pairs = np.zeros((0, 2), np.int64)  # of a word: its units, -1 for none
         self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a unit: where its ids are
         self.ids = np.zeros(0, np.uint32)
 
+    def _forget_words(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.pairs = np.zeros((0, 2), np.int64)  # of a word: its units, -1 for none
+
     @staticmethod
-    def split(word: str) -> tuple[str, str]:
+    def split(raw: bytes) -> tuple[str, str]:
         """A word and the punctuation behind it, if that is a group of its own."""
+        if raw.isalpha():  # ASCII letters only
+            return raw.lower().decode(), ""
+        word = raw.decode("utf-8", "replace")
         if "<|" in word:  # may hold a special token, which stands as it is
             return word, ""
         if word.isascii():
             word = word.lower()
         stem = word.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-        # the tokenizer composes and lower-cases first, which may leave a mark behind the letter
-        if len(stem) < len(word) and stem and unicodedata.normalize("NFC", stem[-1]).lower()[-1].isalnum():
-            return stem, word[len(stem):]
+        if len(stem) < len(word) and stem:
+            last = stem[-1]
+            # the tokenizer composes and lower-cases first, which may leave a mark behind the letter
+            if (last if last.isascii() else unicodedata.normalize("NFC", last).lower()[-1]).isalnum():
+                return stem, word[len(stem):]
         return word, ""
 
-    def _encode_units(self, new: list[str]) -> list[np.ndarray]:
+    def _encode_units(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units, and how many each one has."""
         if len(self.mark) != 1 or any(self.MARK in u for u in new):
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists])
         blocks = [new[i:i + self.BLOCK] for i in range(0, len(new), self.BLOCK)]
-        out = []
-        for e in self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(b) for b in blocks], add_special_tokens=False):
+        parts, counts = [], []
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast(
+                [f" {self.MARK} ".join(b) for b in blocks], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark[0])
-            out.append((ids, cuts))
-        return [part[1:] if i else part for ids, cuts in out for i, part in enumerate(np.split(ids, cuts))]
+            cut = ids == self.mark[0]
+            parts.append(ids[~cut])
+            counts.append(np.bincount(np.cumsum(cut)[~cut], minlength=len(block)))
+        return np.concatenate(parts), np.concatenate(counts)
 
     def _learn(self, fresh: list[bytes]) -> None:
-        split = [self.split(w.decode("utf-8", "replace")) for w in fresh]
-        new = list({u for pair in split for u in pair if u and u not in self.units})
+        split = list(map(self.split, fresh))
+        new = list({u for pair in split for u in pair}.difference(self.units, ("",)))
         if new:
-            lists = self._encode_units(new)
+            ids, length = self._encode_units(new)
             self.units.update(zip(new, range(len(self.units), len(self.units) + len(new)), strict=True))
-            length = np.array([len(x) for x in lists])
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
             self.length = np.concatenate([self.length, length])
-            self.ids = np.concatenate([self.ids, *lists])
+            self.ids = np.concatenate([self.ids, ids])
         if fresh:
             look = self.units
             pairs = np.array([(look[a], look[b] if b else -1) for a, b in split])
@@ -195,16 +207,17 @@ class WordEncoder:
     def encode(self, texts: list[bytes], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text, given in UTF-8; ``end`` is put behind every text."""
         split = [t.split() for t in texts]  # on bytes: ASCII white space only
-        if len(self.words) > self.room:
+        if len(self.units) > self.room:
             self._forget()
-        self._learn(list({w for ws in split for w in ws} - self.words.keys()))
-        find = self.words.__getitem__
-        words = np.fromiter((i for ws in split for i in map(find, ws)), np.int64, sum(map(len, split)))
+        if len(self.words) > self.room:
+            self._forget_words()
+        self._learn(list(set(chain.from_iterable(split)).difference(self.words)))
+        sizes = np.cumsum([0, *map(len, split)])
+        words = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sizes[-1])
         units = self.pairs[words].ravel()
         held = units >= 0
         ids, at = gather(self.first, self.length, self.ids, units[held])
-        cuts = np.concatenate([[0], np.cumsum(held)])[2 * np.cumsum([0, *map(len, split)])]
-        ends = np.concatenate([[0], at])[cuts]
+        ends = np.concatenate([[0], at])[np.concatenate([[0], np.cumsum(held)])[2 * sizes]]
         tail = [] if end is None else [np.array([end], np.uint32)]
         return [np.concatenate([ids[a:b], *tail]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
