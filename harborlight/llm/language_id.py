@@ -222,34 +222,58 @@ def has_letter(text: bytes) -> bool:
     return bool(_LETTERS.search(text)) or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+class Labeller:
+    """Languages and scores of batches of texts; one for each task."""
+
+    def __init__(self, network: Network):
+        self.reader, self.names = Reader(network), np.array([*network.languages, UNKNOWN], object)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.names) - 1
+        if not n or not texts:
+            return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        p = self.reader.documents(texts)
+        known = np.array([has_letter(t) for t in texts], bool)
+        best = p.argmax(axis=1)
+        score = np.clip(np.where(known, p[np.arange(len(texts)), best], 0.0), 0.0, 1.0)
+        return self.names[np.where(known, best, n)], score
+
+
 def predict(docs: DataFrame, network: Network) -> DataFrame:
     """Per document: doc_id, lang_pred, score (the mean probability of that language).
 
     The whole text is read. Texts that are null or have no letter, and all texts if no
     language was learned, give 'und' and 0. Equal probabilities go to the first
-    language by name.
+    language by name. Rows given twice come twice; other columns are not read.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(network)  # a few thousand weights
+    sent = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(sent.value)
-        names = np.array([*sent.value.languages, UNKNOWN], object)
+        label = Labeller(sent.value)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            p = reader.documents(texts)
-            known = np.array([len(names) > 1 and has_letter(t) for t in texts], bool)
-            best = p.argmax(axis=1) if len(names) > 1 else np.zeros(len(texts), int)
-            score = np.where(known, p[np.arange(len(texts)), best] if len(names) > 1 else 0.0, 0.0)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(names[np.where(known, best, len(names) - 1)], pa.string()),
-                pa.array(np.clip(score, 0.0, 1.0)),
-            ], ["doc_id", "lang_pred", "score"])
+            names, score = label(batch.column(1).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, network: Network, least: float) -> DataFrame:
+    """The documents whose language is known with a score of ``least`` or more, all columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(network)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = Labeller(sent.value)
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            names, score = label(texts)
+            yield batch.filter(pa.array((names != UNKNOWN) & (score >= least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; null ids give null."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
