@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +22,30 @@ ARROW = {
 }
 
 
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application; they may not have it installed.
+
+    Spark serves the archive from the driver, so its folder stays until the driver ends.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(session.__file__).parent
+    folder = _SHIPPED[context.applicationId] = tempfile.TemporaryDirectory()
+    archive = Path(folder.name).resolve() / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings the operators rely on; safe on a live session."""
+    """Apply the settings the operators rely on and ship the package; safe on a live session."""
     session.tune(spark)
+    _ship(spark)
     for key, value in ARROW.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
