@@ -15,6 +15,7 @@ frames it needs, and nothing else.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import uuid
 import zlib
@@ -127,6 +128,12 @@ class TokenFile:
         self._file.close()
 
 
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# letters that are composed already and go to lower case one by one, and punctuation behind them
+_LETTERS = re.compile(rf"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([{re.escape(_PUNCTUATION)}]*)")
+_LOWER = re.compile("[a-zß-öø-ÿ]+")
+
+
 class WordEncoder:
     """Whole texts to ids with a tokenizer file whose tokens never cross white space.
 
@@ -138,12 +145,24 @@ class WordEncoder:
     MARK = "\x01"  # a group and a token of its own; parts the units of one library call
     BLOCK = 200
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        # for lower-case words of plain letters the same model without the steps that leave them as they are
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix)
+                              for i in range(self.tokenizer.get_vocab_size())])
+        trial = ["a", "the", "straße", "ñandú", "internationalisation", "qqqq"]
+        self.has_plain = self.ends.any() and all(
+            self.tokenizer.encode(w, add_special_tokens=False).ids == self.plain.encode(w, add_special_tokens=False).ids
+            for w in [*trial, " ".join(trial)])
         self._forget()
 
     def _forget(self) -> None:
@@ -162,28 +181,40 @@ class WordEncoder:
         if raw.isalpha():  # ASCII letters only
             return raw.lower().decode(), ""
         word = raw.decode("utf-8", "replace")
+        if m := _LETTERS.fullmatch(word):
+            return m[1].lower(), m[2]
         if "<|" in word:  # may hold a special token, which stands as it is
             return word, ""
         if word.isascii():
             word = word.lower()
-        stem = word.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        stem = word.rstrip(_PUNCTUATION)
         if len(stem) < len(word) and stem:
-            last = stem[-1]
             # the tokenizer composes and lower-cases first, which may leave a mark behind the letter
-            if (last if last.isascii() else unicodedata.normalize("NFC", last).lower()[-1]).isalnum():
+            if unicodedata.normalize("NFC", stem[-1]).lower()[-1].isalnum():
                 return stem, word[len(stem):]
         return word, ""
 
+    def _joined(self, tokenizer, blocks: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(blocks, add_special_tokens=False)]
+
+    def _encode_plain(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of lower-case words of plain letters, and how many each one has: a word is one group."""
+        if not new:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids = np.concatenate(self._joined(
+            self.plain, [" ".join(new[i:i + self.BLOCK]) for i in range(0, len(new), self.BLOCK)]))
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
     def _encode_units(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units, and how many each one has."""
+        if not new:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.mark) != 1 or any(self.MARK in u for u in new):
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists])
+            lists = self._joined(self.tokenizer, new)
+            return np.concatenate(lists), np.array([len(x) for x in lists])
         blocks = [new[i:i + self.BLOCK] for i in range(0, len(new), self.BLOCK)]
         parts, counts = [], []
-        for block, e in zip(blocks, self.tokenizer.encode_batch_fast(
-                [f" {self.MARK} ".join(b) for b in blocks], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
+        for block, ids in zip(blocks, self._joined(self.tokenizer, [f" {self.MARK} ".join(b) for b in blocks]), strict=True):
             cut = ids == self.mark[0]
             parts.append(ids[~cut])
             counts.append(np.bincount(np.cumsum(cut)[~cut], minlength=len(block)))
@@ -193,14 +224,17 @@ class WordEncoder:
         split = list(map(self.split, fresh))
         new = list({u for pair in split for u in pair}.difference(self.units, ("",)))
         if new:
-            ids, length = self._encode_units(new)
+            plain = [u for u in new if _LOWER.fullmatch(u)] if self.has_plain else []
+            new = plain + list(set(new).difference(plain))
+            (ids, length), (more, longer) = self._encode_plain(plain), self._encode_units(new[len(plain):])
+            ids, length = np.concatenate([ids, more]), np.concatenate([length, longer])
             self.units.update(zip(new, range(len(self.units), len(self.units) + len(new)), strict=True))
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
             self.length = np.concatenate([self.length, length])
             self.ids = np.concatenate([self.ids, ids])
         if fresh:
-            look = self.units
-            pairs = np.array([(look[a], look[b] if b else -1) for a, b in split])
+            find, n = self.units.get, len(fresh)
+            pairs = np.stack([np.fromiter((find(x[k], -1) for x in split), np.int64, n) for k in (0, 1)], axis=1)
             self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
             self.pairs = np.concatenate([self.pairs, pairs])
 
