@@ -42,12 +42,12 @@ def decay_risk(orders: DataFrame, newest: Column) -> DataFrame:
     )
 
 
-def at_risk_orders(orders: DataFrame, risk: DataFrame, now: Column, limit: int = TOP_RISKS) -> DataFrame:
-    """Undelivered orders of risky suppliers, highest value at risk first."""
+def at_risk_orders(orders: DataFrame, risk: DataFrame, now: Column) -> DataFrame:
+    """All undelivered orders of risky suppliers, with the value at risk."""
     left = (
         F.unix_seconds(F.col("expected_delivery").cast("timestamp")) - F.unix_seconds(now.cast("timestamp"))
     ) / F.lit(86400.0)
-    scored = (
+    return (
         orders.filter(F.col("status") != "DELIVERED")
         .withColumn("days_to_delivery", round_to(left, 2))
         .join(risk.select("supplier_id", "delay_probability", "confidence", "avg_delay_days"),
@@ -56,7 +56,11 @@ def at_risk_orders(orders: DataFrame, risk: DataFrame, now: Column, limit: int =
         .withColumn("risk_score", round_to(F.col("order_value") * F.col("delay_probability"), 2))
         .filter(F.col("delay_probability") > AT_RISK)
     )
-    return scored.orderBy(F.col("risk_score").desc(), F.col("order_id").asc()).limit(limit)
+
+
+def top_risks(risks: DataFrame, limit: int = TOP_RISKS) -> DataFrame:
+    """The report of the highest values at risk."""
+    return risks.orderBy(F.col("risk_score").desc(), F.col("order_id").asc()).limit(limit)
 
 
 def risk_reason() -> Column:
@@ -112,15 +116,17 @@ def daily_demand(orders: DataFrame, *keys: str, stamp: str = "expected_delivery"
     ).agg(money_sum("order_value").alias("y"))
 
 
-def linear_rule(orders: DataFrame, start: Column, periods: int = 30) -> DataFrame:
-    """Mean value growing by a tenth of a percent a day, with a 15 % band."""
-    base = orders.agg(ratio(money_sum("order_value"), F.count("order_value")).alias("base"))
+def linear_rule(orders: DataFrame, start: Column, *keys: str, periods: int = 30) -> DataFrame:
+    """Mean value growing by a tenth of a percent a day, with a 15 % band; for each key if there are keys."""
+    mean = ratio(money_sum("order_value"), F.count("order_value")).alias("base")
+    base = orders.groupBy(*keys).agg(mean) if keys else orders.agg(mean)
     n = F.col("n")
     growth = F.col("base") * F.lit(0.001)
     yhat = F.col("base") + growth * n
     return base.select(
-        "base", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("n")
+        *keys, "base", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("n")
     ).select(
+        *keys,
         F.date_format(F.date_add(start.cast("date"), n), "yyyy-MM-dd").alias("ds"),
         round_to(yhat, 2).alias("yhat"),
         round_to(yhat * F.lit(0.85), 2).alias("yhat_lower"),
@@ -138,7 +144,8 @@ def trend_forecast(daily: DataFrame, *keys: str, origin: str = "1995-01-01", per
     """A line through the daily series with an 80 % band, one per key.
 
     The sums behind the fit are whole numbers (days and cents), so the result
-    does not depend on the order of rows. Series under ten dates have no fit.
+    does not depend on the order of rows. Series under ten dates have no fit; ``demand_forecast`` gives
+    them the linear rule.
     """
     whole = "decimal(38,0)"
     x = F.datediff(F.col("ds"), F.lit(origin).cast("date")).cast(whole)
@@ -174,4 +181,23 @@ def trend_forecast(daily: DataFrame, *keys: str, origin: str = "1995-01-01", per
         round_to(yhat, 2).alias("yhat"),
         round_to(yhat - band, 2).alias("yhat_lower"),
         round_to(yhat + band, 2).alias("yhat_upper"),
+        round_to(yhat, 2).alias("trend"),
     )
+
+
+def demand_forecast(orders: DataFrame, start: Column, *keys: str, periods: int = 30) -> DataFrame:
+    """Thirty days for every key: the fitted line, or the linear rule where there are under ten dates."""
+    daily = daily_demand(orders, *keys)
+    fitted = trend_forecast(daily, *keys, periods=periods).withColumn("method", F.lit("fitted"))
+    dates = F.countDistinct(F.to_date("expected_delivery"))
+    if keys:
+        named = orders.filter(F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull())
+        short = named.groupBy(*keys).agg(dates.alias("_dates")).filter(F.col("_dates") < MIN_DATES).select(
+            *[F.col(k).alias(f"_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        rows = named.join(short, same, "left_semi")
+    else:
+        few = orders.agg(dates.alias("n")).scalar() < MIN_DATES
+        rows = orders.filter(few)
+    ruled = linear_rule(rows, start, *keys, periods=periods).filter(F.col("yhat").isNotNull())
+    return fitted.unionByName(ruled.withColumn("method", F.lit("linear")))

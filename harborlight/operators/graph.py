@@ -64,14 +64,14 @@ def degree_risk(edge_list: DataFrame) -> DataFrame:
     )
 
 
-def betweenness(edge_list: DataFrame, max_depth: int = 16) -> DataFrame:
+def betweenness(edge_list: DataFrame) -> DataFrame:
     """Share of shortest paths through each node, normalised, directed.
 
     All sources advance one step per round: a round is one join of the frontier
     (source, node, path count) with the edges and one aggregate, so its size is
     what counts, not the number of rounds. Going back, each node hands its share
     to the nodes before it. Rounds are checkpointed; the walk ends when no node
-    is new. Longer graphs than max_depth raise instead of giving wrong numbers.
+    is new, after as many rounds as the longest shortest path has steps.
     """
     spark = edge_list.sparkSession
     checkpoint_root(spark)
@@ -84,7 +84,7 @@ def betweenness(edge_list: DataFrame, max_depth: int = 16) -> DataFrame:
     seen = frontier.select("s", "node").unionByName(
         links.select(F.col("u").alias("s"), F.col("u").alias("node")).distinct())
     levels = [frontier.checkpoint()]
-    for _ in range(max_depth):
+    while True:
         ahead = (
             levels[-1].join(links, F.col("node") == F.col("u"))
             .groupBy("s", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
@@ -95,8 +95,6 @@ def betweenness(edge_list: DataFrame, max_depth: int = 16) -> DataFrame:
             break
         levels.append(ahead)
         seen = seen.unionByName(ahead.select("s", "node")).checkpoint()
-    else:
-        raise ValueError(f"the graph has shortest paths longer than {max_depth}")
 
     # from the farthest level back: share(node) = sum over next of paths/paths_next * (1 + share_next)
     total = None

@@ -74,13 +74,27 @@ def open_orders(orders: DataFrame) -> DataFrame:
     )
 
 
+def missing_order_columns(df: DataFrame) -> list[str]:
+    return [c for c in REQUIRED_ORDER_COLUMNS if c not in df.columns]
+
+
+def rejected_table(df: DataFrame) -> DataFrame:
+    """Dead letters of a table that lacks required columns: per source file the missing names and the rows."""
+    source = F.col("_source_file") if "_source_file" in df.columns else F.lit(None).cast("string")
+    missing = ",".join(missing_order_columns(df))
+    rows = df.groupBy(source.alias("source_file")).agg(F.count("*").alias("rows")).filter("rows > 0")
+    return rows.select("source_file", F.lit(missing).alias("missing"), "rows") if missing else rows.limit(0).select(
+        "source_file", F.lit("").alias("missing"), "rows")
+
+
 def coerce_orders(df: DataFrame, today: Column) -> DataFrame:
     """Foreign order rows to the canonical columns: defaults, clamps, status fallback.
 
-    A table without the required columns yields no rows. Columns of its own stay.
+    A table without the required columns raises; ``rejected_table`` records it.
+    Columns of its own stay.
     """
-    if not set(REQUIRED_ORDER_COLUMNS) <= set(df.columns):
-        return df.limit(0)
+    if missing := missing_order_columns(df):
+        raise ValueError(f"required columns are missing: {', '.join(missing)}")
 
     def text(name: str) -> Column:
         if name not in df.columns:

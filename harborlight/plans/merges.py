@@ -156,19 +156,20 @@ _COUNT = "SELECT '{}' AS layer, count(*) AS rows FROM {}"
     _COUNT.format("gold/orders_ai_ready", "silver_orders"),
     _COUNT.format("gold/deviations", "silver_orders WHERE delay_days > 0"),
     _COUNT.format("gold/supplier_risk", "supplier_risk"),
-    _COUNT.format("gold/forecasted_risks", "risks"),
+    _COUNT.format("gold/forecasted_risks", "all_risks"),
     "SELECT 'gold/demand_forecast', 30",
 ]))
 def medallion_run(t):
-    """The batch job over two loads, the older orders first, then the later ones."""
+    """The batch job over two loads, the older orders first; the later load is run twice, as after a failure."""
     from harborlight.medallion import LAYERS, Medallion
     from harborlight.session import run_dir
 
     job = Medallion(t.spark, run_dir(t.spark, "medallion"), t.order_anchor())
     bronze = t.bronze_orders()
     day = F.date_trunc("YEAR", F.col("created_at"))
-    for load in (bronze.filter(F.col("expected_delivery") < cut()), bronze.filter(F.col("expected_delivery") >= cut())):
-        job.run(load, t.freight_rates(), t.wh_capacities(), day)
+    older, later = bronze.filter(F.col("expected_delivery") < cut()), bronze.filter(F.col("expected_delivery") >= cut())
+    for load_id, load in (("1", older), ("2", later), ("2", later)):
+        job.run(load, t.freight_rates(), t.wh_capacities(), day, load_id)
     job.maintain()
     out = None
     for layer in LAYERS:

@@ -6,6 +6,8 @@ row and not the file. Rows keep where they came from.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,20 +32,67 @@ PRODUCT_HEADER = ["Plant_Code", "Product_ID"]
 DELIMITERS = {".csv": ",", ".tsv": "\t", ".txt": "|"}
 
 
-def _text_table(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
-    """All columns as text, picked by name from the file's header."""
-    first = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    present = {c.strip(): c for c in first.columns}
-    columns = [
-        (F.col(f"`{present[c]}`") if c in present else F.lit(None).cast("string")).alias(c) for c in header
-    ]
-    return first.select(
-        *columns,
+def files_by_header(spark: SparkSession, path: str, sep: str = ",") -> dict[tuple[str, ...], list[str]]:
+    """The files of a folder, or one file, grouped by their header's names in order.
+
+    Only first lines are read, on the driver; names are what is compared, so
+    files of one feed may order their columns differently.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(at)
+    if not found:
+        raise FileNotFoundError(path)
+    names, stack = [], list(found)
+    while stack:
+        status = stack.pop()
+        name = status.getPath().getName()
+        if name[0] in "._":
+            continue
+        if status.isDirectory():
+            stack += list(fs.listStatus(status.getPath()))
+        elif status.getLen() > 0:
+            names.append(status.getPath().toString())
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for name in sorted(names):
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+            fs.open(jvm.org.apache.hadoop.fs.Path(name)), "UTF-8"))
+        try:
+            line = (reader.readLine() or "").lstrip("\ufeff")
+        finally:
+            reader.close()
+        header = tuple(c.strip() for c in next(csv.reader([line], delimiter=sep), []))
+        groups.setdefault(header, []).append(name)
+    return groups
+
+
+def _cells(spark: SparkSession, header: tuple[str, ...], files: list[str], sep: str = ",") -> DataFrame:
+    """All cells of files with one header as text, with their source; of equal names the first column counts."""
+    places = [f"_c{i}" for i in range(len(header))]
+    rows = spark.read.schema(", ".join(f"{c} string" for c in places)).option("header", True).option(
+        "sep", sep).csv(files)
+    first = {name: i for i, name in reversed(list(enumerate(header)))}
+    return rows.select(
+        *[F.col(places[i]).alias(n) for n, i in sorted(first.items(), key=lambda x: x[1]) if n],
         F.col("_metadata.file_name").alias("_source_file"),
         F.current_timestamp().alias("_source_ingested_at"),
     )
 
 
+def _text_table(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
+    """The wanted columns as text, by name, whatever their order in each file; absent ones are null."""
+    found = None
+    for names, files in files_by_header(spark, path).items():
+        rows = _cells(spark, names, files)
+        columns = [(F.col(f"`{c}`") if c in names else F.lit(None).cast("string")).alias(c) for c in header]
+        rows = rows.select(*columns, "_source_file", "_source_ingested_at")
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        raise FileNotFoundError(f"{path} has no rows")
+    return found
+
+
 def _text(name: str) -> Column:
     return F.coalesce(F.trim(F.col(name)), F.lit(""))
 
@@ -136,32 +185,76 @@ def products_per_plant(spark: SparkSession, path: str) -> DataFrame:
     return _pairs(spark, path, PRODUCT_HEADER, "product_id")
 
 
+def _narrowed(table: DataFrame, names: list[str]) -> DataFrame:
+    """Text columns to the narrowest type that holds every cell of theirs; all rows are looked at."""
+    kinds = ["int", "bigint", "double"]
+
+    def filled(name: str) -> Column:
+        return F.nullif(F.trim(F.col(f"`{name}`")), F.lit(""))
+
+    counts = [F.count(filled(n)).alias(f"n{i}") for i, n in enumerate(names)] + [
+        F.count(filled(n).try_cast(k)).alias(f"{k}{i}") for i, n in enumerate(names) for k in kinds]
+    row = table.agg(*counts).first()
+    typed = []
+    for i, n in enumerate(names):
+        kind = next((k for k in kinds if row[f"n{i}"] and row[f"{k}{i}"] == row[f"n{i}"]), None)
+        typed.append(filled(n).try_cast(kind).alias(n) if kind else F.col(f"`{n}`"))
+    return table.select(*typed, "_source_file", "_source_ingested_at")
+
+
 def any_file(
-    spark: SparkSession, path: str, delimiter: str | None = None, sample: float = 0.1,
-    schema: T.StructType | None = None,
+    spark: SparkSession, path: str, delimiter: str | None = None, schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Any delimited file: types inferred, known columns renamed, source noted."""
+    """Any delimited file, or a folder of them: known columns renamed, source noted.
+
+    Cells are read as text. Without a schema a column gets a number type only if
+    every cell of it converts. With one, cells that do not convert are null and
+    stand in ``_bad_cells`` as name=cell. Columns that a file lacks are null.
+    """
     if delimiter is None:
         suffix = path[path.rfind("."):].lower() if "." in path.rsplit("/", 1)[-1] else ".csv"
         delimiter = DELIMITERS.get(suffix, ",")
-    reader = spark.read.option("header", True).option("sep", delimiter)
+    table = None
+    for header, files in files_by_header(spark, path, delimiter).items():
+        rows = _cells(spark, header, files, delimiter)
+        table = rows if table is None else table.unionByName(rows, allowMissingColumns=True)
+    if table is None:
+        raise FileNotFoundError(f"{path} has no rows")
+    names = [c for c in table.columns if c not in ("_source_file", "_source_ingested_at")]
     if schema is None:
-        reader = reader.option("inferSchema", True).option("samplingRatio", sample)
-    else:
-        reader = reader.schema(schema)
-    table = reader.csv(path)
-    plain = [F.col(f"`{c}`").alias(c.strip()) for c in table.columns]
-    named = table.select(*plain, F.col("_metadata.file_name").alias("_source_file"),
-                         F.current_timestamp().alias("_source_ingested_at"))
-    return rename_known(named)
+        return rename_known(_narrowed(table, names).select(*[f"`{c}`" for c in names], "_source_file", "_source_ingested_at"))
+    cells = {f.name: F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit("")) for f in schema.fields if f.name in names}
+    lost = [F.when(c.isNotNull() & c.try_cast(schema[n].dataType).isNull(), F.concat(F.lit(f"{n}="), c))
+            for n, c in cells.items()]
+    return rename_known(table.select(
+        *[(cells[f.name].try_cast(f.dataType) if f.name in cells else F.lit(None).cast(f.dataType)).alias(f.name)
+          for f in schema.fields],
+        "_source_file", "_source_ingested_at", F.array_compact(F.array(*lost)).alias("_bad_cells")))
 
 
 def new_files(spark: SparkSession, folder: str, schema: T.StructType, checkpoint: str, out: str,
               delimiter: str = ",") -> None:
-    """Load files that arrived since the last call, each exactly once, and stop."""
-    files = (
-        spark.readStream.schema(schema).option("header", True).option("sep", delimiter).csv(folder)
-        .withColumn("_source_file", F.col("_metadata.file_name"))
-    )
-    files.writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """Load files that arrived since the last call, each exactly once, and stop.
+
+    The stream carries file names only. Each batch reads its files by header and writes a
+    folder of its own, which a repeated batch replaces.
+    """
+
+    def load(names: DataFrame, batch: int) -> None:
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for row in names.collect():  # names of the batch's new files
+            for header, files in files_by_header(spark, row["path"], delimiter).items():
+                groups.setdefault(header, []).extend(files)
+        found = None
+        for header, files in groups.items():
+            rows = _cells(spark, header, files, delimiter).select(
+                *[(F.col(f"`{f.name}`") if f.name in header else F.lit(None)).try_cast(f.dataType).alias(f.name)
+                  for f in schema.fields], "_source_file")
+            found = rows if found is None else found.unionByName(rows)
+        if found is not None:
+            found.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    names = spark.readStream.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length bigint, content binary").load(folder).select("path")
+    names.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()

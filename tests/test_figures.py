@@ -125,10 +125,10 @@ def test_betweenness_on_a_graph_with_cycles(spark, seed):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_betweenness_refuses_too_long_paths(spark):
-    chain = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(6)], "source string, target string")
-    with pytest.raises(ValueError):
-        graph.betweenness(chain, max_depth=3)
+def test_betweenness_of_a_long_path(spark):
+    edges = [(f"{i:02d}", f"{i + 1:02d}") for i in range(30)]
+    got = {r.id: r.betweenness for r in graph.betweenness(spark.createDataFrame(edges, "source string, target string")).collect()}
+    assert all(abs(got[f"{i:02d}"] - i * (30 - i) / (30 * 29)) < 1e-9 for i in range(31))
 
 
 def test_plant_to_port_edges_have_no_inner_nodes(spark):

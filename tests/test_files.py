@@ -4,6 +4,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harborlight.session import path_exists, run_dir
 from harborlight.sources import csv_feeds, layers, purchase_orders, sinks
@@ -56,15 +57,39 @@ def test_small_feeds(spark, tmp_path):
 def test_any_file_infers_types_and_names(spark, tmp_path, name, sep):
     path = write(tmp_path / name, sep.join(["OrderNumber", "Vendor", "SKU", "Qty", "Price", "My Delay"]),
                  sep.join(["A1", "S", "P", "3", "2.5", "1"]), sep.join(["A2", "S", "P", "4", "3.5", "0"]))
-    df = csv_feeds.any_file(spark, path, sample=1.0)
+    df = csv_feeds.any_file(spark, path)
     assert df.columns == ["order_id", "supplier_id", "product", "quantity", "unit_price", "My Delay", "_source_file", "_source_ingested_at"]
     assert dict(df.dtypes)["quantity"] == "int" and dict(df.dtypes)["unit_price"] == "double"
     assert df.first()._source_file == name
 
 
-def test_new_files_are_loaded_once(spark, tmp_path):
-    from pyspark.sql import types as T
+def test_one_word_among_numbers_is_kept(spark, tmp_path):
+    path = write(tmp_path / "n.csv", "Qty,Price", *[f"{i},{i}.5" for i in range(200)], "twelve,1")
+    df = csv_feeds.any_file(spark, path)
+    assert dict(df.dtypes)["quantity"] == "string" and df.filter("quantity = 'twelve'").count() == 1
+    schema = T.StructType([T.StructField("Qty", T.IntegerType()), T.StructField("Price", T.DoubleType())])
+    typed = csv_feeds.any_file(spark, path, schema=schema)
+    assert typed.filter("quantity IS NOT NULL").count() == 200
+    assert [r._bad_cells for r in typed.filter("size(_bad_cells) > 0").collect()] == [["Qty=twelve"]]
+
+
+def test_columns_go_by_name(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder / "a.csv", "Plant_Code,Ports", "PL1,A")
+    write(folder / "b.csv", "Ports,Plant_Code,Extra", "B,PL2,x")
+    write(folder / "c.csv", "Plant_Code", "PL3")
+    assert {(r.plant_code, r.port) for r in csv_feeds.plant_ports(spark, str(folder)).collect()} == {("PL1", "A"), ("PL2", "B")}
+    got = {tuple(r.asDict().values())[:-2] for r in csv_feeds.any_file(spark, str(folder)).collect()}
+    assert got == {("PL1", "A", None), ("PL2", "B", "x"), ("PL3", None, None)}
+    schema = T.StructType([T.StructField("Plant_Code", T.StringType()), T.StructField("Ports", T.StringType())])
+    csv_feeds.new_files(spark, str(folder), schema, str(tmp_path / "s"), str(tmp_path / "o"))
+    got = spark.read.parquet(str(tmp_path / "o")).collect()
+    assert {(r.Plant_Code, r.Ports, r._source_file) for r in got} == {
+        ("PL1", "A", "a.csv"), ("PL2", "B", "b.csv"), ("PL3", None, "c.csv")}
+
 
+def test_new_files_are_loaded_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     schema = T.StructType([T.StructField("a", T.IntegerType())])
@@ -136,6 +161,39 @@ def test_compaction_keeps_rows(spark):
     assert sinks.compact(spark, path)["files_after"] == 1
 
 
+def test_compaction_keeps_partitions(spark):
+    path = run_dir(spark, "parts")
+    rows = spark.range(1000).withColumn("day", F.col("id") % 3)
+    rows.repartition(5).write.partitionBy("day").parquet(path)
+    before = {r.day: r["count"] for r in spark.read.parquet(path).groupBy("day").count().collect()}
+    assert sinks.compact(spark, path)["files_after"] == 3
+    one = f"{path}/day=1"
+    kept = os.listdir(one)
+    spark.range(5).repartition(3).write.mode("append").parquet(f"{path}/day=2")
+    assert sinks.compact(spark, path)["files_after"] == 3 and os.listdir(one) == kept
+    before[2] += 5
+    assert {r.day: r["count"] for r in spark.read.parquet(path).groupBy("day").count().collect()} == before
+
+
+@pytest.mark.parametrize("broken", [1, 2])
+def test_a_rename_that_fails_keeps_the_old_table(spark, monkeypatch, broken):
+    path, calls, rename = run_dir(spark, "safe"), [], sinks._rename
+    spark.range(3).write.parquet(path)
+
+    def failing(session, source, target):
+        calls.append(source)
+        return False if len(calls) == broken else rename(session, source, target)
+
+    monkeypatch.setattr(sinks, "_rename", failing)
+    with pytest.raises(OSError, match="unchanged"):
+        sinks.replace(spark.range(7), path)
+    assert spark.read.parquet(path).count() == 3
+    monkeypatch.setattr(sinks, "_rename", rename)
+    rename(spark, path, f"{path}.old-1234")  # cut off between the renames
+    sinks.replace(spark.range(7), path)
+    assert spark.read.parquet(path).count() == 7
+
+
 def test_backfill_modes(spark):
     path = run_dir(spark, "fill")
     order = ["created_at"]

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from harborlight.operators import forecast, merge, orders
@@ -60,7 +61,11 @@ def test_coerce_needs_its_columns_and_fixes_cells(spark):
     assert (x2.product, x2.order_value, x2.status, x2.region, x2.inventory_level) == ("UNKNOWN", 10.0, "DELAYED", "UNKNOWN", 80.0)
     assert (x3.quantity, x3.unit_price, x3.delay_days, x3.status, x3.order_value) == (1, 0.0, 0, "DELIVERED", 12.5)
     assert x1.expected_delivery == "2024-01-01" and x1.actual_delivery is None
-    assert orders.coerce_orders(df.drop("status"), F.lit("x")).count() == 0
+    with pytest.raises(ValueError, match="status"):
+        orders.coerce_orders(df.drop("status"), F.lit("x"))
+    lost = orders.rejected_table(df.drop("status", "quantity")).collect()
+    assert [(r.missing, r.rows) for r in lost] == [("quantity,status", df.count())]
+    assert orders.rejected_table(df).count() == 0
 
 
 def test_dates_in_mixed_formats(spark):
@@ -132,7 +137,13 @@ def test_trend_needs_ten_dates_and_follows_a_line(spark):
         [("a", dt.date(2020, 1, 1) + dt.timedelta(days=i), 100.0 + 2 * i) for i in range(20)]
         + [("b", dt.date(2020, 1, 1) + dt.timedelta(days=i), 5.0) for i in range(9)], "k string, ds date, y double")
     got = forecast.trend_forecast(daily, "k", periods=3).orderBy("ds").collect()
-    assert [r.k for r in got] == ["a"] * 3
+    assert [r.k for r in got] == ["a"] * 3 and all(r.trend == r.yhat for r in got)
+    orders = daily.select("k", F.col("ds").cast("timestamp").alias("expected_delivery"), F.col("y").alias("order_value"))
+    every = forecast.demand_forecast(orders, F.lit("2020-02-01"), "k").collect()
+    assert sorted((r.k, r.method) for r in every) == [("a", "fitted")] * 30 + [("b", "linear")] * 30
+    assert {(r.yhat, r.trend) for r in every if r.k == "b" and r.ds == "2020-02-11"} == {(5.05, 0.05)}
+    alone = forecast.demand_forecast(orders.filter("k = 'b'"), F.lit("2020-02-01")).collect()
+    assert {r.method for r in alone} == {"linear"} and len(alone) == 30
     for i, r in enumerate(got):
         assert abs(r.yhat - (100 + 2 * (20 + i))) < 0.02 and abs(r.yhat_upper - r.yhat) < 0.02
 
