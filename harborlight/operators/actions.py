@@ -146,12 +146,15 @@ def applicable_constraints(orders: DataFrame, constraints: DataFrame) -> DataFra
 def violations(matched: DataFrame) -> DataFrame:
     """Rows of matched constraints that the order breaks, with the value seen.
 
-    Expects delay_days, order_value, inventory_level and trust_score.
+    Expects delay_days, order_value, inventory_level, trust_score and the three
+    dates. Limits on entities as a whole and unknown kinds are in ``constraint_report``.
     """
     kind = F.upper("constraint_type")
     upper = (
         F.when(kind == "MAX_DELAY_DAYS", F.col("delay_days").cast("double"))
         .when(kind.isin("MAX_SPEND_USD", "ANOMALY_VALUE_THRESHOLD"), F.col("order_value"))
+        .when(kind == "SLA_DELIVERY_DAYS", F.datediff(
+            F.coalesce("actual_delivery", "expected_delivery"), "created_at").cast("double"))
     )
     lower = (
         F.when(kind.isin("MIN_TRUST_SCORE", "MIN_TRUST_SCORE_THRESHOLD"), F.col("trust_score"))
@@ -160,3 +163,39 @@ def violations(matched: DataFrame) -> DataFrame:
     return matched.withColumn("observed", F.coalesce(upper, lower)).filter(
         F.coalesce(upper > F.col("value"), F.lit(False)) | F.coalesce(lower < F.col("value"), F.lit(False))
     )
+
+
+ORDER_KINDS = ["MAX_DELAY_DAYS", "MAX_SPEND_USD", "ANOMALY_VALUE_THRESHOLD", "SLA_DELIVERY_DAYS", "MIN_TRUST_SCORE",
+               "MIN_TRUST_SCORE_THRESHOLD", "MIN_INVENTORY", "MIN_INVENTORY_LEVEL"]
+ENTITY_KINDS = ["MAX_DELAY_RATE_PCT", "MAX_AVG_DELAY_DAYS", "MAX_SINGLE_SUPPLIER_PCT"]
+
+
+def constraint_report(constraints: DataFrame, orders: DataFrame, broken: DataFrame) -> DataFrame:
+    """One row per constraint: its level, the figure seen for an entity as a whole, broken orders, whether it is broken.
+
+    Entities are all orders (*), a supplier, a region or a product. A kind that is
+    neither on orders nor on entities is reported as UNKNOWN with no verdict, and so is
+    an entity without orders. ``broken`` are the rows of ``violations``.
+    """
+    kind = F.upper("constraint_type")
+    entities = F.array_distinct(F.array_compact(F.array(F.lit("*"), "supplier_id", "region", "product")))
+    # counted by entity and supplier first: a hot entity is as many rows as it has suppliers
+    pairs = orders.select("supplier_id", "delay_days", F.explode(entities).alias("entity_id")).groupBy(
+        "entity_id", "supplier_id").agg(
+        F.count("*").alias("n"), count_if(F.col("delay_days") > 0).alias("late"), F.sum("delay_days").alias("days"))
+    figures = pairs.groupBy("entity_id").agg(
+        F.sum("n").alias("n"), F.sum("late").alias("late"), F.sum("days").alias("days"), F.max("n").alias("most"))
+    counts = broken.groupBy("id").agg(F.count("*").alias("broken_orders"))
+    seen = (
+        F.when(kind == "MAX_DELAY_RATE_PCT", F.col("late") * F.lit(100.0) / F.col("n"))
+        .when(kind == "MAX_AVG_DELAY_DAYS", F.col("days").cast("double") / F.col("n"))
+        .when(kind == "MAX_SINGLE_SUPPLIER_PCT", F.col("most") * F.lit(100.0) / F.col("n"))
+    )
+    level = F.when(kind.isin(ORDER_KINDS), "ORDER").when(kind.isin(ENTITY_KINDS), "ENTITY").otherwise("UNKNOWN")
+    rows = constraints.join(figures, "entity_id", "left").join(counts, "id", "left").select(
+        "id", "constraint_type", level.alias("level"), round_to(seen, 4).alias("observed"),
+        F.coalesce("broken_orders", F.lit(0)).alias("broken_orders"), "value")
+    return rows.select(
+        "id", "constraint_type", "level", "observed", "broken_orders",
+        F.when(F.col("level") == "ORDER", F.col("broken_orders") > 0)
+        .when(F.col("level") == "ENTITY", F.col("observed") > F.col("value")).alias("broken"))

@@ -174,7 +174,7 @@ FROM (
        CASE WHEN _k1 % 10 <> 9 THEN (_k1 % 100)::DOUBLE / 100.0::DOUBLE END AS confidence,
        _k1 % 2 = 0 AS resolved,
        detected_at + to_minutes(CAST(_k1 % 25 + 5 AS INTEGER)) AS created_at,
-       CASE WHEN _k2 % 2 = 0 THEN 'ALT-' || _k2 END AS alternate_supplier_id,
+       CASE WHEN (_k1 + _k2) % 3 <> 0 THEN 'ALT-' || _k2 END AS alternate_supplier_id,
        CASE WHEN _k1 % 3 = 0 THEN _k1 % 50 + 1 END AS recommended_quantity,
        severity AS payload_severity, order_value AS payload_value, product AS payload_product, _k1, _k2
   FROM deviations WHERE severity IN ('HIGH', 'CRITICAL'))
@@ -195,7 +195,15 @@ SELECT * FROM (VALUES
  (11, 'AFRICA', 'REGION', 'min_inventory', 10.0, false),
  (12, 'small ring', 'PRODUCT', 'max_delay_days', 2.0, true),
  (13, 'red widget', 'PRODUCT', 'max_spend_usd', 60000.0, false),
- (14, 'hot gear', 'PRODUCT', 'min_inventory_level', 14.0, true)
+ (14, 'hot gear', 'PRODUCT', 'min_inventory_level', 14.0, true),
+ (15, 'Supplier#000000004', 'SUPPLIER', 'max_delay_rate_pct', 15.0, true),
+ (16, 'ASIA', 'REGION', 'max_avg_delay_days', 3.0, true),
+ (17, 'Supplier#000000002', 'SUPPLIER', 'sla_delivery_days', 60.0, true),
+ (18, 'EUROPE', 'REGION', 'max_single_supplier_pct', 5.0, true),
+ (19, 'AMERICA', 'REGION', 'max_delay_rate_pct', 99.0, false),
+ (20, 'Supplier#000000003', 'SUPPLIER', 'min_safety_stock_days', 14.0, true),
+ (21, 'Supplier#000000001', 'SUPPLIER', 'probation_flag', 1.0, true),
+ (22, 'nobody', 'SUPPLIER', 'max_delay_rate_pct', 10.0, true)
 ) t(id, entity_id, entity_type, constraint_type, value, hard_limit)
 """
 
@@ -266,6 +274,11 @@ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM eve
 """
 
 
+# large tables that one query names several times
+SHARED = {"pending_actions", "deviations", "silver_orders"}
+MATERIALIZED = "MATERIALIZED "
+
+
 def compose(body: str) -> str:
     """The query with the derived tables it uses, directly or not, in front of it."""
     needed: list[str] = []
@@ -281,7 +294,7 @@ def compose(body: str) -> str:
     visit(body, ())
     if not needed:
         return body.strip()
-    ctes = ",\n".join(f"{name} AS ({TABLES[name].strip()})" for name in needed)
+    ctes = ",\n".join(f"{name} AS {MATERIALIZED if name in SHARED else ''}({TABLES[name].strip()})" for name in needed)
     body = body.strip()
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes},\n{body[15:]}"

@@ -50,17 +50,9 @@ def low_conf_actions(t):
 @query("invalid_reroutes", "C08 B20", """
 SELECT action_id, deviation_id, 'ESCALATE' AS new_action_type FROM pending_actions, anchor
 WHERE action_type = 'REROUTE' AND status = 'PENDING' AND created_at > now - INTERVAL 2000 DAY
-  AND alternate_supplier_id IS NULL
-UNION ALL
-SELECT action_id, deviation_id, 'ESCALATE' FROM pending_actions
-WHERE action_type = 'REROUTE' AND status = 'FAILED' AND alternate_supplier_id IS NULL""")
+  AND alternate_supplier_id IS NULL""")
 def invalid_reroutes(t):
-    """Failed reroutes are checked too: in this data only those lack a supplier."""
-    actions = t.pending_actions()
-    since = t.order_anchor() - days(F.lit(2000))
-    failed = actions.filter(F.col("status") == "FAILED").withColumn("status", F.lit("PENDING"))
-    first = F.lit("1900-01-01").cast("timestamp_ntz")
-    return ops.invalid_reroutes(actions, since).unionByName(ops.invalid_reroutes(failed, first))
+    return ops.invalid_reroutes(t.pending_actions(), t.order_anchor() - days(F.lit(2000)))
 
 
 @query("payload_extract", "B20", """
@@ -138,7 +130,7 @@ SELECT o.order_id, c.id, c.entity_id, c.constraint_type, c.value FROM silver_ord
   ON c.entity_id = '*' OR c.entity_id = o.supplier_id OR c.entity_id = o.region OR c.entity_id = o.product""")
 def applicable_constraints(t):
     orders = t.silver_orders().select("order_id", "supplier_id", "region", "product")
-    return ops.applicable_constraints(orders, F.broadcast(t.constraints())).select(
+    return ops.applicable_constraints(orders, t.constraints()).select(
         "order_id", "id", "entity_id", "constraint_type", "value")
 
 
@@ -154,27 +146,56 @@ def list_constraints(t):
         F.coalesce("orders", F.lit(0)).alias("orders")).orderBy("id").limit(100)
 
 
-@query("constraint_violations", "K19", """
+BROKEN = """
 SELECT * FROM (
   SELECT o.order_id, c.id, c.constraint_type, c.value, c.hard_limit,
     CASE WHEN c.constraint_type = 'max_delay_days' THEN o.delay_days::DOUBLE
          WHEN c.constraint_type IN ('max_spend_usd', 'anomaly_value_threshold') THEN o.order_value
+         WHEN c.constraint_type = 'sla_delivery_days' THEN date_diff('day', o.created_at, coalesce(o.actual_delivery, o.expected_delivery))::DOUBLE
          WHEN c.constraint_type IN ('min_trust_score', 'min_trust_score_threshold') THEN s.trust_score
          WHEN c.constraint_type IN ('min_inventory', 'min_inventory_level') THEN o.inventory_level END AS observed
   FROM silver_orders o JOIN constraints c
     ON c.entity_id = '*' OR c.entity_id = o.supplier_id OR c.entity_id = o.region OR c.entity_id = o.product
   LEFT JOIN suppliers s ON s.supplier_id = o.supplier_id)
-WHERE (constraint_type IN ('max_delay_days', 'max_spend_usd', 'anomaly_value_threshold') AND observed > value)
-   OR (constraint_type IN ('min_trust_score', 'min_trust_score_threshold', 'min_inventory', 'min_inventory_level') AND observed < value)""")
-def constraint_violations(t):
+WHERE (constraint_type IN ('max_delay_days', 'max_spend_usd', 'anomaly_value_threshold', 'sla_delivery_days') AND observed > value)
+   OR (constraint_type IN ('min_trust_score', 'min_trust_score_threshold', 'min_inventory', 'min_inventory_level') AND observed < value)"""
+
+
+def order_violations(t):
     orders = t.silver_orders().select(
-        "order_id", "supplier_id", "region", "product", "delay_days", "order_value", "inventory_level")
-    matched = ops.applicable_constraints(orders, F.broadcast(t.constraints())).join(
+        "order_id", "supplier_id", "region", "product", "delay_days", "order_value", "inventory_level",
+        "created_at", "expected_delivery", "actual_delivery")
+    matched = ops.applicable_constraints(orders, t.constraints()).join(
         t.suppliers().select("supplier_id", "trust_score"), "supplier_id", "left")
     return ops.violations(matched).select(
         "order_id", "id", "constraint_type", "value", "hard_limit", "observed")
 
 
+@query("constraint_violations", "K19", BROKEN)
+def constraint_violations(t):
+    return order_violations(t)
+
+
+@query("constraint_report", "K19", f"""
+WITH broken AS (SELECT id, count(*) AS n FROM ({BROKEN}) GROUP BY 1),
+named AS (SELECT order_id, supplier_id, delay_days, unnest(['*', supplier_id, region, product]) AS entity_id FROM silver_orders),
+entity AS (SELECT entity_id, count(*) AS n, count(*) FILTER (WHERE delay_days > 0) AS late, sum(delay_days) AS days FROM named GROUP BY 1),
+top AS (SELECT entity_id, max(n) AS n FROM (SELECT entity_id, supplier_id, count(*) AS n FROM named GROUP BY 1, 2) GROUP BY 1),
+seen AS (SELECT c.id, c.constraint_type, c.value, c.hard_limit, coalesce(b.n, 0) AS broken_orders,
+   CASE WHEN c.constraint_type IN ('max_delay_days', 'max_spend_usd', 'anomaly_value_threshold', 'sla_delivery_days', 'min_trust_score',
+          'min_trust_score_threshold', 'min_inventory', 'min_inventory_level') THEN 'ORDER'
+        WHEN c.constraint_type IN ('max_delay_rate_pct', 'max_avg_delay_days', 'max_single_supplier_pct') THEN 'ENTITY'
+        ELSE 'UNKNOWN' END AS level,
+   {rnd("CASE c.constraint_type WHEN 'max_delay_rate_pct' THEN e.late * 100.0::DOUBLE / e.n WHEN 'max_avg_delay_days' THEN e.days::DOUBLE / e.n WHEN 'max_single_supplier_pct' THEN t.n * 100.0::DOUBLE / e.n END", 4)} AS observed
+ FROM constraints c LEFT JOIN broken b ON b.id = c.id LEFT JOIN entity e ON e.entity_id = c.entity_id LEFT JOIN top t ON t.entity_id = c.entity_id)
+SELECT id, constraint_type, level, observed, broken_orders,
+  CASE level WHEN 'ORDER' THEN broken_orders > 0 WHEN 'ENTITY' THEN observed > value END AS broken FROM seen""")
+def constraint_report(t):
+    """Every constraint with what became of it, unknown kinds and entities without orders among them."""
+    orders = t.silver_orders().select("supplier_id", "region", "product", "delay_days")
+    return ops.constraint_report(t.constraints(), orders, order_violations(t))
+
+
 @query("deviation_context", "D19 D09 D10 D11", """
 SELECT o.order_id, o.supplier_id, s.trust_score,
   (SELECT count(*) FROM constraints c WHERE c.entity_id IN ('*', o.supplier_id, o.region, o.product)) AS constraint_count,
@@ -206,7 +227,7 @@ def deviation_context(t):
                 "co_rank", "co_order_id", "co_affected_orders")
     alt = listed(sup.alternates_for(late.select("order_id", "supplier_id", "region"), suppliers, 0.75, k),
                  "alt_rank", "alt_supplier_id", "alternate_suppliers")
-    rule_count = ops.applicable_constraints(late, F.broadcast(t.constraints())).groupBy("order_id").agg(
+    rule_count = ops.applicable_constraints(late, t.constraints()).groupBy("order_id").agg(
         F.count("*").alias("constraint_count"))
     return (
         late.select("order_id", "supplier_id")

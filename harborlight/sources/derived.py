@@ -260,7 +260,7 @@ class Tables:
         created = F.col("detected_at") + minutes((k1 % 25 + 5).cast("int"))
         status = pick(["PENDING", "COMPLETED", "CANCELLED", "FAILED"], k2)
         payload = F.to_json(F.struct(
-            F.when(k2 % 2 == 0, F.concat(F.lit("ALT-"), k2.cast("string"))).alias("alternate_supplier_id"),
+            F.when((k1 + k2) % 3 != 0, F.concat(F.lit("ALT-"), k2.cast("string"))).alias("alternate_supplier_id"),
             F.col("severity"),
             F.col("order_value"),
             F.col("product"),
@@ -369,7 +369,7 @@ def typed_events(e: DataFrame) -> DataFrame:
     )
 
 
-# Constraint rows (id, entity, entity type, constraint type, value, hard limit).
+# Our own fixture: constraint rows (id, entity, entity type, constraint type, value, hard limit).
 CONSTRAINTS = [
     (1, "*", "GLOBAL", "max_delay_days", 7.0, True),
     (2, "*", "GLOBAL", "min_inventory_level", 20.0, True),
@@ -385,4 +385,12 @@ CONSTRAINTS = [
     (12, "small ring", "PRODUCT", "max_delay_days", 2.0, True),
     (13, "red widget", "PRODUCT", "max_spend_usd", 60000.0, False),
     (14, "hot gear", "PRODUCT", "min_inventory_level", 14.0, True),
+    (15, "Supplier#000000004", "SUPPLIER", "max_delay_rate_pct", 15.0, True),
+    (16, "ASIA", "REGION", "max_avg_delay_days", 3.0, True),
+    (17, "Supplier#000000002", "SUPPLIER", "sla_delivery_days", 60.0, True),
+    (18, "EUROPE", "REGION", "max_single_supplier_pct", 5.0, True),
+    (19, "AMERICA", "REGION", "max_delay_rate_pct", 99.0, False),
+    (20, "Supplier#000000003", "SUPPLIER", "min_safety_stock_days", 14.0, True),
+    (21, "Supplier#000000001", "SUPPLIER", "probation_flag", 1.0, True),
+    (22, "nobody", "SUPPLIER", "max_delay_rate_pct", 10.0, True),
 ]

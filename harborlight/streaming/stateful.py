@@ -7,9 +7,10 @@ itself, and the slices are chained over a few numbers per slice.
 
 from __future__ import annotations
 
-import bisect
+from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,20 +96,22 @@ def health_state(path: DataFrame) -> DataFrame:
 MAX_ALERTS = 5
 
 
-def _accept(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Go through one supplier's candidates in order and keep those under the limit."""
-    pdf = pdf.sort_values(["at", "event_id"])
-    prior = pdf["prior"].to_numpy()
-    accepted: list[int] = [int(a) for a in pdf.loc[prior, "at"]]
-    keep = []
-    for row, (at, old) in enumerate(zip(pdf["at"].to_numpy(), prior)):
-        if old:
-            continue
-        recent = len(accepted) - bisect.bisect_left(accepted, at - DAY_SECONDS)
-        if recent < MAX_ALERTS:
-            accepted.append(int(at))
-            keep.append(row)
-    return pdf.iloc[keep][["supplier_id", "event_id", "at"]]
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by supplier and time; keeps those under the limit. Holds one supplier's last day of accepted times."""
+    supplier, recent = None, deque()
+    for batch in batches:
+        keep = []
+        columns = [batch.column(i).to_pylist() for i in (0, 2, 3)]
+        for name, at, prior in zip(*columns, strict=True):
+            if name != supplier:
+                supplier, recent = name, deque()
+            while recent and recent[0] < at - DAY_SECONDS:
+                recent.popleft()
+            fresh = not prior and len(recent) < MAX_ALERTS
+            if prior or fresh:
+                recent.append(at)
+            keep.append(fresh)
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["supplier_id", "event_id", "at"])
 
 
 def accepted_alerts(criticals: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
@@ -117,7 +120,11 @@ def accepted_alerts(criticals: DataFrame, accepted: DataFrame | None = None) ->
     Time counts in whole seconds. Of the alerts of one supplier in one second
     at most the first five can pass, so the rest is cut off where it is read;
     a supplier then has at most five rows per second of the batch's time span,
-    however many alerts there are. ``accepted`` are alerts let through before.
+    however many alerts there are. They pass through one task as a sorted stream, of which it
+    holds a day of accepted times.
+
+    ``accepted`` are alerts let through before. A late alert counts those of the
+    day before its own time; accepted ones after it neither count nor are taken back.
     """
     at = F.unix_seconds(F.col("event_time").cast("timestamp"))
     seconds = criticals.select("supplier_id", "event_id", at.alias("at"))
@@ -129,8 +136,9 @@ def accepted_alerts(criticals: DataFrame, accepted: DataFrame | None = None) ->
             F.col("at") >= F.col("_first") - DAY_SECONDS
         ).select("supplier_id", "event_id", "at", F.lit(True).alias("prior"))
         rows = rows.unionByName(recent)
-    return rows.groupBy("supplier_id").applyInPandas(
-        _accept, "supplier_id string, event_id long, at long")
+    ordered = rows.repartition("supplier_id").sortWithinPartitions(
+        "supplier_id", "at", F.desc("prior"), "event_id")
+    return ordered.mapInArrow(_walk, "supplier_id string, event_id long, at long")
 
 
 # -- causes ---------------------------------------------------------------
@@ -139,7 +147,7 @@ def causes(events: DataFrame, state: DataFrame | None = None, horizon: int = 720
     """Each stock-out with the last long delay of its supplier before it, if recent.
 
     ``state`` (supplier_id, delay_event, delay_time) holds the last long delay
-    of earlier events.
+    of earlier events. A delay after the stock-out is no cause of it.
     """
     late = F.col("delay_days") > 7
     mark = F.when(late, F.struct(F.col("event_time").alias("delay_time"), F.col("event_id").alias("delay_event")))
@@ -159,7 +167,7 @@ def causes(events: DataFrame, state: DataFrame | None = None, horizon: int = 720
         "_cause", F.coalesce("_here", "_before"))
     gap = F.unix_seconds(F.col("event_time").cast("timestamp")) - F.unix_seconds(
         F.col("_cause.delay_time").cast("timestamp"))
-    return found.filter(gap <= horizon).select(
+    return found.filter(gap.between(0, horizon)).select(
         "event_id", "supplier_id", "event_time", F.col("_cause.delay_event").alias("delay_event"),
         F.concat(F.lit("DELAY→STOCKOUT (supplier "), "supplier_id", F.lit(")")).alias("causality_chain"))
 
@@ -170,3 +178,12 @@ def cause_state(events: DataFrame) -> DataFrame:
     return late.groupBy("supplier_id").agg(
         F.max(F.struct(F.col("event_time").alias("delay_time"), F.col("event_id").alias("delay_event"))).alias("d")
     ).select("supplier_id", "d.delay_event", "d.delay_time")
+
+
+def later_cause(found: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Of a batch's last delays and those known before, the later one; a late batch never sets the state back."""
+    if before is None:
+        return found
+    known = before.join(found.select("supplier_id"), "supplier_id", "left_semi").select(found.columns)
+    return found.unionByName(known).groupBy("supplier_id").agg(
+        F.max(F.struct("delay_time", "delay_event")).alias("d")).select("supplier_id", "d.delay_event", "d.delay_time")

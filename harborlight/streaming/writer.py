@@ -108,9 +108,9 @@ class OrderWriter:
             "deviation_id", F.concat_ws("-", F.lit("DEV"), F.col("event_id"), F.col("type"))).persist()
         try:
             criticals = found.filter(F.col("severity") == "CRITICAL")
-            passed = stateful.accepted_alerts(criticals, _earlier(self.spark, f"{self.base}/accepted", batch_id))
-            self._save(passed, "accepted", batch_id)
-            accepted = self.spark.read.parquet(f"{self.base}/accepted/batch_id={batch_id}").select("event_id")
+            path = f"{self.base}/accepted"
+            save_accepted(stateful.accepted_alerts(criticals, _recent(criticals, path, batch_id)), path, batch_id)
+            accepted = _accepted(self.spark, path).filter(F.col("batch_id") == batch_id).select("event_id")
             let_through = criticals.join(accepted, "event_id", "left_semi").unionByName(
                 found.filter(F.col("severity") != "CRITICAL"))
             self._save(let_through, "deviations", batch_id)
@@ -125,11 +125,29 @@ class OrderWriter:
         return self.spark.read.parquet(f"{self.base}/{name}").drop("batch_id")
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Rows that batches before this one appended."""
-    if batch_id == 0 or not path_exists(spark, path):
+ACCEPTED = "supplier_id string, event_id long, at long, batch_id long, day long"
+
+
+def save_accepted(passed: DataFrame, path: str, batch_id: int) -> None:
+    """Accepted alerts by batch and day; a repeated batch replaces its own."""
+    day = F.floor(F.col("at") / stateful.DAY_SECONDS).cast("long")
+    passed.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
+
+
+def _accepted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ACCEPTED).option("basePath", path).parquet(path)
+
+
+def _recent(criticals: DataFrame, path: str, batch_id: int) -> DataFrame | None:
+    """Alerts accepted in earlier batches, from a day before this batch's first alert to its last; other days are not read."""
+    if batch_id == 0 or not path_exists(criticals.sparkSession, path):
+        return None
+    day = F.floor(F.unix_seconds(F.col("event_time").cast("timestamp")) / stateful.DAY_SECONDS)
+    span = criticals.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
+    if span["first"] is None:
         return None
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id).drop("batch_id")
+    return _accepted(criticals.sparkSession, path).filter(
+        (F.col("batch_id") < batch_id) & F.col("day").between(span["first"] - 1, span["last"])).drop("batch_id", "day")
 
 
 def run_health(stream: DataFrame, base: str) -> DataFrame:
@@ -152,11 +170,10 @@ def run_suppression(criticals: DataFrame, base: str) -> DataFrame:
     path = f"{base}/accepted"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        passed = stateful.accepted_alerts(batch, _earlier(spark, path, batch_id))
-        passed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        save_accepted(stateful.accepted_alerts(batch, _recent(batch, path, batch_id)), path, batch_id)
 
     each_batch(criticals, write, base)
-    return spark.read.parquet(path).drop("batch_id")
+    return _accepted(spark, path).select("supplier_id", "event_id", "at")
 
 
 def run_causes(stream: DataFrame, base: str) -> DataFrame:
@@ -165,9 +182,10 @@ def run_causes(stream: DataFrame, base: str) -> DataFrame:
     state = KeyedLog(spark, f"{base}/delay_state", ["supplier_id"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = stateful.causes(batch, state.current(batch_id))
+        before = state.current(batch_id)
+        found = stateful.causes(batch, before)
         found.write.mode("overwrite").parquet(f"{base}/causes/batch_id={batch_id}")
-        state.save(stateful.cause_state(batch), batch_id)
+        state.save(stateful.later_cause(stateful.cause_state(batch), before), batch_id)
 
     each_batch(stream, write, base)
     return spark.read.parquet(f"{base}/causes").drop("batch_id")

@@ -113,6 +113,42 @@ def test_causes(spark, events, parts):
     assert {r.event_id: r.delay_event for r in got} == causes_by_hand(events)
 
 
+def as_batches(spark, batches):
+    """One file for each batch, whatever the order of times."""
+    path = run_dir(spark, "feed")
+    for b in batches:
+        spark.createDataFrame(b, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return topics.parquet_stream(spark, path, spark.read.parquet(path).schema, files=1)
+
+
+def test_causes_of_late_batches(spark):
+    at = dt.datetime(2024, 1, 1)
+
+    def event(i, hour, delay, stock):
+        return (i, at + dt.timedelta(hours=hour), "ORDER", "O", "S", "P", "EU", 1, 1.0, 1.0, delay, "DELAYED", stock)
+
+    batches = [[event(0, 20, 9, 50.0)], [event(1, 3, 0, 5.0), event(2, 1, 9, 50.0)], [event(3, 21, 0, 5.0), event(4, 23, 0, 5.0)]]
+    got = writer.run_causes(as_batches(spark, batches), run_dir(spark, "c")).collect()
+    # the delay at 20 h explains 21 h, not 3 h; the one at 1 h, which came later, explains 3 h and does not set the state back
+    assert {r.event_id: r.delay_event for r in got} == {1: 2, 3: 0}
+
+
+def test_suppression_of_late_batches(spark):
+    rng, at = random.Random(8), dt.datetime(2024, 1, 1)
+    alerts = [(i, at + dt.timedelta(seconds=rng.randrange(5 * 86400)), "ORDER", f"O{i}", f"S{i % 2}", "P", "EU", 1, 1.0, 1.0, 15, "DELAYED", 50.0)
+              for i in range(300)]
+    batches = [alerts[k::3] for k in range(3)]
+    kept, want = {}, set()
+    for b in batches:  # a batch by time, a late alert against the accepted ones of the day before it
+        for e in sorted(b, key=lambda e: (int(e[1].timestamp()), e[0])):
+            t, mine = int(e[1].timestamp()), kept.setdefault(e[4], [])
+            if sum(1 for a in mine if t - 86400 <= a <= t) < 5:
+                mine.append(t)
+                want.add(e[0])
+    got = writer.run_suppression(as_batches(spark, batches), run_dir(spark, "s")).collect()
+    assert {r.event_id for r in got} == want
+
+
 def versions_by_hand(events):
     seen, out = {}, {}
     for e in events:
