@@ -70,7 +70,8 @@ def exact_duplicates(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
         recipes = recipes.join(
             ranks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_sha256") == F.col("_s")), "left",
         ).withColumn("ranks", F.coalesce("ranks", F.array().cast("array<struct<pos:int,k:int>>")))
-    groups = recipes.groupBy("recipe", "ranks").agg(
-        F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written down, so that the join has a plain exchange on both sides and a group of many copies can be split
+    groups = saved(recipes.groupBy("recipe", "ranks").agg(
+        F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return recipes.join(groups, ["recipe", "ranks"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -81,7 +81,8 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, reach: int = RE
     chosen = grams.select(*_DOC, least.alias("m")).select(
         *_DOC, F.negative("m.p").alias("pos"), "m.key", F.col("m.last").alias("gram_last")).distinct()
     chosen = saved(chosen, "fingerprints")
-    often = chosen.groupBy("key").agg(F.count("*").alias("places")).filter("places > 1").select("key")
+    # keys are written down, so that the joins have plain exchanges on both sides and a frequent key can be split
+    often = saved(chosen.groupBy("key").agg(F.count("*").alias("places")).filter("places > 1").select("key"), "shared")
     shared = chosen.join(often, "key").select(*_DOC, "pos", "gram_last")
     marked = lines.join(shared, [*_DOC, "pos"], "left")
 
@@ -93,8 +94,9 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, reach: int = RE
     spans = saved(near(_forward(run_words)).unionByName(near(_backward(run_words))), "stretches")
     here = F.struct(*_DOC, "first", "last")
     origin = spans.groupBy("key").agg(F.min(here).alias("o"), F.count("*").alias("places")).filter("places > 1")
+    origin = saved(origin.select("key", "o"), "origins")
     doc, at = F.struct(*_DOC), F.struct("o.no_id", "o.id", "o.body")
-    later = spans.join(origin.select("key", "o"), "key").filter(
+    later = spans.join(origin, "key").filter(
         (doc > at) | ((doc == at) & (F.col("first") > F.col("o.last"))))
     # overlapping and adjoining stretches become one run
     ordered = W.partitionBy(*_DOC).orderBy("first", "last")

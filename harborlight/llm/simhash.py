@@ -32,7 +32,7 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 
 PASS_VARIANTS = 1 << 22   # variants a task sorts at once
 TASK_VARIANTS = 1 << 28   # variants a task goes through
-TASK_PRINTS = 1 << 25     # fingerprints a task holds
+TASK_PRINTS = 1 << 24     # fingerprints a task holds
 WAVE_COPIES = 128         # copies of a fingerprint on the way at once
 LEAST_PARTS = 64
 
@@ -75,21 +75,22 @@ class Ball:
 
     def __init__(self, radius: int, part_bits: int, pass_bits: int):
         self.part_bits, self.bits = part_bits, part_bits + pass_bits
-        codes = np.random.default_rng(1).integers(0, 1 << 30, 64, dtype=np.int64)
+        codes = np.random.default_rng(1).integers(0, 1 << 30, 64, dtype=np.int32)
         flips = [c for r in range(radius + 1) for c in itertools.combinations(range(64), r)]
         self.masks = np.array([sum(1 << b for b in c) for c in flips], np.uint64)
         self.codes = codes & ((1 << self.bits) - 1)
-        self.flip_codes = np.array([np.bitwise_xor.reduce(self.codes[list(c)]) if c else 0 for c in flips], np.int64)
+        self.flip_codes = np.array([np.bitwise_xor.reduce(self.codes[list(c)]) if c else 0 for c in flips], np.int32)
         # what each byte of a fingerprint adds to its code
         byte = np.arange(256)
         self.tables = [
-            np.bitwise_xor.reduce([np.where(byte >> i & 1, self.codes[8 * k + i], 0) for i in range(8)], axis=0)
+            np.bitwise_xor.reduce([np.where(byte >> i & 1, self.codes[8 * k + i], np.int32(0)) for i in range(8)], axis=0)
             for k in range(8)]
 
     def code(self, prints: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(prints), np.int64)
+        out = np.zeros(len(prints), np.int32)
+        by_byte = prints.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
         for k in range(8):
-            out ^= self.tables[k][(prints >> np.uint64(8 * k) & np.uint64(255)).astype(np.int64)]
+            out ^= self.tables[k][by_byte[:, k]]
         return out
 
     def sent(self, prints: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -108,8 +109,9 @@ class Ball:
         code = self.code(prints)
         order = np.argsort(code, kind="stable")
         prints = prints[order]
-        bounds = np.searchsorted(code[order], np.arange((1 << self.bits) + 1))
-        label = np.arange(len(prints))
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=1 << self.bits))])
+        del code, order
+        label = np.arange(len(prints), dtype=np.int32)
         for high in range(1 << (self.bits - self.part_bits)):
             wanted = (target | high << self.part_bits) ^ self.flip_codes
             lo, hi = bounds[wanted], bounds[wanted + 1]
@@ -117,7 +119,7 @@ class Ball:
             if not len(held):
                 continue
             variant = np.concatenate([prints[lo[i]:hi[i]] ^ self.masks[i] for i in held])
-            index = np.concatenate([np.arange(lo[i], hi[i]) for i in held])
+            index = np.concatenate([np.arange(lo[i], hi[i], dtype=np.int32) for i in held])
             by = np.argsort(variant)
             variant = variant[by]
             met = np.flatnonzero(variant[1:] == variant[:-1])

@@ -75,7 +75,8 @@ def templates(pages: DataFrame) -> DataFrame:
         few = nodes.filter("NOT wild").select("host", "t", "all_l", "all_b")
         merged = kids.join(few, ["host", "t"]).filter(alike).groupBy("host", "t").agg(
             F.collect_list("seg").alias("same"))  # at most CHILDREN of them
-        plan = nodes.select("host", "t", "wild").join(merged, ["host", "t"], "left")
+        # written down, so that the join below has plain exchanges and a host with most pages can be split
+        plan = saved(nodes.select("host", "t", "wild").join(merged, ["host", "t"], "left"), "nodes")
         step = F.when(F.col("seg").isNull(), "").when(F.col("wild"), f"/{WILD}").when(
             F.coalesce(F.array_contains("same", F.col("seg")), F.lit(False)), f"/{MERGED}").otherwise(
             F.concat(F.lit("/"), "seg"))
