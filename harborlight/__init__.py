@@ -1,3 +1,3 @@
-"""Supply-chain control-tower analytics as plain Spark jobs."""
+"""Analytics over orders, suppliers and text corpora as plain Spark jobs."""
 
 __version__ = "0.1.0"

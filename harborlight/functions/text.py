@@ -27,7 +27,9 @@ ACTION_WORDS = [
     "delay", "risk", "mitigate", "escalate", "alternative",
 ]
 
-CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+# Control characters that are taken out, and marks of a structured answer.
+CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+STRUCTURE_MARKS = ["1.", "2.", "•", "-", "*"]
 
 
 def injection_label(text: Column) -> Column:
@@ -55,7 +57,7 @@ def response_quality(text: Column) -> Column:
     hits = sum((F.contains(low, F.lit(w)).cast("int") for w in ACTION_WORDS), F.lit(0))
     word_part = F.least(hits * F.lit(0.05), F.lit(0.3))
     marked = F.lit(False)
-    for mark in ("1.", "2.", "•", "-", "*"):
+    for mark in STRUCTURE_MARKS:
         marked = marked | F.contains(text, F.lit(mark))
     structure = F.when(marked, 0.2).otherwise(0.0)
     numbers = F.when(F.rlike(text, F.lit(r"\d")), 0.2).otherwise(0.0)

@@ -234,6 +234,7 @@ def timeline(orders: DataFrame, deviations: DataFrame) -> DataFrame:
         )
 
     late = F.coalesce(F.col("delay_days"), F.lit(0))
+    # The names and texts of the entries.
     entries = F.array(
         entry("ORDER_PLACED", F.col("created_at"), F.concat(
             F.lit("Qty: "), F.col("quantity").cast("string"), F.lit(", Product: "), F.col("product"))),
@@ -253,6 +254,7 @@ def timeline(orders: DataFrame, deviations: DataFrame) -> DataFrame:
     own = orders.select(
         "order_id", F.inline(F.filter(entries, lambda e: e.isNotNull()))
     )
+    # Prefix and texts of the deviation entries.
     found = deviations.select(
         "order_id",
         F.concat(F.lit("DEVIATION_"), F.col("type")).alias("event"),

@@ -242,7 +242,10 @@ FROM (SELECT *, coalesce(best.r, 0.0::DOUBLE) AS r, best.name AS name FROM (
    SELECT *, list_sort(list_filter(corrs, lambda c: c.r IS NOT NULL AND NOT isnan(c.r)), 'DESC')[1] AS best FROM ({union})))"""
 
 
-@query("feature_gates", "K18", _gate_sql())
+GATES = _gate_sql()
+
+
+@query("feature_gates", "K18", GATES)
 def feature_gates(t):
     return feat.gates(t.silver_orders(), FEATURES, NUMERIC)
 

@@ -3,9 +3,12 @@
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from harborlight.functions.numeric import round_to
+from harborlight.functions import rules
+from harborlight.functions.numeric import count_if, ratio, round_to
 from harborlight.operators import features as feat
 from harborlight.operators import learning as ops
+from harborlight.oracle import rnd
+from harborlight.plans.history import FEATURES, GATES, NUMERIC
 from harborlight.registry import query
 from harborlight.session import app_dir, path_exists
 
@@ -41,3 +44,66 @@ def ml_score(t):
 @query("ml_metrics", "K10")
 def ml_metrics(t):
     return ops.metrics(ops.score(model(t), rows(t)))
+
+
+SIDE = "('0x' || substr(md5(order_id), 1, 8))::BIGINT % 10 < 8"
+
+
+@query("ml_split", "K09", f"""
+SELECT {SIDE} AS train, count(*) AS rows, count(*) FILTER (WHERE delay_days > 0) AS late,
+  {rnd("count(*) FILTER (WHERE delay_days > 0)::DOUBLE / count(*)", 4)} AS late_share FROM silver_orders GROUP BY 1""")
+def ml_split(t):
+    """Both sides of the split and their classes."""
+    late = count_if(F.col("label") == 1.0)
+    return rows(t).groupBy("train").agg(
+        F.count("*").alias("rows"), late.alias("late"), round_to(ratio(late, F.count("*")), 4).alias("late_share"))
+
+
+@query("ml_score_checks", "K11 K09", """
+SELECT count(*) AS rows, count(*) AS in_range, count(*) AS class_agrees, count(*) AS bucket_agrees, true AS varies FROM silver_orders""")
+def ml_score_checks(t):
+    """How many scores lie in range and agree with their class and bucket: all of them."""
+    p, c = F.col("probability"), F.col("confidence")
+    near = F.least(F.abs(p - 0.5), F.abs(p - 0.75)) < 0.0001  # rounded at the border
+    bucket = F.when(p >= 0.75, "HIGH").when(p >= 0.5, "MEDIUM").otherwise("LOW")
+    return ops.score(model(t), rows(t)).agg(
+        F.count("*").alias("rows"), count_if(p.between(0, 1)).alias("in_range"),
+        count_if(near | (F.col("is_delayed") == (p >= 0.5))).alias("class_agrees"),
+        count_if(near | (c == bucket)).alias("bucket_agrees"), (F.countDistinct("probability") > 10).alias("varies"))
+
+
+@query("ml_metrics_checks", "K10", f"""
+SELECT count(*) FILTER (WHERE {SIDE}) AS train_rows, count(*) FILTER (WHERE NOT ({SIDE})) AS test_rows,
+  true AS beats_majority, true AS beats_heuristic, true AS in_range FROM silver_orders""")
+def ml_metrics_checks(t):
+    """The model against the majority class and the heuristic, on the test side."""
+    test = rows(t).filter(~F.col("train"))
+    plain = rules.heuristic_probability(F.col("inventory_level"), F.col("order_value"), F.col("quantity"))
+    heuristic = feat.auc_by_period(
+        test.select(F.lit("all").alias("p"), plain.alias("s"), (F.col("label") == 1.0).alias("late")), "p", "s", "late")
+    late = F.avg("label")
+    majority = test.agg(F.greatest(late, 1 - late).alias("m"))
+    m = ops.metrics(ops.score(model(t), rows(t)))
+    figures = [F.col(c) for c in ("accuracy", "precision", "recall", "roc_auc")]
+    in_range = figures[0].between(0, 1)
+    for f in figures[1:]:
+        in_range = in_range & f.between(0, 1)
+    return m.select(
+        "train_rows", "test_rows", (F.col("accuracy") >= F.round(majority.scalar(), 4)).alias("beats_majority"),
+        (F.col("roc_auc") > heuristic.select("roc_auc").scalar()).alias("beats_heuristic"), in_range.alias("in_range"))
+
+
+@query("ml_features_used", "K09 K17 K18 D07", f"""
+SELECT feature, passed AS used, (SELECT count(*) FROM silver_orders WHERE {SIDE}) AS train_rows FROM ({GATES})""")
+def ml_features_used(t):
+    """The feature loop: compute, gate, merge what passes, train with it; ten trees."""
+    silver = t.silver_orders()
+    gates = feat.gates(silver, FEATURES, NUMERIC)
+    passed = sorted(r["feature"] for r in gates.filter("passed").select("feature").collect())  # one row per declared feature
+    computed = feat.compute(silver, {n: FEATURES[n] for n in passed})
+    merged = feat.merge(feat.encode(silver, ["supplier_id", "region"]), computed)
+    data = ops.labelled(merged, passed)
+    fitted = ops.train(data, passed, trees=10)
+    used = {n for n, _ in ops.importances(fitted, passed)} - set(ops.BASE_FEATURES)
+    size = data.filter("train").agg(F.count("*")).scalar()
+    return gates.select("feature", F.col("feature").isin(sorted(used)).alias("used"), size.alias("train_rows"))

@@ -152,7 +152,14 @@ _COUNT = "SELECT '{}' AS layer, count(*) AS rows FROM {}"
     _COUNT.format("silver/orders", "silver_orders"),
     _COUNT.format("silver/freight_rates", "freight_silver"),
     _COUNT.format("silver/wh_capacities", "wh_silver"),
+    _COUNT.format("silver/plant_ports", "plant_ports"),
+    _COUNT.format("silver/products", "products_per_plant"),
     "SELECT 'quality/orders', 3",
+    _COUNT.format("models/stg_orders", "stg_orders"),
+    _COUNT.format("models/stg_suppliers", "stg_suppliers"),
+    _COUNT.format("models/fct_shipments", "fct_shipments"),
+    _COUNT.format("models/dim_suppliers", "stg_suppliers"),
+    "SELECT 'models/agg_control_tower', 1",
     _COUNT.format("gold/orders_ai_ready", "silver_orders"),
     _COUNT.format("gold/deviations", "silver_orders WHERE delay_days > 0"),
     _COUNT.format("gold/supplier_risk", "supplier_risk"),
@@ -161,15 +168,16 @@ _COUNT = "SELECT '{}' AS layer, count(*) AS rows FROM {}"
 ]))
 def medallion_run(t):
     """The batch job over two loads, the older orders first; the later load is run twice, as after a failure."""
-    from harborlight.medallion import LAYERS, Medallion
+    from harborlight.medallion import LAYERS, Feeds, Medallion
     from harborlight.session import run_dir
 
     job = Medallion(t.spark, run_dir(t.spark, "medallion"), t.order_anchor())
     bronze = t.bronze_orders()
     day = F.date_trunc("YEAR", F.col("created_at"))
+    feeds = Feeds(t.freight_rates(), t.wh_capacities(), t.plant_ports(), t.products_per_plant(), t.suppliers())
     older, later = bronze.filter(F.col("expected_delivery") < cut()), bronze.filter(F.col("expected_delivery") >= cut())
     for load_id, load in (("1", older), ("2", later), ("2", later)):
-        job.run(load, t.freight_rates(), t.wh_capacities(), day, load_id)
+        job.run(load, feeds, day, load_id)
     job.maintain()
     out = None
     for layer in LAYERS:

@@ -55,7 +55,9 @@ def lines(t):
 
 
 def flat(t):
-    return po.flatten(po.parse(lines(t), po.PURCHASE_ORDER))
+    """The JSON is written down as a feed would bring it, in as many files as there are cores to parse it."""
+    cores = t.spark.sparkContext.defaultParallelism
+    return po.flatten(po.parse(t.layer("purchase_orders", lambda: lines(t).repartition(cores)), po.PURCHASE_ORDER))
 
 
 @query("purchase_orders_flat", "A07", """

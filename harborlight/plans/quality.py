@@ -231,21 +231,6 @@ def schema_drift(t):
     return ops.missing_columns(t.bronze_orders(*came), ord_ops.REQUIRED_ORDER_COLUMNS)
 
 
-@query("dq_freshness", "J12 E25")
-def dq_freshness(t):
-    """Age of the newest file of each layer against its limit, from file listings."""
-    newest = F.max("modificationTime")
-    limits = {"orders": 6 * 3600, "events": 3 * 3600}
-    out = None
-    for name, limit in limits.items():
-        files = t.spark.read.format("binaryFile").load(t.path(name))
-        age = F.unix_seconds(F.current_timestamp()) - F.unix_seconds(newest)
-        rows = files.agg(age.alias("age_seconds"), F.count("*").alias("files")).select(
-            F.lit(name).alias("layer"), "age_seconds", "files", (F.col("age_seconds") > limit).alias("stale"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 BACKFILL_SINCE = "1999-01-01"
 
 

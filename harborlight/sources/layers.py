@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from harborlight.session import path_exists, run_dir
 
+BUCKET_BYTES = 512 << 20
+
 _BUILT: dict[tuple[str, str, str], str] = {}
 
 
@@ -20,8 +22,8 @@ def read_first(spark: SparkSession, candidates: Sequence[tuple[str, str]], **opt
     raise FileNotFoundError(f"none of {[path for _, path in candidates]} exists")
 
 
-def fingerprint(spark: SparkSession, folder: str) -> str:
-    """Changes whenever a file below the folder is added, dropped or rewritten.
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Changes whenever a file at or below the paths is added, dropped or rewritten; ends with their bytes.
 
     Lists files only; no content is read.
     """
@@ -29,14 +31,19 @@ def fingerprint(spark: SparkSession, folder: str) -> str:
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true")
-        .load(folder)
+        .load(list(paths))
         .select("path", "modificationTime", "length")
     )
     row = files.agg(
         F.bit_xor(F.xxhash64("path", "modificationTime", "length")).alias("h"),
-        F.count("*").alias("n"),
+        F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
     ).first()
-    return f"{(row.h or 0) & 0xFFFFFFFFFFFFFFFF:016x}-{row.n}"
+    return f"{(row.h or 0) & 0xFFFFFFFFFFFFFFFF:016x}-{row.n}-{row.bytes}"
+
+
+def bucket_count(spark: SparkSession, state: str) -> int:
+    """Buckets of a layer: one for each ``BUCKET_BYTES`` of its sources, one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-int(state.rsplit("-", 1)[1]) // BUCKET_BYTES))
 
 
 def materialized(
@@ -47,7 +54,7 @@ def materialized(
 
     Writing it cuts the lineage, so a lost executor re-reads files instead of
     repeating the joins, and later scans prune columns in Parquet. ``state`` is
-    the folder's fingerprint where the caller has it already.
+    the fingerprint of the tables that the layer reads; the whole folder's without it.
 
     ``bucket_by`` names a key without hot values, such as the id of a table with
     one row per id: joins and windows on it then need no shuffle.
@@ -60,7 +67,7 @@ def materialized(
         if bucket_by is None:
             build().write.mode("errorifexists").parquet(path)
         else:
-            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            parts = bucket_count(spark, state)
             # one task per bucket, so that a bucket is one file
             build().repartition(parts, bucket_by).write.format("parquet").mode("errorifexists").option(
                 "path", path).bucketBy(parts, bucket_by).sortBy(bucket_by).saveAsTable(_table(path))

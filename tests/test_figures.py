@@ -153,6 +153,12 @@ def test_delay_model_learns_and_its_metrics_add_up(spark):
     share = rows.agg(F.avg(F.col("train").cast("int"))).first()[0]
     assert 0.76 < share < 0.84
     assert rows.filter("unit_price IS NULL").count() == 0
+    assert learning.train(rows.limit(learning.MIN_ROWS - 1)) is None
+    plain = learning.score(None, rows)
+    assert plain.columns == ["order_id", "label", "train", "probability", "is_delayed", "confidence"]
+    assert {r.confidence for r in plain.collect()} == {"LOW"}
+    few = learning.sampled(rows, rows.count() // 2)
+    assert 0 < few.count() < rows.count() and learning.sampled(rows, 10**9).count() == rows.count()
     scored = learning.score(learning.train(rows, trees=3), rows).cache()
     m = learning.metrics(scored).first()
     test = scored.filter("NOT train").collect()

@@ -14,7 +14,9 @@ from harborlight import registry  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not there")
-SLOW = {"ml_train", "ml_score", "ml_metrics"}
+SLOW = {n for n in registry.all_queries() if n.startswith("ml_")}
+# queries whose rule finds nothing on the smallest tables
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -28,4 +30,5 @@ def con():
 @pytest.mark.parametrize("name", sorted(set(registry.all_queries()) - SLOW))
 def test_query(spark, con, name):
     state, rows, _, note = check.compare(spark, con, name, registry.all_queries()[name], FOLDER)
-    assert state in ("ok", "ROWS", "EMPTY"), note
+    assert state in ("ok", "ROWS") or (state == "EMPTY" and name in MAY_BE_EMPTY), note or state
+    assert rows or name in MAY_BE_EMPTY
