@@ -16,6 +16,21 @@ def stream(t):
     return topics.event_stream(t.spark, t.path("events"))
 
 
+def arriving(t, job, lots=2):
+    """The events arrive in lots in order of time, and the job goes on after each; its last result."""
+    events, folder, out = t.base("events"), run_dir(t.spark, "arrivals"), None
+    size = events.agg(F.max("event_id")).scalar() + 1
+    lot = F.floor(F.col("event_id") * lots / size)
+    for k in range(lots):
+        events.filter(lot == k).write.mode("append").parquet(folder)
+        out = job(topics.event_stream(t.spark, folder))
+    return out
+
+
+def valid_orders(events):
+    return val.valid(windows.orders_only(events))
+
+
 def plain_time(df, *columns):
     """Times without zone in results, as the event table has them."""
     for c in columns:
@@ -218,8 +233,8 @@ SELECT s.event_id, s.supplier_id, w.c AS anomaly_count, w.h AS health FROM seq s
 
 @query("stream_health", "I15", HEALTH)
 def stream_health(t):
-    orders = val.valid(windows.orders_only(stream(t)))
-    return writer.run_health(orders, run_dir(t.spark, "health")).select(
+    base = run_dir(t.spark, "health")
+    return arriving(t, lambda events: writer.run_health(valid_orders(events), base)).select(
         "event_id", "supplier_id", "anomaly_count", "health")
 
 
@@ -241,9 +256,8 @@ SELECT s.supplier_id, s.event_id, s.at FROM seq s JOIN walk w ON w.supplier_id =
 
 @query("stream_suppress", "I12", SUPPRESS)
 def stream_suppress(t):
-    critical = val.valid(windows.orders_only(stream(t))).filter(
-        rules.delay_severity(F.col("delay_days")) == "CRITICAL")
-    return writer.run_suppression(critical, run_dir(t.spark, "suppress"))
+    base, critical = run_dir(t.spark, "suppress"), rules.delay_severity(F.col("delay_days")) == "CRITICAL"
+    return arriving(t, lambda events: writer.run_suppression(valid_orders(events).filter(critical), base))
 
 
 @query("stream_causality", "I16", """
@@ -253,8 +267,8 @@ FROM (SELECT *, max(CASE WHEN delay_days > 7 THEN event_time END) OVER w AS dela
       FROM order_events WINDOW w AS (PARTITION BY supplier_id ORDER BY event_time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 WHERE inventory_level < 10 AND floor(epoch(event_time)) - floor(epoch(delay_time)) <= 7200""")
 def stream_causality(t):
-    orders = val.valid(windows.orders_only(stream(t)))
-    return plain_time(writer.run_causes(orders, run_dir(t.spark, "causes")), "event_time")
+    base = run_dir(t.spark, "causes")
+    return plain_time(arriving(t, lambda events: writer.run_causes(valid_orders(events), base)), "event_time")
 
 
 @query("stream_causality_join", "I16", """
@@ -285,7 +299,7 @@ LEFT JOIN (SELECT order_id, sum((delay_days > 0 AND delay_days <= 14)::INT + (in
 def stream_process_batch(t):
     """The full writer over the stream; the result reads back the tables it keeps, accepted alerts among the deviations."""
     w = writer.OrderWriter(t.spark, run_dir(t.spark, "process"))
-    w.run(stream(t))
+    arriving(t, w.run)
     orders = w.orders.current()
     versions = w.table("order_events").groupBy("order_id").agg(
         F.max("aggregate_version").alias("versions"))
