@@ -15,8 +15,8 @@ from harborlight import registry  # noqa: E402
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not there")
 SLOW = {n for n in registry.all_queries() if n.startswith("ml_")}
-# queries whose rule finds nothing on the smallest tables
-MAY_BE_EMPTY: set[str] = set()
+# the smallest tables hold one event of the order that is looked up, and no reroute that passes the gate
+MAY_BE_EMPTY = {"order_history", "reroute_plan"}
 
 
 @pytest.fixture(scope="module")
