@@ -41,7 +41,7 @@ def test_file_round_trip(tmp_path):
     f = token_files.TokenFile(path)
     for k in (4, 0, 2, 3, 1):
         assert f.ids(k).tolist() == docs[k][1].astype(int).tolist()
-    assert f.find(7) == [2, 3] and f.find(0) == [] and len(f.frames) == 4
+    assert f.find(7) == [2, 3] and f.find(0) == [] and len(f.frames) == 3
     f.close()
     assert token_files.write_file(str(tmp_path / "empty.tok"), []) == {"docs": 0, "tokens": 0}
     assert len(token_files.TokenFile(str(tmp_path / "empty.tok")).docs) == 0
@@ -106,16 +106,24 @@ def unigram():
 
 
 def test_viterbi_against_library(unigram, con):
-    """The library's one-best lattice path; its faster encode is not always the best path."""
+    """The first of the library's two best lattice paths, or one with the same sum.
+
+    With an unknown character or a marker piece the library's sums, near 1e9 in single precision, no longer
+    tell paths apart; ours must not be worse then.
+    """
     m = pieces.model(PIECES)
     texts = [t for t in ODD if len(t) < 100] + [
-        t[:200] for (t,) in con.execute("SELECT text FROM documents WHERE text IS NOT NULL").fetchall()]
-    score = lambda ids: sum(unigram.get_score(int(i)) for i in ids)
+        t.replace("\n", " ")[:200] for (t,) in con.execute("SELECT text FROM documents WHERE text IS NOT NULL").fetchall()]
+    score, plain = lambda ids: sum(unigram.get_score(int(i)) for i in ids), 0
     for t, ids in zip(texts, m.encode([t.encode() for t in texts]), strict=True):
-        best = unigram.nbest_encode_as_ids(t, 1)[0] if t else []
+        best = unigram.nbest_encode_as_ids(t, 2)[0] if t else []  # for one path the library takes a short cut
         assert m.decode([ids])[0] == unigram.decode(best), t
-        if ids.tolist() != best:  # equal sums only
-            assert score(ids) == score(best), t
+        if score(best) < -1e7:
+            assert score(ids) >= score(best), t
+        else:
+            assert ids.tolist() == best or score(ids) == score(best), t
+            plain += 1
+    assert plain > 50
 
 
 def test_viterbi_against_all_segmentations():
