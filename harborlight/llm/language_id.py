@@ -198,8 +198,13 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int =
     ).filter("letters")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     names = sorted(r["lang"] for r in counts)
+    # hashes spread evenly, so twice the wanted share of them holds the smallest ones of a language
+    below = {r["lang"]: int(min(1.0, (2 * per_language + 50) / r["count"]) * 2**64) - 2**63 for r in counts}
+    limit = F.lit(None).cast("long")
+    for name, most in below.items():
+        limit = F.when(F.col("lang") == name, F.lit(min(most, 2**63 - 1))).otherwise(limit)
     order = W.partitionBy("lang").orderBy("h")
-    picked = rows.filter(F.col("lang").isin(names)).select("lang", "h", F.row_number().over(order).alias("n")).filter(
+    picked = rows.filter(F.col("h") <= limit).select("lang", "h", F.row_number().over(order).alias("n")).filter(
         F.col("n") <= per_language).select("h").distinct().collect()
     wanted = [r["h"] for r in picked]
     sample = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(
