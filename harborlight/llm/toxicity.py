@@ -158,8 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Judge:
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold(5) != 0).groupBy("doc_id").agg(
         F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # hashes spread evenly, so twice the wanted share of them holds the smallest ones of a label
+    limit = F.lit(None).cast("long")
+    for mark, n in counts.items():
+        below = int(min(1.0, (examples + 50) / n) * 2**64) - 2**63
+        limit = F.when(F.col("toxic") == mark, F.lit(min(below, 2**63 - 1))).otherwise(limit)
     order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= examples // 2).collect()
+    picked = known.filter(F.xxhash64("doc_id") <= limit).withColumn("k", F.row_number().over(order)).filter(
+        F.col("k") <= examples // 2).collect()
     label = {r["doc_id"]: r["toxic"] for r in picked}
     texts = docs.filter(F.col("doc_id").isin(list(label))).select("doc_id", whole().alias("text")).distinct().collect()
     rows = sorted((r["doc_id"], r["text"], label[r["doc_id"]]) for r in texts)
