@@ -29,8 +29,6 @@ EXAMPLES = 4000   # labelled documents in the index at most, half of them toxic
 NEAREST = 15
 BLOCK = 64        # examples in a block
 OPENED = 4        # blocks opened at once
-LEAST_DOCS = 4    # examples that must hold a term
-LEAST_CHI2, LEAST_EFFECT = 15.0, 0.012  # how sure and how large a term's difference between the labels must be (phi squared)
 EVIDENCE = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,29 +48,35 @@ class BlockMaxIndex:
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         order = np.lexsort((example, term))
         term, self.example, self.weight = term[order], example[order], weight[order]
-        cell = term * self.blocks + self.example // block
-        self.bounds = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
-        self.largest = np.zeros(terms * self.blocks)
-        np.maximum.at(self.largest, cell, self.weight)
-        self.largest = self.largest.reshape(terms, self.blocks)
+        # only the cells that hold a posting
+        cells, starts = np.unique(term * self.blocks + self.example // block, return_index=True)
+        self.first = np.searchsorted(cells, np.arange(terms + 1) * self.blocks)
+        self.block = cells % max(self.blocks, 1)
+        self.bounds = np.append(starts, len(term))
+        self.largest = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties to the smaller example; ``skip`` is left out."""
         found, cosine = np.zeros(0, np.int64), np.zeros(0)
         if not len(terms) or not self.blocks:
             return found, cosine
-        bound = weights @ self.largest[terms]
+        held = self.first[terms + 1] - self.first[terms]
+        ends = np.cumsum(held)
+        cells = np.repeat(self.first[terms] - (ends - held), held) + np.arange(ends[-1])
+        block, weights = self.block[cells], np.repeat(weights, held)
+        bound = np.bincount(block, weights * self.largest[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         for at in range(0, self.blocks, OPENED):
             opened = order[at:at + OPENED]
             if bound[opened[0]] <= 0 or len(found) >= k and bound[opened[0]] < cosine[-1] - 1e-9:
                 break
-            cell = (terms[:, None] * self.blocks + opened[None, :]).ravel()
+            here = np.isin(block, opened)
+            cell = cells[here]
             n = self.bounds[cell + 1] - self.bounds[cell]
             ends = np.cumsum(n)
             place = np.repeat(self.bounds[cell] - (ends - n), n) + np.arange(ends[-1])
             sums = np.bincount(
-                self.example[place], self.weight[place] * np.repeat(np.repeat(weights, len(opened)), n), self.n)
+                self.example[place], self.weight[place] * np.repeat(weights[here], n), self.n)
             fresh = np.flatnonzero(sums)
             fresh = fresh[fresh != skip]
             found, cosine = np.concatenate([found, fresh]), np.concatenate([cosine, sums[fresh]])
@@ -89,19 +93,13 @@ class Judge:
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[2] for e in examples], np.int64)
         tokens = [Counter(words_of(e[1])) for e in examples]
-        n, toxic = len(examples), int(self.labels.sum())
-        df = Counter(w for t in tokens for w in t)
-        bad = Counter(w for t, label in zip(tokens, self.labels, strict=True) if label for w in t)
-
-        def chi2(w: str) -> float:
-            a, b = bad[w], df[w] - bad[w]
-            c, d = toxic - a, n - toxic - b
-            under = (a + b) * (c + d) * (a + c) * (b + d)
-            return n * (a * d - b * c) ** 2 / under if under else 0.0
-
-        kept = sorted(w for w, k in df.items() if k >= LEAST_DOCS and chi2(w) >= max(LEAST_CHI2, LEAST_EFFECT * n))
+        n = len(examples)
+        # every term of the examples; copies of one set of words count once, so they make no term common
+        sets = {frozenset(t) for t in tokens}
+        df = Counter(w for t in sets for w in t)
+        kept = sorted(df)
         self.terms = {w: i for i, w in enumerate(kept)}
-        self.idf = np.array([np.log((1 + n) / (1 + df[w])) + 1 for w in kept])
+        self.idf = np.array([np.log((1 + len(sets)) / (1 + df[w])) + 1 for w in kept])
         vectors = [self.vector(t) for t in tokens]
         self.index = BlockMaxIndex(vectors, len(kept))
         # every class weighs as it does among all labelled rows
