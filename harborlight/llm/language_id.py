@@ -27,7 +27,6 @@ STRETCH = 32       # bytes of a word that are read as one sequence
 UNITS = 12         # hidden units for each direction
 STEPS, BATCH = 700, 256
 PER_LANGUAGE = 250  # training documents for each language
-LANGUAGES = 200     # languages that are learned, the most frequent ones
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -186,25 +185,23 @@ class Reader:
         return out[:, :-1] / np.maximum(out[:, -1:], 1)
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, steps: int = STEPS) -> Network:
-    """Train on up to ``per_language`` documents of each of the ``languages`` most frequent values of lang.
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, steps: int = STEPS) -> Network:
+    """Train on up to ``per_language`` documents of each value of lang.
 
     Of a language's rows with letters, those with the smallest hash of doc_id and
-    text are taken. Only ids and the sampled texts come to the driver, bounded by
-    both parameters. Rows without lang or text are left out.
+    text are taken. Only ids and the sampled texts come to the driver, bounded for
+    each language. Rows without lang or text are left out.
     """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(
         "lang", F.xxhash64("doc_id", "text").alias("h"), F.rlike("text", F.lit(r"\p{L}")).alias("letters"),
     ).filter("letters")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     names = sorted(r["lang"] for r in counts)
     # hashes spread evenly, so twice the wanted share of them holds the smallest ones of a language
-    below = {r["lang"]: int(min(1.0, (2 * per_language + 50) / r["count"]) * 2**64) - 2**63 for r in counts}
-    limit = F.lit(None).cast("long")
-    for name, most in below.items():
-        limit = F.when(F.col("lang") == name, F.lit(min(most, 2**63 - 1))).otherwise(limit)
+    below = [(r["lang"], min(int(min(1.0, (2 * per_language + 50) / r["count"]) * 2**64) - 2**63, 2**63 - 1)) for r in counts]
+    limits = labelled.sparkSession.createDataFrame(below, "lang string, most long")
     order = W.partitionBy("lang").orderBy("h")
-    picked = rows.filter(F.col("h") <= limit).select("lang", "h", F.row_number().over(order).alias("n")).filter(
+    picked = rows.join(F.broadcast(limits), "lang").filter("h <= most").select("lang", "h", F.row_number().over(order).alias("n")).filter(
         F.col("n") <= per_language).select("h").distinct().collect()
     wanted = [r["h"] for r in picked]
     sample = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(
