@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm import exact_dedup, language_id, line_dedup, mixing, neighbours, pieces, simhash, token_files, toxicity, url_filter
+from harborlight.llm import (context_tree, exact_dedup, fill_middle, language_id, line_dedup, merkle, mixing, neighbours, pieces, simhash,
+                             token_files, toxicity, url_filter)
 from harborlight.llm.common import prepare, table
 
 
@@ -77,7 +78,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_neighbours, op3_line_dedup, op4_exact_dedup, op5_mixing, op6_toxicity, op7_url_filter, op8_sentencepiece, op9_token_files, op10_language_id)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.transformed(table(prepare(spark), sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(prepare(spark), sf_dir, "documents"), merkle.tampered_fold(5))
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.language_model(table(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_neighbours, op3_line_dedup, op4_exact_dedup, op5_mixing, op6_toxicity, op7_url_filter, op8_sentencepiece,
+    op9_token_files, op10_language_id, op11_fill_middle, op12_merkle, op13_language_model)}
 
 # The rule itself: no fingerprints, all stretches of lines as text.
 ORACLE_LINES = r"""
@@ -190,5 +207,61 @@ SELECT page_id, f.host, path, rule, coalesce(ruled, CASE WHEN purity < 0.5 THEN
   f.template, purity FROM f JOIN pure ON f.host = pure.host AND f.template = pure.template
 """
 
-ORACLES = {"op3_line_dedup": ORACLE_LINES, "op4_exact_dedup": ORACLE_EXACT, "op5_mixing": ORACLE_MIX,
+ORACLE_FIM = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS s,
+  regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+h AS (SELECT *, ('0x' || s[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || s[9:16])::BIGINT % (len(u) + 1) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || s[17:24])::BIGINT % 100 >= 90
+    THEN 'plain' WHEN ('0x' || s[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+c AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+  array_to_string(u[greatest(x, y) + 1:], '') AS f FROM h)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN len(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN len(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || f || '<M>' || m
+    ELSE '<S>' || f || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
+"""
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({x})) || ':' || ({x}), '-')" for x in fields) + ")"
+
+
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"""
+
+# Runs are slices of ordered lists; the walk carries each leaf's place up, its siblings, and the tampered fold.
+ORACLE_MERKLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('s' || source, '') AS src, {_leaf("text")} AS leaf,
+  CASE WHEN {_CRC} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+    ELSE {_leaf("text")} END AS changed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+up(src, depth, nodes) AS (
+  SELECT src, 0, list(leaf ORDER BY pos) FROM l GROUP BY 1
+  UNION ALL
+  SELECT src, depth + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], '')))
+  FROM up WHERE len(nodes) > 1),
+subs AS (SELECT src, depth, nodes[1] AS subroot, row_number() OVER (ORDER BY src) - 1 AS pos FROM up WHERE len(nodes) = 1),
+tops(depth, nodes) AS (
+  SELECT 0, list(subroot ORDER BY pos) FROM subs
+  UNION ALL
+  SELECT depth + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], '')))
+  FROM tops WHERE len(nodes) > 1),
+steps AS (  -- every level with more than one node, numbered through to the root
+  SELECT up.src, up.depth, nodes, false AS top FROM up WHERE len(nodes) > 1
+  UNION ALL SELECT subs.src, subs.depth + tops.depth, nodes, true FROM tops, subs WHERE len(nodes) > 1),
+walk(doc_id, src, leaf, depth, pos, sib, fold) AS (
+  SELECT doc_id, src, leaf, 0, pos, '', changed FROM l
+  UNION ALL
+  SELECT w.doc_id, w.src, w.leaf, w.depth + 1, p // 16,
+    sib || array_to_string(list_concat(nodes[p - p % 16 + 1:p], nodes[p + 2:p - p % 16 + 16]), ''),
+    sha256(array_to_string(list_concat(nodes[p - p % 16 + 1:p], [fold], nodes[p + 2:p - p % 16 + 16]), ''))
+  FROM (SELECT w.*, CASE WHEN w.depth = s.depth THEN s.pos ELSE w.pos END AS p FROM walk w JOIN subs s USING (src)) w
+  JOIN steps ON steps.src = w.src AND steps.depth = w.depth),
+ends AS (SELECT *, row_number() OVER (PARTITION BY doc_id, src, leaf ORDER BY depth DESC) AS i FROM walk)
+SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, fold AS folded_root, fold = root AS verified
+FROM ends JOIN subs USING (src), (SELECT nodes[1] AS root FROM tops WHERE len(nodes) = 1) WHERE i = 1
+"""
+
+ORACLES = {"op11_fill_middle": ORACLE_FIM, "op12_merkle": ORACLE_MERKLE, "op3_line_dedup": ORACLE_LINES, "op4_exact_dedup": ORACLE_EXACT, "op5_mixing": ORACLE_MIX,
            "op7_url_filter": ORACLE_URLS}
