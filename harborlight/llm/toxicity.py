@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 The examples' vectors stand in an inverted index whose postings are cut into
-blocks of examples. For every term and block the largest weight is known, so a
-text has an upper bound of its cosine in each block. Blocks are opened from the
-highest bound on, until no bound reaches the k-th best cosine found; what is
-left out cannot be among the nearest, so the result is exact.
+blocks of alike examples. Rare terms, those with the largest impact, are looked up for every text, so what they add to each example is
+known. Of the common terms the largest weight in each block is known. Both together bound the cosine
+in a block; blocks are opened from the highest bound on, for many texts at once, until no bound reaches the k-th
+best cosine found. What is left out cannot be among the nearest, so the result is exact.
 
 The k nearest vote, each with its cosine as weight, and a logistic curve, fitted on the
 examples themselves with each one left out in turn, makes the vote a probability.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,71 +28,139 @@ from harborlight.llm.language_id import fold
 EXAMPLES = 4000   # labelled documents in the index at most, half of them toxic where there are enough
 NEAREST = 15
 BLOCK = 64        # examples in a block
-OPENED = 4        # blocks opened at once
+COMMON = 20       # a term of one example in so many, and of 8 at least, is common
+ROUNDS = (6, 16)  # blocks opened for a text before its bounds are looked at again
+TEXTS = 512       # texts that are looked up at once
 EVIDENCE = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
+Vector = tuple[np.ndarray, np.ndarray]
+
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _alike(rows: np.ndarray, groups: int, rounds: int = 8) -> np.ndarray:
+    """An order of the rows in which alike ones stand together: by the nearest of a few centres, which move to their rows' mean."""
+    if groups < 2:
+        return np.arange(len(rows))
+    centres = rows[np.linspace(0, len(rows) - 1, groups).astype(int)]
+    for _ in range(rounds):
+        near = rows @ centres.T
+        own = near.argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-12), centres)
+    return np.lexsort((np.arange(len(rows)), -near[np.arange(len(rows)), own], own))
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of examples, with each block's largest weight."""
+    """Postings of unit vectors by term, in blocks of alike examples, with each block's largest weights.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
-        self.n, self.blocks = len(vectors), -(-len(vectors) // block)
+    ``opened`` counts the blocks that were opened for a text.
+    """
+
+    def __init__(self, vectors: Sequence[Vector], terms: int, block: int = BLOCK):
+        self.n, self.blocks, self.opened = len(vectors), -(-len(vectors) // block), 0
         term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        df = np.bincount(term, minlength=terms)
+        common = np.flatnonzero(df >= max(8, -(-self.n // COMMON)))
+        self.column = np.full(terms, -1)
+        self.column[common] = np.arange(len(common))
+        rows = np.zeros((self.n, len(common)))
+        often = self.column[term] >= 0
+        rows[example[often], self.column[term[often]]] = weight[often]
+        # place in the blocks, from here on in place of the example's number
+        self.examples = _alike(rows, self.blocks // 2)
+        place = np.empty(self.n, np.int64)
+        place[self.examples] = np.arange(self.n)
+        self.rows = rows[self.examples]
+        self.starts = np.arange(0, self.n, block)
+        self.block = block
+        self.largest = np.maximum.reduceat(self.rows, self.starts, axis=0).T.copy() if self.n else np.zeros((len(common), 0))
+        term, example, weight = term[~often], place[example[~often]], weight[~often]
         order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order], weight[order]
-        # only the cells that hold a posting
-        cells, starts = np.unique(term * self.blocks + self.example // block, return_index=True)
-        self.first = np.searchsorted(cells, np.arange(terms + 1) * self.blocks)
-        self.block = cells % max(self.blocks, 1)
-        self.bounds = np.append(starts, len(term))
-        self.largest = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine, ties to the smaller example; ``skip`` is left out."""
-        found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        if not len(terms) or not self.blocks:
-            return found, cosine
-        held = self.first[terms + 1] - self.first[terms]
+        self.example, self.weight = example[order], weight[order]
+        self.first = np.searchsorted(term[order], np.arange(terms + 1))
+        self.places = place
+
+    def nearest_of(self, queries: Sequence[Vector], k: int, skip: np.ndarray | None = None) -> list[Vector]:
+        """For each query the k examples of largest positive cosine, ties to the smaller one; ``skip`` names one to leave out of each."""
+        out: list[Vector] = []
+        for at in range(0, len(queries), TEXTS):
+            out += self._some(queries[at:at + TEXTS], k, None if skip is None else skip[at:at + TEXTS])
+        return out
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> Vector:
+        return self.nearest_of([(terms, weights)], k, None if skip < 0 else np.array([skip]))[0]
+
+    def _some(self, queries: Sequence[Vector], k: int, skip: np.ndarray | None) -> list[Vector]:
+        m, n = len(queries), self.n
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        row = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        term = np.concatenate([t for t, _ in queries])
+        weight = np.concatenate([w for _, w in queries])
+        column = self.column[term] if len(term) else term.astype(np.int64)
+        often = column >= 0
+        asked = np.zeros((m, self.rows.shape[1]))
+        asked[row[often], column[often]] = weight[often]
+        # rare terms: what they add to every example
+        row, term, weight = row[~often], term[~often].astype(np.int64), weight[~often]
+        held = self.first[term + 1] - self.first[term]
         ends = np.cumsum(held)
-        cells = np.repeat(self.first[terms] - (ends - held), held) + np.arange(ends[-1])
-        block, weights = self.block[cells], np.repeat(weights, held)
-        bound = np.bincount(block, weights * self.largest[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        for at in range(0, self.blocks, OPENED):
-            opened = order[at:at + OPENED]
-            if bound[opened[0]] <= 0 or len(found) >= k and bound[opened[0]] < cosine[-1] - 1e-9:
+        at = np.repeat(self.first[term] - (ends - held), held) + np.arange(ends[-1] if len(ends) else 0)
+        rare = np.bincount(
+            np.repeat(row, held) * n + self.example[at], np.repeat(weight, held) * self.weight[at], m * n).reshape(m, n)
+        bound = np.maximum.reduceat(rare, self.starts, axis=1) + asked @ self.largest
+        order = np.argsort(-bound, axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(self.blocks)[None, :], axis=1)
+        cosine = np.full((m, n), -1.0)
+        best = np.full((m, k), 0.0)
+        done = 0
+        for upto in (*ROUNDS, self.blocks):
+            upto = min(upto, self.blocks)
+            wanted = (rank >= done) & (rank < upto) & (bound > 0) & (bound >= best[:, :1] - 1e-9)
+            if not wanted.any():
+                break
+            self.opened += int(wanted.sum())
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                lo, hi = self.starts[b], min(self.starts[b] + self.block, n)
+                who = np.flatnonzero(wanted[:, b])
+                cosine[who, lo:hi] = rare[who, lo:hi] + asked[who] @ self.rows[lo:hi].T
+            if skip is not None:
+                cosine[np.arange(m), self.places[skip]] = -1.0
+            done = upto
+            if done == self.blocks:
                 break
-            here = np.isin(block, opened)
-            cell = cells[here]
-            n = self.bounds[cell + 1] - self.bounds[cell]
-            ends = np.cumsum(n)
-            place = np.repeat(self.bounds[cell] - (ends - n), n) + np.arange(ends[-1])
-            sums = np.bincount(
-                self.example[place], self.weight[place] * np.repeat(weights[here], n), self.n)
-            fresh = np.flatnonzero(sums)
-            fresh = fresh[fresh != skip]
-            found, cosine = np.concatenate([found, fresh]), np.concatenate([cosine, sums[fresh]])
-            best = np.lexsort((found, -np.round(cosine, 12)))[:k]
-            found, cosine = found[best], cosine[best]
-        return found, cosine
+            # the k best so far, the worst of them first
+            best = np.maximum(np.sort(np.partition(cosine, n - k, axis=1)[:, n - k:], axis=1) if n > k else
+                              np.pad(np.sort(cosine, axis=1), ((0, 0), (k - n, 0)), constant_values=-1.0), 0.0)
+        out = []
+        who, where = np.nonzero((cosine > 0) & (cosine >= best[:, :1] - 1e-9))
+        bounds = np.searchsorted(who, np.arange(m + 1))
+        value, name = cosine[who, where], self.examples[where]
+        for i in range(m):
+            v, e = value[bounds[i]:bounds[i + 1]], name[bounds[i]:bounds[i + 1]]
+            top = np.lexsort((e, -np.round(v, 12)))[:k]
+            out.append((e[top], v[top]))
+        return out
 
 
 class Judge:
     """Vocabulary, index, and the curve from votes to probabilities."""
 
-    def __init__(self, examples: list[tuple[int, str, int]], counts: dict[int, int]):
-        """examples: (doc_id, text, label); counts: labelled rows of each label in all of the training folds."""
+    def __init__(self, examples: Sequence[tuple[int, str | Counter, int]], counts: dict[int, int]):
+        """examples: (doc_id, text or counts of its words, label); counts: labelled rows of each label in all of the training folds."""
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[2] for e in examples], np.int64)
-        tokens = [Counter(words_of(e[1])) for e in examples]
+        tokens = [Counter(words_of(e[1])) if isinstance(e[1], str) else e[1] for e in examples]
         n = len(examples)
         # every term of the examples; copies of one set of words count once, so they make no term common
         sets = {frozenset(t) for t in tokens}
@@ -108,27 +176,36 @@ class Judge:
         held = np.maximum(np.bincount(self.labels, minlength=2), 1)
         each = (share / held)[self.labels] * n
         self.base = (share[1] * 2 + 1) / 4 if not n else 0.0
-        votes = np.array([self.vote(*self.index.nearest(t, w, NEAREST, skip=i)) for i, (t, w) in enumerate(vectors)])
+        votes = np.array([self.vote(*x) for x in self.index.nearest_of(vectors, NEAREST, np.arange(n))])
         alone = np.isnan(votes)
         self.base = float((each[alone] @ self.labels[alone] + share[1]) / (each[alone].sum() + 1)) if n else share[1]
         self.curve = _logistic(votes[~alone], self.labels[~alone], each[~alone])
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, counts: Counter) -> Vector:
         """Unit TF-IDF vector: (1 + ln tf) times idf over the vocabulary."""
         held = sorted((self.terms[w], k) for w, k in counts.items() if w in self.terms)
-        terms = np.array([t for t, _ in held], np.int64)
-        weights = (1 + np.log(np.array([k for _, k in held], float))) * self.idf[terms] if held else np.zeros(0)
-        return terms, weights / np.linalg.norm(weights) if held else weights
+        return self.weighed(np.array([t for t, _ in held], np.int64), np.array([k for _, k in held], float))
+
+    def weighed(self, terms: np.ndarray, tf: np.ndarray) -> Vector:
+        weights = (1 + np.log(tf)) * self.idf[terms] if len(terms) else np.zeros(0)
+        return terms, weights / np.linalg.norm(weights) if len(terms) else weights
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """Share of the cosines that is toxic; nan without a neighbour."""
         return float(cosine @ self.labels[found] / cosine.sum()) if len(found) else np.nan
 
+    def scores(self, vectors: Sequence[Vector]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Probability, nearest examples and their cosines of each text."""
+        out = []
+        for found, cosine in self.index.nearest_of(vectors, NEAREST):
+            p = self.base
+            if len(found):
+                p = float(1 / (1 + np.exp(-(self.curve[0] * self.vote(found, cosine) + self.curve[1]))))
+            out.append((p, found, cosine))
+        return out
+
     def score(self, counts: Counter) -> tuple[float, np.ndarray, np.ndarray]:
-        found, cosine = self.index.nearest(*self.vector(counts), NEAREST)
-        if not len(found):
-            return self.base, found, cosine
-        return float(1 / (1 + np.exp(-(self.curve[0] * self.vote(found, cosine) + self.curve[1])))), found, cosine
+        return self.scores([self.vector(counts)])[0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
@@ -150,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Judge:
     """Learn from labelled documents outside fold 0 of 5.
 
     At most ``examples`` documents go into the index, half of them toxic where there are enough: of each label those
-    with the smallest hash of their id. Only these come to the driver. Ids with several labels
+    with the smallest hash of their id. Only the counts of their words come to the driver. Ids with several labels
     count as toxic if one says so; null ids and labels are left out.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold(5) != 0).groupBy("doc_id").agg(
@@ -165,28 +242,61 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Judge:
     picked = known.filter(F.xxhash64("doc_id") <= limit).withColumn("k", F.row_number().over(order)).filter(
         F.col("k") <= examples // 2).collect()
     label = {r["doc_id"]: r["toxic"] for r in picked}
-    texts = docs.filter(F.col("doc_id").isin(list(label))).select("doc_id", whole().alias("text")).distinct().collect()
-    rows = sorted((r["doc_id"], r["text"], label[r["doc_id"]]) for r in texts)
-    return Judge(rows, counts)
+    if not label:
+        return Judge([], counts)
+    chosen = docs.sparkSession.createDataFrame([(int(i),) for i in label], "doc_id long")  # ``examples`` rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).join(
+        F.broadcast(chosen), "doc_id").distinct()
+    found = [(r["doc_id"], Counter(dict(zip(r["words"], r["n"], strict=True))), label[r["doc_id"]]) for r in word_counts(rows).collect()]
+    return Judge(sorted(found, key=lambda e: (e[0], sorted(e[1].items()))), counts)
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(doc_id, words, n): the distinct words of each text of rows (doc_id, text), and how often they stand there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [Counter(words_of(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([list(c) for c in each], pa.list_(pa.string())),
+                pa.array([list(c.values()) for c in each], pa.list_(pa.int64()))], ["doc_id", "words", "n"])
+
+    return rows.mapInArrow(run, "doc_id long, words array<string>, n array<long>")
 
 
-class Counts:
-    """Vocabulary counts of texts; what a raw word stands for is remembered per worker."""
+class Vectors:
+    """Vectors of texts; what a raw word stands for is remembered per worker."""
 
     ROOM = 400_000
 
     def __init__(self, judge: Judge):
-        self.judge, self.names = judge, list(judge.terms)
-        self.words: dict[bytes, tuple[str, ...]] = {}
+        self.judge = judge
+        self.words: dict[bytes, int] = {}        # the term of a raw word, -1 for none
+        self.several: dict[bytes, list[int]] = {}  # raw words of several terms
 
-    def of(self, texts: list[bytes]) -> list[Counter]:
-        split = [t.split() for t in texts]
+    def _learn(self, fresh: set[bytes]) -> None:
         if len(self.words) > self.ROOM:
-            self.words = {}
-        known, terms = self.words, self.judge.terms
-        for raw in {w for ws in split for w in ws} - known.keys():
-            known[raw] = tuple(w for w in words_of(raw.decode("utf-8", "replace")) if w in terms)
-        return [Counter(w for held in filter(None, map(known.__getitem__, ws)) for w in held) for ws in split]
+            self.words, self.several = {}, {}
+        terms = self.judge.terms
+        for raw in fresh:
+            found = [terms[w] for w in words_of(raw.decode("utf-8", "replace")) if w in terms]
+            self.words[raw] = found[0] if len(found) == 1 else -1
+            if len(found) > 1:
+                self.several[raw] = found
+
+    def of(self, texts: list[bytes]) -> list[Vector]:
+        out = []
+        for text in texts:
+            ws = text.split()
+            fresh = {w for w in ws if w not in self.words}
+            if fresh:
+                self._learn(fresh)
+                if len(self.words) == len(fresh):  # forgotten, with the text's other words
+                    self._learn(set(ws) - fresh)
+            ids = np.fromiter(map(self.words.__getitem__, ws), np.int64, len(ws))
+            more = [i for w in ws if w in self.several for i in self.several[w]]
+            ids = np.concatenate([ids[ids >= 0], np.array(more, np.int64)])
+            out.append(self.judge.weighed(*np.unique(ids, return_counts=True)))
+        return out
 
 
 RESULT = ("doc_id long, score double, predicted int, "
@@ -203,11 +313,13 @@ def scored(docs: DataFrame, judge: Judge) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = sent.value
-        counts = Counts(j)
+        vectors = Vectors(j)
         for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            each = dict.fromkeys(texts)  # a repeated text is judged once
+            judged = dict(zip(each, j.scores(vectors.of(list(each))), strict=True))
             scores, evidence = [], []
-            for c in counts.of(batch.column(1).cast(pa.binary()).to_pylist()):
-                score, found, cosine = j.score(c)
+            for score, found, cosine in map(judged.__getitem__, texts):
                 scores.append(min(max(score, 0.0), 1.0))
                 evidence.append([
                     {"doc_id": int(j.ids[i]), "similarity": float(s), "toxic": int(j.labels[i])}

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import numpy as np
+
 from harborlight.llm import toxicity
 
 
@@ -12,3 +14,36 @@ def test_rare_toxic_words_have_neighbours():
     judge = toxicity.Judge(rows, {0: 200, 1: 201})
     score, found, cosine = judge.score(Counter(toxicity.words_of("Hassuva sana!")))
     assert judge.ids[found].tolist() == [400] and abs(cosine[0] - 1) < 1e-9 and score > 0.5
+
+
+def zipf_texts(rng, n, languages=4, words=6000):
+    """Texts in several languages of common and rare words."""
+    out = []
+    for i in range(n):
+        lang = rng.integers(languages)
+        ids = np.minimum(rng.zipf(1.3, rng.integers(5, 120)), words)
+        out.append(Counter(f"l{lang}w{k}" for k in ids))
+    return out
+
+
+def test_few_blocks_are_opened_of_a_full_index():
+    """4000 examples: the nearest are those of all pairs, and the bounds leave most blocks closed."""
+    rng = np.random.default_rng(5)
+    examples = [(i, c, int(rng.random() < 0.5)) for i, c in enumerate(zipf_texts(rng, 4000))]
+    judge = toxicity.Judge(examples, {0: 2000, 1: 2000})
+    terms, index = len(judge.terms), judge.index
+    vectors = [judge.vector(c) for _, c, _ in examples]
+    asked = [judge.vector(c) for c in zipf_texts(rng, 300)] + vectors[:20]
+    index.opened = 0
+    found = index.nearest_of(asked, toxicity.NEAREST)
+    assert index.opened / len(asked) < 0.6 * index.blocks
+    dense = np.zeros((4000, terms), np.float32)
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for (t, w), (names, cosine) in zip(asked, found):
+        sims = dense[:, t].astype(float) @ w
+        best = np.sort(sims)[::-1][:toxicity.NEAREST]
+        assert np.allclose(cosine, best[best > 0], atol=1e-6)
+        assert np.allclose(sims[names], cosine, atol=1e-6)
+    for i in range(20):
+        assert found[300 + i][0][0] == i and abs(found[300 + i][1][0] - 1) < 1e-9
