@@ -203,7 +203,9 @@ SELECT * FROM (VALUES
  (19, 'AMERICA', 'REGION', 'max_delay_rate_pct', 99.0, false),
  (20, 'Supplier#000000003', 'SUPPLIER', 'min_safety_stock_days', 14.0, true),
  (21, 'Supplier#000000001', 'SUPPLIER', 'probation_flag', 1.0, true),
- (22, 'nobody', 'SUPPLIER', 'max_delay_rate_pct', 10.0, true)
+ (22, 'nobody', 'SUPPLIER', 'max_delay_rate_pct', 10.0, true),
+ (23, 'small ring', 'PRODUCT', 'min_safety_stock_days', 14.0, true),
+ (24, 'ASIA', 'REGION', 'preferred_carrier_required', 1.0, false)
 ) t(id, entity_id, entity_type, constraint_type, value, hard_limit)
 """
 

@@ -8,7 +8,7 @@ from harborlight.oracle import TABLES, money
 from harborlight.registry import query
 from harborlight.session import run_dir
 from harborlight.sources import topics
-from harborlight.streaming import running, windows, writer
+from harborlight.streaming import keyed, late, running, windows, writer
 from harborlight.streaming import validation as val
 
 
@@ -17,16 +17,26 @@ def stream(t):
 
 
 def arriving(t, job, lots=2):
-    """The events arrive in lots in order of time, and the job goes on after each; its last result."""
+    """The events arrive in lots, up to 20 hours late each, and the job goes on after each; with the last lot comes a clock event. The last result."""
     events, folder, out = t.base("events"), run_dir(t.spark, "arrivals"), None
-    size = events.agg(F.max("event_id")).scalar() + 1
-    lot = F.floor(F.col("event_id") * lots / size)
+    arrival = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.hash("event_id"), F.lit(72000))
+    span = events.agg(F.min(arrival), F.max(arrival)).first()
+    lot = F.floor((arrival - span[0]) * lots / (span[1] - span[0] + 1))
+    clock = events.limit(1).withColumn("event_type", F.lit("clock")).withColumn("event_id", F.lit(-1).cast("long")).withColumn(
+        "ts", F.lit("2100-01-01").cast("timestamp_ntz").cast(dict(events.dtypes)["ts"]))
     for k in range(lots):
-        events.filter(lot == k).write.mode("append").parquet(folder)
+        rows = events.filter(lot == k)
+        (rows if k < lots - 1 else rows.unionByName(clock)).write.mode("append").parquet(folder)
         out = job(topics.event_stream(t.spark, folder))
     return out
 
 
+def keyed_orders(events, rows=F.lit(True)):
+    """Valid orders for which ``rows`` holds, and clock events."""
+    good = (F.size("errors") == 0) & (F.col("event_type") == "ORDER")
+    return keyed.with_clock(val.with_errors(events), good & rows).drop("errors")
+
+
 def valid_orders(events):
     return val.valid(windows.orders_only(events))
 
@@ -101,28 +111,40 @@ def stream_region_5m(t):
 
 @query("latest_windows", "I07", f"SELECT * FROM ({SUPPLIER_WINDOWS}) ORDER BY window_start DESC, supplier_id LIMIT 20")
 def latest_windows(t):
-    return supplier_windows(t).orderBy(F.col("window_start").desc(), "supplier_id").limit(20)
+    """The newest windows, from the state of a running aggregation; it writes no table."""
+    base = run_dir(t.spark, "windows-state")
+    running.start_aggregate(windows.supplier_window_sums(stream(t)), base).awaitTermination()
+    sums = running.state_rows(t.spark, base, windows.SUPPLIER_WINDOW_STATE)
+    out = plain_time(windows.supplier_window_figures(sums), "window_start", "window_end")
+    return out.orderBy(F.col("window_start").desc(), "supplier_id").limit(20)
+
 
+LATE = """event_id % 20 = 0 AND time_bucket(INTERVAL 5 MINUTE, event_time) + INTERVAL 5 MINUTE <= mark"""
 
-@query("stream_late", "I06", """
-SELECT supplier_id, time_bucket(INTERVAL 5 MINUTE, event_time) AS window_start, count(*) AS total_orders
+
+@query("stream_late", "I06", f"""
+SELECT supplier_id, time_bucket(INTERVAL 5 MINUTE, event_time) AS window_start, count(*) FILTER (WHERE NOT ({LATE})) AS total_orders,
+       count(*) FILTER (WHERE {LATE}) AS late_orders, count(*) AS all_orders
 FROM stream_events, (SELECT max(event_time) - INTERVAL 24 HOUR AS mark FROM stream_events
                      WHERE event_type = 'ORDER' AND event_id % 20 <> 0)
-WHERE event_type = 'ORDER'
-  AND (event_id % 20 <> 0 OR time_bucket(INTERVAL 5 MINUTE, event_time) + INTERVAL 5 MINUTE > mark)
-GROUP BY 1, 2""")
+WHERE event_type = 'ORDER' GROUP BY 1, 2""")
 def stream_late(t):
-    """One event in twenty arrives after all others; what is over a day late is left out."""
+    """One event in twenty arrives after all others; what is over a day late is not counted by the windows and stands in the ledger."""
     base = run_dir(t.spark, "late")
     arrivals, source = f"{base}/arrivals", t.base("events")
     held_back = F.col("event_id") % 20 == 0
-    out = None
+    kept = ledger = None
     for part in (source.filter(~held_back), source.filter(held_back)):
         part.write.mode("append").parquet(arrivals)
-        out = running.drain_updates(
-            windows.supplier_windows(topics.event_stream(t.spark, arrivals)),
-            ["supplier_id", "window_start"], "late", base)
-    return plain_time(out.select("supplier_id", "window_start", "total_orders"), "window_start")
+        events = windows.orders_only(topics.event_stream(t.spark, arrivals))
+        kept = running.drain_updates(windows.supplier_windows(events), ["supplier_id", "window_start"], "late", base)
+        ledger = late.record(events, f"{base}/ledger")
+    window = F.window("event_time", windows.WINDOW)["start"].alias("window_start")
+    seen = ledger.groupBy("supplier_id", window).agg(
+        F.count("*").alias("all_orders"), F.count(F.when(F.col("late"), 1)).alias("late_orders"))
+    out = seen.join(kept.select("supplier_id", "window_start", "total_orders"), ["supplier_id", "window_start"], "left")
+    return plain_time(out.select(
+        "supplier_id", "window_start", F.coalesce("total_orders", F.lit(0)).alias("total_orders"), "late_orders", "all_orders"), "window_start")
 
 
 # messages as they come from a topic: JSON text, one in 500 cut off
@@ -203,8 +225,11 @@ SELECT supplier_id, count(*) AS total_orders, count(*) FILTER (WHERE delay_days
        greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (count(*) FILTER (WHERE delay_days > 0)::DOUBLE / greatest(count(*), 1)::DOUBLE) * 0.5::DOUBLE)) AS trust_score
 FROM order_events GROUP BY 1""")
 def stream_supplier_stats(t):
-    orders = val.valid(windows.orders_only(stream(t)))
-    return running.drain_updates(windows.supplier_totals(orders), ["supplier_id"], "stats")
+    """Sums in Spark's state, read from there."""
+    base = run_dir(t.spark, "stats")
+    sums = windows.supplier_sums(val.valid(windows.orders_only(stream(t))))
+    running.start_aggregate(sums, base).awaitTermination()
+    return windows.supplier_figures(running.state_rows(t.spark, base, windows.SUPPLIER_STATE))
 
 
 @query("stream_idempotent", "I17", "SELECT event_id, event_time, order_id, status FROM stream_events")
@@ -234,7 +259,7 @@ SELECT s.event_id, s.supplier_id, w.c AS anomaly_count, w.h AS health FROM seq s
 @query("stream_health", "I15", HEALTH)
 def stream_health(t):
     base = run_dir(t.spark, "health")
-    return arriving(t, lambda events: writer.run_health(valid_orders(events), base)).select(
+    return arriving(t, lambda events: running.drain(keyed.health(keyed_orders(events)), "health", base)).select(
         "event_id", "supplier_id", "anomaly_count", "health")
 
 
@@ -257,7 +282,7 @@ SELECT s.supplier_id, s.event_id, s.at FROM seq s JOIN walk w ON w.supplier_id =
 @query("stream_suppress", "I12", SUPPRESS)
 def stream_suppress(t):
     base, critical = run_dir(t.spark, "suppress"), rules.delay_severity(F.col("delay_days")) == "CRITICAL"
-    return arriving(t, lambda events: writer.run_suppression(valid_orders(events).filter(critical), base))
+    return arriving(t, lambda events: running.drain(keyed.accepted_alerts(keyed_orders(events, critical)), "suppress", base))
 
 
 @query("stream_causality", "I16", """
@@ -268,18 +293,17 @@ FROM (SELECT *, max(CASE WHEN delay_days > 7 THEN event_time END) OVER w AS dela
 WHERE inventory_level < 10 AND floor(epoch(event_time)) - floor(epoch(delay_time)) <= 7200""")
 def stream_causality(t):
     base = run_dir(t.spark, "causes")
-    return plain_time(arriving(t, lambda events: writer.run_causes(valid_orders(events), base)), "event_time")
+    return plain_time(arriving(t, lambda events: running.drain(keyed.causes(keyed_orders(events)), "causes", base)), "event_time")
 
 
 @query("stream_causality_join", "I16", """
-SELECT DISTINCT s.event_id, s.supplier_id, s.event_time, d.hour AS cause_hour
-FROM stream_events s JOIN (SELECT DISTINCT supplier_id, time_bucket(INTERVAL 1 HOUR, event_time) AS hour
-                           FROM stream_events WHERE event_type = 'ORDER' AND delay_days > 7) d
-  ON d.supplier_id = s.supplier_id
- AND d.hour IN (time_bucket(INTERVAL 1 HOUR, s.event_time), time_bucket(INTERVAL 1 HOUR, s.event_time) - INTERVAL 1 HOUR)
+SELECT DISTINCT s.event_id, s.supplier_id, s.event_time, time_bucket(INTERVAL 1 HOUR, d.event_time) AS cause_hour
+FROM stream_events s JOIN (SELECT * FROM stream_events WHERE event_type = 'ORDER' AND delay_days > 7) d
+  ON d.supplier_id = s.supplier_id AND d.event_time BETWEEN s.event_time - INTERVAL 2 HOUR AND s.event_time
 WHERE s.event_type = 'ORDER' AND s.inventory_level < 10""")
 def stream_causality_join(t):
-    out = running.drain(windows.stockouts_after_delays(stream(t)), "cause-join")
+    base = run_dir(t.spark, "cause-join")
+    out = arriving(t, lambda events: running.drain(windows.stockouts_after_delays(events), "cause-join", base), lots=1)
     return plain_time(out, "event_time", "cause_hour")
 
 
@@ -297,16 +321,12 @@ LEFT JOIN (SELECT order_id, sum((delay_days > 0 AND delay_days <= 14)::INT + (in
                 + (event_id IN (SELECT event_id FROM passed))::INT)::BIGINT AS deviations
            FROM order_events GROUP BY 1) d ON d.order_id = o.order_id""")
 def stream_process_batch(t):
-    """The full writer over the stream; the result reads back the tables it keeps, accepted alerts among the deviations."""
+    """The full writer over the stream; the result reads back the tables and the state it keeps, accepted alerts among the deviations."""
     w = writer.OrderWriter(t.spark, run_dir(t.spark, "process"))
     arriving(t, w.run)
-    orders = w.orders.current()
-    versions = w.table("order_events").groupBy("order_id").agg(
-        F.max("aggregate_version").alias("versions"))
-    suppliers = w.suppliers.current().select(
-        "supplier_id", F.col("total_orders").alias("supplier_orders"))
-    found = w.table("deviations").groupBy("order_id").agg(
-        F.count("*").alias("deviations"))
-    return orders.join(versions, "order_id").join(suppliers, "supplier_id").join(found, "order_id", "left").select(
+    versions = w.order_events().groupBy("order_id").agg(F.max("aggregate_version").alias("versions"))
+    suppliers = w.suppliers().select("supplier_id", F.col("total_orders").alias("supplier_orders"))
+    found = w.deviations().groupBy("order_id").agg(F.count("*").alias("deviations"))
+    return w.orders().join(versions, "order_id").join(suppliers, "supplier_id").join(found, "order_id", "left").select(
         "order_id", "status", "delay_days", "inventory_level", "versions", "supplier_orders",
         F.coalesce("deviations", F.lit(0)).alias("deviations"))

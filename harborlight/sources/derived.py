@@ -138,6 +138,19 @@ class Tables:
         return self.layer(
             "silver_orders", lambda: ord_ops.silver_orders(self.bronze_orders()), bucket_by="order_id")
 
+    def outcome_orders(self) -> DataFrame:
+        """Silver orders whose delay depends on region, stock and supplier, with noise from a hash of the id.
+
+        The delays of the order table itself follow a modulus of its keys, of which a model can learn nothing.
+        """
+        noise = F.conv(F.substring(F.md5(F.concat(F.lit("late"), "order_id")), 1, 8), 16, 10).cast("long")
+        chance = (
+            F.lit(8) + F.when(F.col("region").isin("ASIA", "AFRICA"), 27).otherwise(0)
+            + F.when(F.col("inventory_level") < 30, 30).otherwise(0)
+            + F.when(F.substring("supplier_id", -2, 2) < "35", 25).otherwise(0))
+        late = noise % 100 < chance
+        return self.silver_orders().withColumn("delay_days", F.when(late, (noise % 20 + 1).cast("int")).otherwise(F.lit(0)))
+
     def staged_orders(self) -> DataFrame:
         return ord_ops.staged_orders(self.bronze_orders(*ORDER_COLUMNS))
 
@@ -353,7 +366,8 @@ def typed_events(e: DataFrame) -> DataFrame:
     )
     regions = F.array(*[F.lit(r) for r in ("NA", "EMEA", "APAC", "LATAM")])
     return e.select(
-        F.when(F.col("event_type") == "signup", "DEMAND_SPIKE").otherwise("ORDER").alias("event_type"),
+        F.when(F.col("event_type") == "signup", "DEMAND_SPIKE").when(F.col("event_type") == "clock", "CLOCK")
+        .otherwise("ORDER").alias("event_type"),
         "event_id",
         F.col("ts").alias("event_time"),
         F.concat(F.lit("EV-"), F.col("user_id").cast("string"), F.lit("-"),
@@ -396,4 +410,6 @@ CONSTRAINTS = [
     (20, "Supplier#000000003", "SUPPLIER", "min_safety_stock_days", 14.0, True),
     (21, "Supplier#000000001", "SUPPLIER", "probation_flag", 1.0, True),
     (22, "nobody", "SUPPLIER", "max_delay_rate_pct", 10.0, True),
+    (23, "small ring", "PRODUCT", "min_safety_stock_days", 14.0, True),
+    (24, "ASIA", "REGION", "preferred_carrier_required", 1.0, False),
 ]

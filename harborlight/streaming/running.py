@@ -6,80 +6,79 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from harborlight.operators.latest import keep_last
-from harborlight.session import path_exists, run_dir
+from harborlight.session import run_dir
 
 Writer = Callable[[DataFrame, int], None]
 
 
-def drain(stream: DataFrame, label: str, base: str | None = None) -> DataFrame:
-    """Append all rows of a stream to a Parquet table and return that table."""
-    base = base or run_dir(stream.sparkSession, label)
-    query = (
+def start(stream: DataFrame, base: str) -> StreamingQuery:
+    """Start appending all rows of a stream to a Parquet table below ``base``."""
+    return (
         stream.writeStream.outputMode("append").format("parquet")
         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+
+
+def table(stream: DataFrame, base: str) -> DataFrame:
+    """What a stream has written below ``base``."""
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def each_batch(stream: DataFrame, write: Writer, base: str, mode: str = "append") -> None:
+def drain(stream: DataFrame, label: str, base: str | None = None) -> DataFrame:
+    """Append all rows of a stream to a Parquet table and return that table."""
+    base = base or run_dir(stream.sparkSession, label)
+    start(stream, base).awaitTermination()
+    return table(stream, base)
+
+
+def each_batch(stream: DataFrame, write: Writer, base: str, mode: str = "append") -> StreamingQuery:
     """Hand every micro-batch to a writer; the checkpoint moves on after it."""
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query
 
 
 def drain_updates(stream: DataFrame, keys: Sequence[str], label: str, base: str | None = None) -> DataFrame:
-    """Run an aggregation in update mode and return the last state of each key."""
+    """Run an aggregation in update mode and return the last figures of each key.
+
+    Every batch writes the rows it changed to a folder of its own, so a batch that is repeated changes nothing.
+    """
     spark = stream.sparkSession
     base = base or run_dir(spark, label)
-    log = KeyedLog(spark, f"{base}/out", keys)
-    each_batch(stream, log.save, base, "update")
-    found = log.current()
-    return spark.createDataFrame([], stream.schema) if found is None else found
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    each_batch(stream, write, base, "update")
+    changes = spark.read.schema(f"{_ddl(stream)}, batch_id int").parquet(f"{base}/out")
+    return keep_last(changes, keys, ["batch_id"]).drop("batch_id")
 
 
-class KeyedLog:
-    """A keyed table kept as the rows each micro-batch changed.
+def start_aggregate(sums: DataFrame, base: str) -> StreamingQuery:
+    """Start an aggregation whose only result is its state, which ``state_rows`` reads."""
+    return (
+        sums.writeStream.outputMode("update").format("noop")
+        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    )
+
 
-    A batch writes its own folder and reads only batches before it, so running
-    it again changes nothing. The state is the newest row per key. Every
-    ``fold_every`` batches the state so far is written down; later reads take
-    that and the few folders since, the older ones are pruned away unread.
-    With a table format at hand, MERGE takes the place of all this.
+def state_rows(spark: SparkSession, base: str, kind: str) -> DataFrame:
+    """Keys and sums that an aggregation holds in its checkpointed state, as of its last batch.
+
+    ``kind`` is the type of the sums: a field for each aggregate in order (two for a sum of decimals, the second
+    tells whether nothing was summed). Windows behind the watermark have left the state.
     """
+    rows = spark.read.format("statestore").load(f"{base}/state")
+    return rows.select("key.*", F.col("value").cast(kind).alias("value")).select(
+        *[f"`{c}`" for c in rows.select("key.*").columns], "value.*")
+
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], fold_every: int = 20):
-        self.spark, self.path, self.keys, self.fold_every = spark, path, list(keys), fold_every
-
-    def save(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/log/batch_id={batch_id}")
-        if (batch_id + 1) % self.fold_every == 0:
-            state = self.current(batch_id + 1)
-            state.write.mode("overwrite").parquet(f"{self.path}/folded/upto={batch_id + 1}")
-
-    def _folded(self, batch_id: int) -> int:
-        """The newest fold that holds batches before the given one only; 0 if there is none."""
-        upto = batch_id // self.fold_every * self.fold_every
-        while upto > 0 and not path_exists(self.spark, f"{self.path}/folded/upto={upto}/_SUCCESS"):
-            upto -= self.fold_every
-        return max(upto, 0)
-
-    def current(self, batch_id: int | None = None) -> DataFrame | None:
-        """State before a batch, or of all batches; None if nothing was written."""
-        if batch_id == 0 or not path_exists(self.spark, f"{self.path}/log"):
-            return None
-        log = self.spark.read.parquet(f"{self.path}/log")
-        if batch_id is None:
-            return keep_last(log, self.keys, ["batch_id"]).drop("batch_id")
-        upto = self._folded(batch_id)
-        rows = log.filter((F.col("batch_id") >= upto) & (F.col("batch_id") < batch_id))
-        if upto:
-            folded = self.spark.read.parquet(f"{self.path}/folded/upto={upto}")
-            rows = rows.unionByName(folded.withColumn("batch_id", F.lit(upto - 1)))
-        return keep_last(rows, self.keys, ["batch_id"]).drop("batch_id")
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)

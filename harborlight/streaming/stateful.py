@@ -1,35 +1,22 @@
-"""Order-sensitive stream logic: supplier health, alert suppression, causes.
+"""Supplier health over a table of events: the batch form of ``keyed.health``, for histories and backfills.
 
-Each job keeps a small state row per supplier. A busy supplier is never one
-task: its events are split into time slices, each slice is worked out by
+A busy supplier is never one task: its events are split into time slices, each slice is worked out by
 itself, and the slices are chained over a few numbers per slice.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborlight.operators.latest import keep_last, top_per_key
-
-DAY_SECONDS = 86400
+from harborlight.operators.latest import keep_last
+from harborlight.streaming.keyed import anomaly
 
 
 def _sliced(events: DataFrame, unit: str) -> DataFrame:
     return events.withColumn("_slice", F.date_trunc(unit, F.col("event_time").cast("timestamp")))
 
 
-# -- health ---------------------------------------------------------------
-
-def anomaly() -> Column:
-    """An order event that counts against its supplier."""
-    return (F.col("delay_days") > 14) | (F.col("inventory_level") < 5)
-
-
 def health_path(events: DataFrame, state: DataFrame | None = None, unit: str = "DAY") -> DataFrame:
     """Anomaly count and health of the supplier after each event.
 
@@ -89,101 +76,3 @@ def health_state(path: DataFrame) -> DataFrame:
     """Where each supplier ended."""
     return keep_last(path, ["supplier_id"], ["event_time", "event_id"]).select(
         "supplier_id", "anomaly_count", "health")
-
-
-# -- suppression ----------------------------------------------------------
-
-MAX_ALERTS = 5
-
-
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by supplier and time; keeps those under the limit. Holds one supplier's last day of accepted times."""
-    supplier, recent = None, deque()
-    for batch in batches:
-        keep = []
-        columns = [batch.column(i).to_pylist() for i in (0, 2, 3)]
-        for name, at, prior in zip(*columns, strict=True):
-            if name != supplier:
-                supplier, recent = name, deque()
-            while recent and recent[0] < at - DAY_SECONDS:
-                recent.popleft()
-            fresh = not prior and len(recent) < MAX_ALERTS
-            if prior or fresh:
-                recent.append(at)
-            keep.append(fresh)
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["supplier_id", "event_id", "at"])
-
-
-def accepted_alerts(criticals: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
-    """CRITICAL alerts that pass when a supplier may have five accepted per 24 hours.
-
-    Time counts in whole seconds. Of the alerts of one supplier in one second
-    at most the first five can pass, so the rest is cut off where it is read;
-    a supplier then has at most five rows per second of the batch's time span,
-    however many alerts there are. They pass through one task as a sorted stream, of which it
-    holds a day of accepted times.
-
-    ``accepted`` are alerts let through before. A late alert counts those of the
-    day before its own time; accepted ones after it neither count nor are taken back.
-    """
-    at = F.unix_seconds(F.col("event_time").cast("timestamp"))
-    seconds = criticals.select("supplier_id", "event_id", at.alias("at"))
-    rows = top_per_key(seconds, ["supplier_id", "at"], [F.col("event_id").asc()], MAX_ALERTS).select(
-        "supplier_id", "event_id", "at", F.lit(False).alias("prior"))
-    if accepted is not None:
-        first = seconds.groupBy("supplier_id").agg(F.min("at").alias("_first"))
-        recent = accepted.join(first, "supplier_id").filter(
-            F.col("at") >= F.col("_first") - DAY_SECONDS
-        ).select("supplier_id", "event_id", "at", F.lit(True).alias("prior"))
-        rows = rows.unionByName(recent)
-    ordered = rows.repartition("supplier_id").sortWithinPartitions(
-        "supplier_id", "at", F.desc("prior"), "event_id")
-    return ordered.mapInArrow(_walk, "supplier_id string, event_id long, at long")
-
-
-# -- causes ---------------------------------------------------------------
-
-def causes(events: DataFrame, state: DataFrame | None = None, horizon: int = 7200, unit: str = "DAY") -> DataFrame:
-    """Each stock-out with the last long delay of its supplier before it, if recent.
-
-    ``state`` (supplier_id, delay_event, delay_time) holds the last long delay
-    of earlier events. A delay after the stock-out is no cause of it.
-    """
-    late = F.col("delay_days") > 7
-    mark = F.when(late, F.struct(F.col("event_time").alias("delay_time"), F.col("event_id").alias("delay_event")))
-    rows = _sliced(events, unit).withColumn("_delay", mark)
-    inside = Window.partitionBy("supplier_id", "_slice").orderBy("event_time", "event_id")
-    before_row = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("_here", F.last("_delay", ignorenulls=True).over(before_row))
-
-    slices = rows.groupBy("supplier_id", "_slice").agg(F.max("_delay").alias("_slice_last"))
-    earlier = Window.partitionBy("supplier_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.withColumn("_before", F.last("_slice_last", ignorenulls=True).over(earlier)).drop("_slice_last")
-    if state is not None:
-        starts = starts.join(
-            state.select("supplier_id", F.struct("delay_time", "delay_event").alias("_state")), "supplier_id", "left"
-        ).withColumn("_before", F.coalesce("_before", "_state")).drop("_state")
-    found = local.filter(F.col("inventory_level") < 10).join(starts, ["supplier_id", "_slice"]).withColumn(
-        "_cause", F.coalesce("_here", "_before"))
-    gap = F.unix_seconds(F.col("event_time").cast("timestamp")) - F.unix_seconds(
-        F.col("_cause.delay_time").cast("timestamp"))
-    return found.filter(gap.between(0, horizon)).select(
-        "event_id", "supplier_id", "event_time", F.col("_cause.delay_event").alias("delay_event"),
-        F.concat(F.lit("DELAY→STOCKOUT (supplier "), "supplier_id", F.lit(")")).alias("causality_chain"))
-
-
-def cause_state(events: DataFrame) -> DataFrame:
-    """The last long delay of each supplier."""
-    late = events.filter(F.col("delay_days") > 7)
-    return late.groupBy("supplier_id").agg(
-        F.max(F.struct(F.col("event_time").alias("delay_time"), F.col("event_id").alias("delay_event"))).alias("d")
-    ).select("supplier_id", "d.delay_event", "d.delay_time")
-
-
-def later_cause(found: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Of a batch's last delays and those known before, the later one; a late batch never sets the state back."""
-    if before is None:
-        return found
-    known = before.join(found.select("supplier_id"), "supplier_id", "left_semi").select(found.columns)
-    return found.unionByName(known).groupBy("supplier_id").agg(
-        F.max(F.struct("delay_time", "delay_event")).alias("d")).select("supplier_id", "d.delay_event", "d.delay_time")

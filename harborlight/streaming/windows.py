@@ -38,18 +38,25 @@ def _bounds() -> list[Column]:
     return [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
 
 
-def supplier_windows(events: DataFrame, retention: str = RETENTION) -> DataFrame:
-    """Delay figures per supplier and five minutes."""
-    sums = (
+#: Type of the sums of ``supplier_window_sums`` and of ``supplier_sums`` in a query's state.
+SUPPLIER_WINDOW_STATE = "struct<total_orders:bigint,delayed_orders:bigint,_delay:bigint,_stock:decimal(28,4),_none:boolean>"
+SUPPLIER_STATE = "struct<total_orders:bigint,delayed_orders:bigint,_delay:bigint>"
+
+
+def supplier_window_sums(events: DataFrame, retention: str = RETENTION) -> DataFrame:
+    return (
         orders_only(events).withWatermark("event_time", retention)
         .groupBy(F.window("event_time", WINDOW), "supplier_id")
         .agg(
             F.count("*").alias("total_orders"),
             count_if(F.col("delay_days") > 0).alias("delayed_orders"),
             F.sum("delay_days").alias("_delay"),
-            F.sum(F.col("inventory_level").cast("decimal(18,4)")).cast("double").alias("_stock"),
+            F.sum(F.col("inventory_level").cast("decimal(18,4)")).alias("_stock"),
         )
     )
+
+
+def supplier_window_figures(sums: DataFrame) -> DataFrame:
     n = F.col("total_orders")
     return sums.select(
         "supplier_id", "total_orders", "delayed_orders",
@@ -60,6 +67,11 @@ def supplier_windows(events: DataFrame, retention: str = RETENTION) -> DataFrame
     )
 
 
+def supplier_windows(events: DataFrame, retention: str = RETENTION) -> DataFrame:
+    """Delay figures per supplier and five minutes."""
+    return supplier_window_figures(supplier_window_sums(events, retention))
+
+
 def region_windows(events: DataFrame, retention: str = RETENTION) -> DataFrame:
     """Demand figures per region and five minutes."""
     sums = (
@@ -78,15 +90,17 @@ def region_windows(events: DataFrame, retention: str = RETENTION) -> DataFrame:
     )
 
 
-def supplier_totals(orders: DataFrame) -> DataFrame:
-    """Running supplier statistics as streaming state."""
-    from harborlight.functions.rules import trust_score
-
-    sums = orders.groupBy("supplier_id").agg(
+def supplier_sums(orders: DataFrame) -> DataFrame:
+    return orders.groupBy("supplier_id").agg(
         F.count("*").alias("total_orders"),
         count_if(F.col("delay_days") > 0).alias("delayed_orders"),
         F.sum("delay_days").alias("_delay"),
     )
+
+
+def supplier_figures(sums: DataFrame) -> DataFrame:
+    from harborlight.functions.rules import trust_score
+
     return sums.select(
         "supplier_id", "total_orders", "delayed_orders",
         ratio(F.col("_delay"), F.col("total_orders")).alias("avg_delay_days"),
@@ -94,33 +108,42 @@ def supplier_totals(orders: DataFrame) -> DataFrame:
     )
 
 
+def supplier_totals(orders: DataFrame) -> DataFrame:
+    """Running supplier statistics as streaming state."""
+    return supplier_figures(supplier_sums(orders))
+
+
 def once(events: DataFrame, key: str = "event_id", horizon: str = RETENTION) -> DataFrame:
     """Drop events delivered again within the horizon."""
     return events.withWatermark("event_time", horizon).dropDuplicatesWithinWatermark([key])
 
 
 def stockouts_after_delays(events: DataFrame, bucket: str = "1 hour") -> DataFrame:
-    """Stock-outs with a long delay of the same supplier in their hour or the one before.
+    """Stock-outs with a long delay of the same supplier at most two hours before, by a join of two streams.
 
-    Delays are cut to one per supplier and hour before the two streams meet, so
-    an hour with many delays does not multiply the stock-outs.
+    Delays are cut to the first and the last of each supplier and hour before the two streams meet, so
+    an hour with many delays does not multiply the stock-outs. Of the hour of the stock-out the first delay can be a cause, of the
+    hour that begins before the two hours the last one, and of an hour between any. ``cause_hour`` has a row for each hour that
+    holds a cause. Hours are final, and meet, when the watermark has passed them.
     """
-    orders = orders_only(events).withWatermark("event_time", RETENTION)
+    # one condition that names the time: clock events get past the watermark before they are dropped
+    orders = events.withWatermark("event_time", RETENTION).filter(
+        F.when(F.col("event_time").isNotNull(), F.col("event_type") == "ORDER"))
     hour = F.window("event_time", bucket)["start"]
     delays = (
         orders.filter(F.col("delay_days") > 7)
-        .select(F.col("supplier_id").alias("cause_supplier"), hour.alias("cause_hour"), F.col("event_time").alias("cause_time"))
-        .dropDuplicatesWithinWatermark(["cause_supplier", "cause_hour"])
-        .select("cause_supplier", "cause_hour", "cause_time")
+        .groupBy(F.window("event_time", bucket).alias("cause_window"), F.col("supplier_id").alias("cause_supplier"))
+        .agg(F.min("event_time").alias("first_delay"), F.max("event_time").alias("last_delay"))
+        .select("cause_supplier", "cause_window", F.col("cause_window.start").alias("cause_hour"), "first_delay", "last_delay")
     )
     stockouts = orders.filter(F.col("inventory_level") < 10).select(
         "event_id", "supplier_id", "event_time", hour.alias("hour"))
-    # two equality keys: the hour itself and the one before
-    wanted = stockouts.withColumn(
-        "cause_slot", F.explode(F.array(F.col("hour"), F.col("hour") - F.expr(f"INTERVAL {bucket}"))))
+    # three equality keys: the hour itself and the two before
+    wanted = stockouts.withColumn("cause_slot", F.explode(F.array(*[
+        F.col("hour") - F.expr(f"INTERVAL {bucket}") * k for k in range(3)])))
+    span = F.col("event_time") - F.expr("INTERVAL 2 hours")
     return wanted.join(
         delays,
         (F.col("supplier_id") == F.col("cause_supplier")) & (F.col("cause_slot") == F.col("cause_hour"))
-        & F.col("cause_time").between(
-            F.col("event_time") - F.expr("INTERVAL 2 hours"), F.col("event_time") + F.expr("INTERVAL 1 hour")),
+        & (F.col("first_delay") <= F.col("event_time")) & (F.col("last_delay") >= span),
     ).select("event_id", "supplier_id", "event_time", "cause_hour")

@@ -1,4 +1,4 @@
-"""Micro-batch writers: routing, order processing, and the stateful jobs on a stream."""
+"""Writers on the stream of events: routing, and all that is kept of orders."""
 
 from __future__ import annotations
 
@@ -6,19 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.operators import deviations as dev
-from harborlight.operators import history, merge
-from harborlight.operators.latest import keep_last
-from harborlight.operators.suppliers import merge_statistics
-from harborlight.session import path_exists
-from harborlight.streaming import stateful
-from harborlight.streaming.running import KeyedLog, each_batch
+from harborlight.operators import history
+from harborlight.streaming import keyed, windows
+from harborlight.streaming.running import each_batch, start, start_aggregate, state_rows, table
 from harborlight.streaming.validation import dead_letters, with_errors
-from harborlight.streaming.windows import supplier_totals
 
 ORDER_FIELDS = ["order_id", "supplier_id", "product", "region", "quantity", "unit_price", "order_value",
                 "delay_days", "status", "inventory_level", "event_time", "event_id"]
 UPDATED = ["status", "delay_days", "inventory_level", "event_time", "event_id"]
-ARRIVAL = ["event_time", "event_id"]
 
 
 def route(stream: DataFrame, base: str) -> dict[str, str]:
@@ -46,146 +41,69 @@ def route(stream: DataFrame, base: str) -> dict[str, str]:
 class OrderWriter:
     """Keeps suppliers, orders, the order log, deviations and statistics up to date.
 
-    Suppliers and orders are keyed logs; an order row carries the version its
-    event log has reached, so the log itself is never read again. Running a
-    batch a second time gives the same tables.
+    Five queries run over the same stream. Valid orders and deviations are appended to tables, each row once. Suppliers
+    and orders are sums in Spark's own state, one small row for each: counts, the first event of an order, and its last one; they are
+    read from the checkpoint. The order log is read from the appended events. CRITICAL deviations go
+    through alert suppression and appear when the watermark has passed them.
     """
 
-    def __init__(self, spark: SparkSession, base: str, fold_every: int = 20):
-        self.spark, self.base = spark, base
-        self.suppliers = KeyedLog(spark, f"{base}/suppliers", ["supplier_id"], fold_every)
-        self.orders = KeyedLog(spark, f"{base}/orders", ["order_id"], fold_every)
+    def __init__(self, spark: SparkSession, base: str, horizon: str = keyed.HORIZON):
+        self.spark, self.base, self.horizon = spark, base, horizon
 
-    def _save(self, rows: DataFrame, name: str, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.base}/{name}/batch_id={batch_id}")
+    def _path(self, name: str) -> str:
+        return f"{self.base}/{name}"
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        checked = with_errors(batch).filter(
-            (F.size("errors") == 0) & (F.col("event_type") == "ORDER")).select(*ORDER_FIELDS).persist()
-        try:
-            if checked.isEmpty():
-                return
-            self._update_suppliers(checked, batch_id)
-            before = self._update_orders(checked, batch_id)
-            self._save(history.order_log(checked, before), "order_events", batch_id)
-            self._detect(checked, batch_id)
-        finally:
-            checked.unpersist()
-
-    def _update_suppliers(self, events: DataFrame, batch_id: int) -> None:
-        """New suppliers start as stubs; all of the batch's suppliers get its counts."""
-        now = self.suppliers.current(batch_id)
-        if now is None:
-            changed = supplier_totals(events)
-        else:
-            touched = now.join(events.select("supplier_id").distinct(), "supplier_id", "left_semi")
-            unseen = merge.supplier_stubs(events, now, ARRIVAL).select(*touched.columns)
-            changed = merge_statistics(touched.unionByName(unseen), events)
-        self.suppliers.save(changed, batch_id)
-
-    def _update_orders(self, events: DataFrame, batch_id: int) -> DataFrame | None:
-        """Write the new state of the batch's orders; return the state they had."""
-        last = keep_last(events, ["order_id"], ARRIVAL)
-        added = events.groupBy("order_id").agg(F.count("*").alias("_added"))
-        now = self.orders.current(batch_id)
-        before = None
-        if now is None:
-            changed = last.join(added, "order_id").withColumnRenamed("_added", "version")
-        else:
-            before = now.join(last.select("order_id"), "order_id", "left_semi")
-            versions = before.select("order_id", F.col("version").alias("_had"))
-            changed = (
-                merge.upsert_columns(before.drop("version"), last, "order_id", UPDATED, ARRIVAL)
-                .join(added, "order_id").join(versions, "order_id", "left")
-                .withColumn("version", F.coalesce("_had", F.lit(0)) + F.col("_added"))
-                .drop("_had", "_added")
-            )
-        self.orders.save(changed, batch_id)
-        return before
-
-    def _detect(self, events: DataFrame, batch_id: int) -> None:
-        found = dev.all_matches(events, "supplier_id", "event_time", "event_id").withColumn(
-            "deviation_id", F.concat_ws("-", F.lit("DEV"), F.col("event_id"), F.col("type"))).persist()
-        try:
-            criticals = found.filter(F.col("severity") == "CRITICAL")
-            path = f"{self.base}/accepted"
-            save_accepted(stateful.accepted_alerts(criticals, _recent(criticals, path, batch_id)), path, batch_id)
-            accepted = _accepted(self.spark, path).filter(F.col("batch_id") == batch_id).select("event_id")
-            let_through = criticals.join(accepted, "event_id", "left_semi").unionByName(
-                found.filter(F.col("severity") != "CRITICAL"))
-            self._save(let_through, "deviations", batch_id)
-        finally:
-            found.unpersist()
+    def _found(self, orders: DataFrame) -> DataFrame:
+        return dev.all_matches(orders, "supplier_id", "event_time", "event_id").withColumn(
+            "deviation_id", F.concat_ws("-", F.lit("DEV"), F.col("event_id"), F.col("type")))
 
     def run(self, stream: DataFrame) -> None:
-        each_batch(stream, self, self.base)
-
-    def table(self, name: str) -> DataFrame:
-        """One of the tables that only grow."""
-        return self.spark.read.parquet(f"{self.base}/{name}").drop("batch_id")
-
-
-ACCEPTED = "supplier_id string, event_id long, at long, batch_id long, day long"
-
-
-def save_accepted(passed: DataFrame, path: str, batch_id: int) -> None:
-    """Accepted alerts by batch and day; a repeated batch replaces its own."""
-    day = F.floor(F.col("at") / stateful.DAY_SECONDS).cast("long")
-    passed.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
-
-
-def _accepted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ACCEPTED).option("basePath", path).parquet(path)
-
-
-def _recent(criticals: DataFrame, path: str, batch_id: int) -> DataFrame | None:
-    """Alerts accepted in earlier batches, from a day before this batch's first alert to its last; other days are not read."""
-    if batch_id == 0 or not path_exists(criticals.sparkSession, path):
-        return None
-    day = F.floor(F.unix_seconds(F.col("event_time").cast("timestamp")) / stateful.DAY_SECONDS)
-    span = criticals.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
-    if span["first"] is None:
-        return None
-    return _accepted(criticals.sparkSession, path).filter(
-        (F.col("batch_id") < batch_id) & F.col("day").between(span["first"] - 1, span["last"])).drop("batch_id", "day")
-
-
-def run_health(stream: DataFrame, base: str) -> DataFrame:
-    """Supplier health over a stream; the state carries it from batch to batch."""
-    spark = stream.sparkSession
-    state = KeyedLog(spark, f"{base}/health_state", ["supplier_id"])
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        out = f"{base}/health/batch_id={batch_id}"
-        stateful.health_path(batch, state.current(batch_id)).write.mode("overwrite").parquet(out)
-        state.save(stateful.health_state(spark.read.parquet(out)), batch_id)
-
-    each_batch(stream, write, base)
-    return spark.read.parquet(f"{base}/health").drop("batch_id")
-
-
-def run_suppression(criticals: DataFrame, base: str) -> DataFrame:
-    """Accepted CRITICAL alerts over a stream."""
-    spark = criticals.sparkSession
-    path = f"{base}/accepted"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        save_accepted(stateful.accepted_alerts(batch, _recent(batch, path, batch_id)), path, batch_id)
-
-    each_batch(criticals, write, base)
-    return _accepted(spark, path).select("supplier_id", "event_id", "at")
-
-
-def run_causes(stream: DataFrame, base: str) -> DataFrame:
-    """Stock-outs and their causes over a stream."""
-    spark = stream.sparkSession
-    state = KeyedLog(spark, f"{base}/delay_state", ["supplier_id"])
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = state.current(batch_id)
-        found = stateful.causes(batch, before)
-        found.write.mode("overwrite").parquet(f"{base}/causes/batch_id={batch_id}")
-        state.save(stateful.later_cause(stateful.cause_state(batch), before), batch_id)
-
-    each_batch(stream, write, base)
-    return spark.read.parquet(f"{base}/causes").drop("batch_id")
+        """Take in all that the stream has and stop; call it again for what comes later."""
+        checked = with_errors(stream)
+        good = (F.size("errors") == 0) & (F.col("event_type") == "ORDER")
+        orders = checked.filter(good).select(*ORDER_FIELDS)
+        latest = F.max(F.struct("event_time", "event_id", "status", "delay_days", "inventory_level"))
+        first = F.min(F.struct("event_time", "event_id", *[c for c in ORDER_FIELDS if c not in UPDATED and c != "order_id"]))
+        self.orders_seen = orders
+        self.other = self._found(orders).filter(F.col("severity") != "CRITICAL")
+        late = self._critical(keyed.with_clock(checked, good))
+        self.passed = keyed.accepted_alerts(late, self.horizon)
+        queries = [
+            start(orders, self._path("events")),
+            start(self.other, self._path("deviations")),
+            start(self.passed, self._path("accepted")),
+            start_aggregate(windows.supplier_sums(orders), self._path("suppliers")),
+            start_aggregate(orders.groupBy("order_id").agg(F.count("*").alias("version"), first.alias("first"), latest.alias("last")),
+                            self._path("orders")),
+        ]
+        for query in queries:
+            query.awaitTermination()
+
+    @staticmethod
+    def _critical(events: DataFrame) -> DataFrame:
+        """CRITICAL delays, one for each event at most, and clock events."""
+        from harborlight.functions import rules
+
+        return keyed.with_clock(events, rules.delay_severity(F.col("delay_days")) == "CRITICAL")
+
+    def suppliers(self) -> DataFrame:
+        return windows.supplier_figures(state_rows(self.spark, self._path("suppliers"), windows.SUPPLIER_STATE))
+
+    def orders(self) -> DataFrame:
+        """Each order with its newest status, delay and stock, all else as it was first, and its number of events."""
+        rows = self.spark.read.format("statestore").load(f"{self._path('orders')}/state").select(
+            "key.order_id", F.col("value.count").alias("version"), F.col("value.min").alias("first"), F.col("value.max").alias("last"))
+        return rows.select(
+            *[F.col("order_id" if c == "order_id" else f"last.{c}" if c in UPDATED else f"first.{c}").alias(c) for c in ORDER_FIELDS],
+            "version")
+
+    def order_events(self) -> DataFrame:
+        """The order log: every event with its version, old state and kind of change."""
+        return history.order_log(table(self.orders_seen, self._path("events")))
+
+    def deviations(self) -> DataFrame:
+        """All deviations but the CRITICAL ones that were held back."""
+        events = table(self.orders_seen, self._path("events"))
+        passed = table(self.passed, self._path("accepted")).select("event_id")
+        critical = self._found(events).filter(F.col("severity") == "CRITICAL").join(passed, "event_id", "left_semi")
+        return table(self.other, self._path("deviations")).unionByName(critical)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harborlight.operators import history
 from harborlight.session import run_dir
 from harborlight.sources import topics
-from harborlight.streaming import running, stateful, validation, windows, writer
+from harborlight.streaming import keyed, late, running, stateful, validation, windows, writer
 
 SCHEMA = ("event_id long, event_time timestamp, event_type string, order_id string, supplier_id string, product string, "
           "region string, quantity int, unit_price double, order_value double, delay_days int, status string, inventory_level double")
@@ -28,6 +28,17 @@ def make_events(n, seed=1, suppliers=4, hot=0.4, gap=900):
     return out
 
 
+CLOCK = (10**9, dt.datetime(2100, 1, 1), "CLOCK", *[None] * 10)
+
+
+def shuffled(events, parts, seed=4, hours=20):
+    """Batches of the events, each event up to so many hours late; at last a clock event."""
+    rng = random.Random(seed)
+    order = sorted(events, key=lambda e: e[1] + dt.timedelta(seconds=rng.randrange(hours * 3600)))
+    size = -(-len(order) // parts)
+    return [*(order[p * size:(p + 1) * size] for p in range(parts)), [CLOCK]]
+
+
 @pytest.fixture(scope="module")
 def events():
     return make_events(1200)
@@ -67,11 +78,26 @@ def health_by_hand(events):
 
 @pytest.mark.parametrize("parts", [1, 3])
 def test_health_equals_going_through_the_events(spark, events, parts):
-    got = writer.run_health(as_stream(spark, events, parts), run_dir(spark, "h")).collect()
+    """Also with events that come late, within the horizon."""
+    got = running.drain(keyed.health(as_batches(spark, shuffled(events, parts))), "h").collect()
     assert {r.event_id: (r.anomaly_count, r.health) for r in got} == health_by_hand(events)
     assert {r.health for r in got} == {"NORMAL", "DEGRADING", "CRITICAL"}
 
 
+def test_health_waits_for_the_watermark(spark, events):
+    """Nothing comes out for events that the watermark has not passed; a restart goes on from the state."""
+    path, base = run_dir(spark, "feed"), run_dir(spark, "h")
+    seen = []
+    for batch in (events[:600], events[600:], [CLOCK]):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        stream = topics.parquet_stream(spark, path, spark.read.parquet(path).schema, files=1)
+        seen.append({r.event_id for r in running.drain(keyed.health(stream), "h", base).collect()})
+    day = dt.timedelta(days=1)
+    assert seen[0] == {e[0] for e in events if e[1] <= events[599][1] - day}
+    assert seen[1] == {e[0] for e in events if e[1] <= events[-1][1] - day}
+    assert seen[2] == {e[0] for e in events}
+
+
 def accepted_by_hand(events):
     kept, out = {}, set()
     for e in sorted(events, key=lambda e: (int(e[1].timestamp()), e[0])):
@@ -90,11 +116,30 @@ def test_suppression_counts_accepted_alerts_only(spark, parts):
         at += dt.timedelta(seconds=rng.choice([0, 0, 0, 60, 4000]))
         alerts.append((i, at, "ORDER", f"O{i}", "S-hot" if i % 3 else "S1", "P", "EU", 1, 1.0, 1.0, 15, "DELAYED", 50.0))
     want = accepted_by_hand(alerts)
-    got = writer.run_suppression(as_stream(spark, alerts, parts), run_dir(spark, "s")).collect()
+    got = running.drain(keyed.accepted_alerts(as_batches(spark, shuffled(alerts, parts))), "s").collect()
     assert {r.event_id for r in got} == want
     assert 0 < len(want) < len(alerts) / 4
 
 
+def test_accepted_times_leave_the_state_after_a_day(spark):
+    """The state's accepted times, read from the checkpoint before and after the day is over."""
+    at = dt.datetime(2024, 1, 1)
+
+    def alert(i, hours):
+        return (i, at + dt.timedelta(hours=hours), "ORDER", "O", "S", "P", "EU", 1, 1.0, 1.0, 15, "DELAYED", 50.0)
+
+    path, base = run_dir(spark, "feed"), run_dir(spark, "s")
+    held = []
+    clocks = [(10**9, at + dt.timedelta(hours=h), *CLOCK[2:]) for h in (30, 48.5, 80)]
+    for batch in ([alert(0, 0), alert(1, 1), alert(2, 2)], *([c] for c in clocks)):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        stream = topics.parquet_stream(spark, path, spark.read.parquet(path).schema, files=1)
+        running.drain(keyed.accepted_alerts(stream), "s", base)
+        rows = spark.read.format("statestore").option("stateVarName", "accepted").load(f"{base}/state")
+        held.append(rows.count())
+    assert held == [0, 3, 2, 0]
+
+
 def causes_by_hand(events, horizon=7200):
     last, out = {}, {}
     for e in events:
@@ -109,7 +154,7 @@ def causes_by_hand(events, horizon=7200):
 
 @pytest.mark.parametrize("parts", [1, 3])
 def test_causes(spark, events, parts):
-    got = writer.run_causes(as_stream(spark, events, parts), run_dir(spark, "c")).collect()
+    got = running.drain(keyed.causes(as_batches(spark, shuffled(events, parts))), "c").collect()
     assert {r.event_id: r.delay_event for r in got} == causes_by_hand(events)
 
 
@@ -121,15 +166,23 @@ def as_batches(spark, batches):
     return topics.parquet_stream(spark, path, spark.read.parquet(path).schema, files=1)
 
 
-def test_causes_of_late_batches(spark):
-    at = dt.datetime(2024, 1, 1)
+def one(i, hour, delay, stock):
+    at = dt.datetime(2024, 1, 1) + dt.timedelta(hours=hour)
+    return (i, at, "ORDER", "O", "S", "P", "EU", 1, 1.0, 1.0, delay, "DELAYED", stock)
+
+
+@pytest.mark.parametrize("older", [None, 24, 56])
+def test_an_older_delay_does_not_hide_a_newer_one(spark, older):
+    """A delay at 58 h is known; a batch brings an older one and the stock-out at 59 h."""
+    batch = [one(3, 59, 0, 5.0)] + ([one(2, older, 9, 50.0)] if older else [])
+    found = keyed.causes(as_batches(spark, [[one(1, 58, 9, 50.0)], batch, [CLOCK]]), "100 hours")
+    assert {r.event_id: r.delay_event for r in running.drain(found, "c").collect()} == {3: 1}
 
-    def event(i, hour, delay, stock):
-        return (i, at + dt.timedelta(hours=hour), "ORDER", "O", "S", "P", "EU", 1, 1.0, 1.0, delay, "DELAYED", stock)
 
-    batches = [[event(0, 20, 9, 50.0)], [event(1, 3, 0, 5.0), event(2, 1, 9, 50.0)], [event(3, 21, 0, 5.0), event(4, 23, 0, 5.0)]]
-    got = writer.run_causes(as_batches(spark, batches), run_dir(spark, "c")).collect()
-    # the delay at 20 h explains 21 h, not 3 h; the one at 1 h, which came later, explains 3 h and does not set the state back
+def test_causes_are_those_of_the_time_of_the_stock_out(spark):
+    batches = [[one(0, 20, 9, 50.0)], [one(1, 3, 0, 5.0), one(2, 1, 9, 50.0)], [one(3, 21, 0, 5.0), one(4, 23, 0, 5.0)], [CLOCK]]
+    got = running.drain(keyed.causes(as_batches(spark, batches)), "c").collect()
+    # the delay at 20 h explains 21 h, not 3 h; the one at 1 h, which came later, explains 3 h
     assert {r.event_id: r.delay_event for r in got} == {1: 2, 3: 0}
 
 
@@ -137,16 +190,39 @@ def test_suppression_of_late_batches(spark):
     rng, at = random.Random(8), dt.datetime(2024, 1, 1)
     alerts = [(i, at + dt.timedelta(seconds=rng.randrange(5 * 86400)), "ORDER", f"O{i}", f"S{i % 2}", "P", "EU", 1, 1.0, 1.0, 15, "DELAYED", 50.0)
               for i in range(300)]
-    batches = [alerts[k::3] for k in range(3)]
-    kept, want = {}, set()
-    for b in batches:  # a batch by time, a late alert against the accepted ones of the day before it
-        for e in sorted(b, key=lambda e: (int(e[1].timestamp()), e[0])):
-            t, mine = int(e[1].timestamp()), kept.setdefault(e[4], [])
-            if sum(1 for a in mine if t - 86400 <= a <= t) < 5:
-                mine.append(t)
-                want.add(e[0])
-    got = writer.run_suppression(as_batches(spark, batches), run_dir(spark, "s")).collect()
-    assert {r.event_id for r in got} == want
+    batches = [*(alerts[k::3] for k in range(3)), [CLOCK]]
+    got = running.drain(keyed.accepted_alerts(as_batches(spark, batches), "6 days"), "s").collect()
+    assert {r.event_id for r in got} == accepted_by_hand(alerts)
+
+
+def test_late_rows_are_recorded(spark, events):
+    """The ledger agrees with what the aggregation counted and with what Spark says it dropped."""
+    early, held = [e for e in events if e[0] % 7], [e for e in events if not e[0] % 7]
+    path, base = run_dir(spark, "feed"), run_dir(spark, "late")
+    for batch in (early, held):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        stream = topics.parquet_stream(spark, path, spark.read.parquet(path).schema, files=1)
+        ledger = late.record(stream, f"{base}/ledger")
+        query = running.start_aggregate(windows.supplier_window_sums(stream), f"{base}/windows")
+        query.awaitTermination()
+        kept = running.drain_updates(windows.supplier_windows(stream), ["supplier_id", "window_start"], "w", f"{base}/updates")
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    mark = max(e[1] for e in early) - dt.timedelta(days=1)
+    floor = [e[1].replace(minute=e[1].minute // 5 * 5, second=0, microsecond=0) for e in held]
+    want = {e[0] for e, f in zip(held, floor) if f + dt.timedelta(minutes=5) <= mark}
+    assert {r.event_id for r in ledger.filter("late").collect()} == want and want
+    assert ledger.count() == len(events)
+    assert kept.agg(F.sum("total_orders")).first()[0] == len(events) - len(want)
+    assert dropped == len({(e[4], f) for e, f in zip(held, floor) if e[0] in want})  # summed up before they are dropped
+
+
+def test_windows_from_the_state(spark, events):
+    """Sums read from the checkpoint are those of all rows, batch after batch."""
+    base = run_dir(spark, "state")
+    running.start_aggregate(windows.supplier_window_sums(as_stream(spark, events, 3), "3650 days"), base).awaitTermination()
+    got = windows.supplier_window_figures(running.state_rows(spark, base, windows.SUPPLIER_WINDOW_STATE))
+    want = windows.supplier_windows(spark.createDataFrame(events, SCHEMA))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
 
 
 def versions_by_hand(events):
@@ -166,52 +242,44 @@ def versions_by_hand(events):
     return out
 
 
-@pytest.mark.parametrize("parts,fold", [(1, 20), (4, 20), (6, 2)])
-def test_order_writer_keeps_all_tables(spark, events, parts, fold):
-    w = writer.OrderWriter(spark, run_dir(spark, "w"), fold)
-    w.run(as_stream(spark, events, parts))
-    log = {r.event_id: (r.aggregate_version, r.event_type, r.old_status) for r in w.table("order_events").collect()}
+@pytest.mark.parametrize("parts", [1, 4])
+def test_order_writer_keeps_all_tables(spark, events, parts):
+    w = writer.OrderWriter(spark, run_dir(spark, "w"))
+    w.run(as_batches(spark, shuffled(events, parts)))
+    log = {r.event_id: (r.aggregate_version, r.event_type, r.old_status) for r in w.order_events().collect()}
     assert log == versions_by_hand(events)
 
-    last = {e[3]: e for e in events}
-    orders = {r.order_id: r for r in w.orders.current().collect()}
-    assert {k: (v.status, v.delay_days) for k, v in orders.items()} == {k: (e[11], e[10]) for k, e in last.items()}
+    first, last = {e[3]: e for e in reversed(events)}, {e[3]: e for e in events}
+    orders = {r.order_id: r for r in w.orders().collect()}
+    assert {k: (v.status, v.delay_days, v.event_id) for k, v in orders.items()} == {k: (e[11], e[10], e[0]) for k, e in last.items()}
+    assert {k: (v.supplier_id, v.quantity) for k, v in orders.items()} == {k: (e[4], e[7]) for k, e in first.items()}
     assert {k: v.version for k, v in orders.items()} == {k: sum(e[3] == k for e in events) for k in last}
 
-    suppliers = {r.supplier_id: r for r in w.suppliers.current().collect()}
+    suppliers = {r.supplier_id: r for r in w.suppliers().collect()}
     for s in {e[4] for e in events}:
         mine = [e for e in events if e[4] == s]
-        late = sum(e[10] > 0 for e in mine)
-        assert (suppliers[s].total_orders, suppliers[s].delayed_orders) == (len(mine), late)
+        late_ones = sum(e[10] > 0 for e in mine)
+        assert (suppliers[s].total_orders, suppliers[s].delayed_orders) == (len(mine), late_ones)
         assert abs(suppliers[s].avg_delay_days - sum(e[10] for e in mine) / len(mine)) < 1e-9
-        assert abs(suppliers[s].trust_score - (1 - 0.5 * late / len(mine))) < 1e-9
+        assert abs(suppliers[s].trust_score - (1 - 0.5 * late_ones / len(mine))) < 1e-9
 
     critical = [e for e in events if e[10] > 14]
-    passed = {r.event_id for r in w.table("deviations").filter("severity = 'CRITICAL'").collect()}
+    passed = {r.event_id for r in w.deviations().filter("severity = 'CRITICAL'").collect()}
     assert passed == accepted_by_hand(critical)
 
 
-def test_order_writer_batch_may_run_twice(spark, events):
-    w = writer.OrderWriter(spark, run_dir(spark, "twice"))
-    first = spark.createDataFrame(events[:400], SCHEMA)
-    second = spark.createDataFrame(events[400:800], SCHEMA)
-    w(first, 0), w(second, 1), w(second, 1)
-    assert w.table("order_events").count() == 800
-    total = w.suppliers.current().agg(F.sum("total_orders")).first()[0]
-    assert total == 800
-
-
-def test_keyed_log_folds_and_prunes(spark):
-    log = running.KeyedLog(spark, run_dir(spark, "keyed"), ["k"], fold_every=3)
-    want = {}
-    for b in range(8):
-        rows = [(f"k{(b + i) % 5}", b) for i in range(2)]
-        want.update(rows)
-        log.save(spark.createDataFrame(rows, "k string, v int"), b)
-        assert {r.k: r.v for r in log.current(b + 1).collect()} == want
-    assert {r.k: r.v for r in log.current().collect()} == want
-    assert log._folded(8) == 6 and log._folded(6) == 6 and log._folded(5) == 3 and log._folded(2) == 0
-    assert log.current(0) is None
+def test_order_writer_goes_on_where_it_stopped(spark, events):
+    path, base = run_dir(spark, "feed"), run_dir(spark, "again")
+    for batch in (events[:400], events[400:800], [], [CLOCK]):
+        if batch:
+            spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        w = writer.OrderWriter(spark, base)
+        w.run(topics.parquet_stream(spark, path, spark.read.parquet(path).schema, files=1))  # once without anything new
+    assert w.order_events().count() == 800
+    assert w.suppliers().agg(F.sum("total_orders")).first()[0] == 800
+    assert w.orders().agg(F.sum("version")).first()[0] == 800
+    assert {r.event_id for r in w.deviations().filter("severity = 'CRITICAL'").collect()} == accepted_by_hand(
+        [e for e in events[:800] if e[10] > 14])
 
 
 def test_window_updates_over_batches_equal_batch_result(spark, events):
@@ -296,6 +364,7 @@ def test_lineage(spark):
 
 def test_health_state_rows_are_per_supplier(spark, events):
     path = stateful.health_path(spark.createDataFrame(events, SCHEMA))
+    assert {r.event_id: (r.anomaly_count, r.health) for r in path.collect()} == health_by_hand(events)
     state = {r.supplier_id: (r.anomaly_count, r.health) for r in stateful.health_state(path).collect()}
     hand, last = health_by_hand(events), {e[4]: e[0] for e in events}
     assert state == {s: hand[i] for s, i in last.items()}
