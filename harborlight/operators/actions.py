@@ -167,7 +167,7 @@ def violations(matched: DataFrame) -> DataFrame:
 
 ORDER_KINDS = ["MAX_DELAY_DAYS", "MAX_SPEND_USD", "ANOMALY_VALUE_THRESHOLD", "SLA_DELIVERY_DAYS", "MIN_TRUST_SCORE",
                "MIN_TRUST_SCORE_THRESHOLD", "MIN_INVENTORY", "MIN_INVENTORY_LEVEL"]
-ENTITY_KINDS = ["MAX_DELAY_RATE_PCT", "MAX_AVG_DELAY_DAYS", "MAX_SINGLE_SUPPLIER_PCT"]
+ENTITY_KINDS = ["MAX_DELAY_RATE_PCT", "MAX_AVG_DELAY_DAYS", "MAX_SINGLE_SUPPLIER_PCT", "MIN_SAFETY_STOCK_DAYS"]
 
 
 def constraint_report(constraints: DataFrame, orders: DataFrame, broken: DataFrame) -> DataFrame:
@@ -175,21 +175,30 @@ def constraint_report(constraints: DataFrame, orders: DataFrame, broken: DataFra
 
     Entities are all orders (*), a supplier, a region or a product. A kind that is
     neither on orders nor on entities is reported as UNKNOWN with no verdict, and so is
-    an entity without orders. ``broken`` are the rows of ``violations``.
+    an entity without orders. Days of safety stock are the mean stock over the mean daily demand, from the
+    first day with an order to the last one. ``broken`` are the rows of ``violations``.
     """
     kind = F.upper("constraint_type")
     entities = F.array_distinct(F.array_compact(F.array(F.lit("*"), "supplier_id", "region", "product")))
     # counted by entity and supplier first: a hot entity is as many rows as it has suppliers
-    pairs = orders.select("supplier_id", "delay_days", F.explode(entities).alias("entity_id")).groupBy(
+    pairs = orders.select(
+        "supplier_id", "delay_days", F.col("inventory_level").cast("decimal(18,4)").alias("stock"), "quantity",
+        F.to_date("created_at").alias("day"), F.explode(entities).alias("entity_id")).groupBy(
         "entity_id", "supplier_id").agg(
-        F.count("*").alias("n"), count_if(F.col("delay_days") > 0).alias("late"), F.sum("delay_days").alias("days"))
+        F.count("*").alias("n"), count_if(F.col("delay_days") > 0).alias("late"), F.sum("delay_days").alias("days"),
+        F.sum("stock").alias("stock"), F.count("stock").alias("stocked"), F.sum("quantity").alias("demand"),
+        F.min("day").alias("first"), F.max("day").alias("last"))
     figures = pairs.groupBy("entity_id").agg(
-        F.sum("n").alias("n"), F.sum("late").alias("late"), F.sum("days").alias("days"), F.max("n").alias("most"))
+        F.sum("n").alias("n"), F.sum("late").alias("late"), F.sum("days").alias("days"), F.max("n").alias("most"),
+        F.sum("stock").cast("double").alias("stock"), F.sum("stocked").alias("stocked"), F.sum("demand").alias("demand"),
+        (F.datediff(F.max("last"), F.min("first")) + 1).alias("span"))
+    cover = F.try_divide(F.col("stock") / F.col("stocked") * F.col("span"), F.col("demand").cast("double"))
     counts = broken.groupBy("id").agg(F.count("*").alias("broken_orders"))
     seen = (
         F.when(kind == "MAX_DELAY_RATE_PCT", F.col("late") * F.lit(100.0) / F.col("n"))
         .when(kind == "MAX_AVG_DELAY_DAYS", F.col("days").cast("double") / F.col("n"))
         .when(kind == "MAX_SINGLE_SUPPLIER_PCT", F.col("most") * F.lit(100.0) / F.col("n"))
+        .when(kind == "MIN_SAFETY_STOCK_DAYS", cover)
     )
     level = F.when(kind.isin(ORDER_KINDS), "ORDER").when(kind.isin(ENTITY_KINDS), "ENTITY").otherwise("UNKNOWN")
     rows = constraints.join(figures, "entity_id", "left").join(counts, "id", "left").select(
@@ -198,4 +207,5 @@ def constraint_report(constraints: DataFrame, orders: DataFrame, broken: DataFra
     return rows.select(
         "id", "constraint_type", "level", "observed", "broken_orders",
         F.when(F.col("level") == "ORDER", F.col("broken_orders") > 0)
+        .when(kind == "MIN_SAFETY_STOCK_DAYS", F.col("observed") < F.col("value"))
         .when(F.col("level") == "ENTITY", F.col("observed") > F.col("value")).alias("broken"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborlight.functions import rules
+from harborlight.operators import asof
 
 
 def first_match(orders: DataFrame) -> DataFrame:
@@ -95,3 +96,15 @@ def anchor_to_orders(signals: DataFrame, orders: DataFrame) -> DataFrame:
         .select("product", "region", F.col("_newest.order_id").alias("order_id"))
     )
     return signals.join(newest, ["product", "region"])
+
+
+def anchor_as_of(signals: DataFrame, orders: DataFrame, at: Column) -> DataFrame:
+    """Attach each signal to the newest open order of its product and region that is not after it.
+
+    Signals without one drop out. Of orders made at one time the largest id counts.
+    """
+    still_open = orders.filter(~F.col("status").isin(rules.CLOSED_STATUSES))
+    found = asof.latest_before(
+        signals, still_open, ["product", "region"], at.cast("timestamp"), F.col("created_at").cast("timestamp"),
+        F.col("order_id"), F.col("order_id"), "order_id")
+    return found.filter(F.col("order_id").isNotNull())

@@ -185,6 +185,86 @@ def trend_forecast(daily: DataFrame, *keys: str, origin: str = "1995-01-01", per
     )
 
 
+BENDS = 8           # places at which the slope may change
+BENT_SHARE = 0.8    # of the series' days, from its first one, hold them
+RIDGE = 0.001       # penalty of a change of slope, as a share of its own sum of squares
+
+
+def solved(matrix: Column, size: int) -> Column:
+    """The solution of a linear system whose matrix is symmetric and positive definite, by elimination.
+
+    ``matrix`` has ``size`` rows, each an array of the coefficients and the right side.
+    """
+    def step(m: Column, k: Column) -> Column:
+        pivot_row = F.get(m, k)
+        pivot = F.get(pivot_row, k)
+        lead = F.transform(pivot_row, lambda v: v / pivot)
+        return F.transform(m, lambda row, i: F.when(i == k, lead).otherwise(
+            F.zip_with(row, lead, lambda v, w: v - F.get(row, k) * w)))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), matrix, step)
+    return F.transform(done, lambda row: F.get(row, F.lit(size)))
+
+
+def bent_forecast(daily: DataFrame, *keys: str, periods: int = 30, bends: int = BENDS) -> DataFrame:
+    """A trend whose slope may change at ``bends`` places, with an 80 % band, one per key; it goes on with its last slope.
+
+    The places lie evenly over the first ``BENT_SHARE`` of a key's days. The terms are a level, a slope and a hinge
+    for each place; changes of slope are held small by a ridge. One aggregate per key gathers the normal equations in whole numbers
+    (days and cents), so the order of rows does not matter, and they are solved where they are. Series under ten dates
+    have no fit, as in ``trend_forecast``.
+    """
+    whole = "decimal(38,0)"
+    if not keys:
+        return bent_forecast(daily.withColumn("_all", F.lit(0)), "_all", periods=periods, bends=bends).drop("_all")
+    spans = daily.groupBy(*keys).agg(
+        F.min("ds").alias("_first"), F.max("ds").alias("_last"), F.count("*").alias("_n")).filter(F.col("_n") >= MIN_DATES)
+    length = F.datediff("_last", "_first")
+    places = F.array(*[F.floor(length * F.lit(BENT_SHARE) * F.lit(j) / F.lit(float(bends))).cast("long") for j in range(1, bends + 1)])
+    spans = spans.withColumn("_places", places)
+    # one row per key on the right
+    named = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first", "_last", "_n", "_places")
+    rows = daily.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    x = F.datediff("ds", "_first").cast("long")
+    size = bends + 2
+    terms = [F.lit(1).cast("long"), x, *(F.greatest(x - F.get("_places", F.lit(j)), F.lit(0).cast("long")) for j in range(bends))]
+    y = (F.col("y").cast("decimal(18,2)") * 100).cast("decimal(18,0)")
+    rows = rows.select(*keys, "_last", "_first", "_n", "_places", *[t.alias(f"t{i}") for i, t in enumerate(terms)], y.alias("v"))
+
+    def total(a: str, b: str) -> Column:
+        return F.sum((F.col(a).cast("decimal(18,0)") * F.col(b).cast("decimal(18,0)")).cast("decimal(28,0)")).cast(whole).cast("double")
+
+    names = [f"t{i}" for i in range(size)]
+    sums = [total(names[i], names[j]).alias(f"s{i}_{j}") for i in range(size) for j in range(i, size)]
+    sums += [total(names[i], "v").alias(f"r{i}") for i in range(size)] + [total("v", "v").alias("vv")]
+    fitted = rows.groupBy(*keys, "_first", "_last", "_n", "_places").agg(*sums)
+
+    def cell(i: int, j: int) -> Column:
+        value = F.col(f"s{min(i, j)}_{max(i, j)}")
+        # a place that no day lies behind has an empty term; its change of slope is then zero
+        return F.when(value == 0, 1.0).otherwise(value + value * F.lit(RIDGE)) if i == j and i >= 2 else value
+
+    matrix = F.array(*[F.array(*[cell(i, j) for j in range(size)], F.col(f"r{i}")) for i in range(size)])
+    fitted = fitted.withColumn("_b", solved(matrix, size))
+    explained = F.lit(0.0)
+    for i in range(size):
+        explained = explained + F.get("_b", F.lit(i)) * F.col(f"r{i}")
+    spread = F.sqrt(F.greatest(F.col("vv") - explained, F.lit(0.0)) / (F.col("_n") - 2))
+    at = (F.datediff("_last", "_first") + F.col("step")).cast("long")
+    yhat = F.get("_b", F.lit(0)) + F.get("_b", F.lit(1)) * at
+    for j in range(bends):
+        yhat = yhat + F.get("_b", F.lit(j + 2)) * F.greatest(at - F.get("_places", F.lit(j)), F.lit(0).cast("long"))
+    band = spread * F.lit(BAND)
+    return fitted.select("*", spread.alias("_spread"), F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step")).select(
+        *keys,
+        F.date_format(F.date_add("_last", F.col("step")), "yyyy-MM-dd").alias("ds"),
+        round_to(yhat / 100, 2).alias("yhat"),
+        round_to((yhat - band) / 100, 2).alias("yhat_lower"),
+        round_to((yhat + band) / 100, 2).alias("yhat_upper"),
+        round_to(yhat / 100, 2).alias("trend"),
+    )
+
+
 def demand_forecast(orders: DataFrame, start: Column, *keys: str, periods: int = 30) -> DataFrame:
     """Thirty days for every key: the fitted line, or the linear rule where there are under ten dates."""
     daily = daily_demand(orders, *keys)

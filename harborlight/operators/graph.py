@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +66,44 @@ def degree_risk(edge_list: DataFrame) -> DataFrame:
     )
 
 
-def betweenness(edge_list: DataFrame) -> DataFrame:
+EXACT_NODES = 2000   # larger graphs are walked from pivots
+ERROR, RISK = 0.05, 0.01
+
+
+def pivot_count(nodes: int, error: float = ERROR, risk: float = RISK) -> int:
+    """Sources after which every node's betweenness is within ``error`` with probability 1 - ``risk``.
+
+    A source adds a number between 0 and n / (n - 1) to each node's mean; Hoeffding's bound for one node, times n nodes.
+    """
+    if nodes < 3:
+        return nodes
+    return min(nodes, math.ceil(math.log(2 * nodes / risk) / (2 * error * error) * (nodes / (nodes - 1)) ** 2))
+
+
+def pivots(edge_list: DataFrame, k: int) -> DataFrame:
+    """The k nodes with the smallest hash of their id."""
+    ids = edge_list.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    return ids.orderBy(F.md5("id"), "id").limit(k)
+
+
+def sampled_betweenness(edge_list: DataFrame, error: float = ERROR, risk: float = RISK) -> DataFrame:
+    """Betweenness within ``error`` of the exact one, for all nodes at once with probability 1 - ``risk``.
+
+    Paths are walked from as many sources as the bound asks for, which grows with the logarithm of the nodes only. Once the
+    bound asks for all of them the result is exact.
+    """
+    checkpoint_root(edge_list.sparkSession)
+    nodes_in = edge_list.select(F.explode(F.array("source", "target")).alias("id")).distinct().count()
+    k = pivot_count(nodes_in, error, risk)
+    if k >= nodes_in:
+        return betweenness(edge_list)
+    return betweenness(edge_list, pivots(edge_list, k).checkpoint(), nodes_in / k)
+
+
+def betweenness(edge_list: DataFrame, sources: DataFrame | None = None, scale_by: float = 1.0) -> DataFrame:
     """Share of shortest paths through each node, normalised, directed.
 
-    All sources advance one step per round: a round is one join of the frontier
+    ``sources`` (id) are the nodes to walk from, all without it; their sums count ``scale_by`` times. All sources advance one step per round: a round is one join of the frontier
     (source, node, path count) with the edges and one aggregate, so its size is
     what counts, not the number of rounds. Going back, each node hands its share
     to the nodes before it. Rounds are checkpointed; the walk ends when no node
@@ -79,10 +115,11 @@ def betweenness(edge_list: DataFrame) -> DataFrame:
     links = links.filter(F.col("u") != F.col("v")).checkpoint()
     ids = links.select(F.explode(F.array("u", "v")).alias("id")).distinct()
 
-    frontier = links.select(F.col("u").alias("s"), F.col("v").alias("node")).withColumn(
+    first = links if sources is None else links.join(sources.select(F.col("id").alias("u")), "u", "left_semi")
+    frontier = first.select(F.col("u").alias("s"), F.col("v").alias("node")).withColumn(
         "paths", F.lit(1.0))
     seen = frontier.select("s", "node").unionByName(
-        links.select(F.col("u").alias("s"), F.col("u").alias("node")).distinct())
+        first.select(F.col("u").alias("s"), F.col("u").alias("node")).distinct())
     levels = [frontier.checkpoint()]
     while True:
         ahead = (
@@ -118,13 +155,15 @@ def betweenness(edge_list: DataFrame) -> DataFrame:
         return ids.withColumn("betweenness", F.lit(0.0))
     sums = total.groupBy(F.col("node").alias("id")).agg(F.sum("share").alias("share"))
     return ids.join(sums, "id", "left").select(
-        "id", F.coalesce(F.try_divide(F.coalesce("share", F.lit(0.0)), scale), F.lit(0.0)).alias("betweenness"))
+        "id", F.coalesce(F.try_divide(F.coalesce("share", F.lit(0.0)) * F.lit(scale_by), scale), F.lit(0.0)).alias("betweenness"))
 
 
-def cascade_risk(edge_list: DataFrame) -> DataFrame:
-    """Betweenness times in-degree per node."""
-    deg = degree_risk(edge_list).select("id", "in_degree", "degree")
-    return betweenness(edge_list).join(deg, "id").select(
+def cascade_risk(edge_list: DataFrame, exact_nodes: int = EXACT_NODES) -> DataFrame:
+    """Betweenness times in-degree per node; from pivots where there are more than ``exact_nodes`` nodes."""
+    checkpoint_root(edge_list.sparkSession)
+    deg = degree_risk(edge_list).select("id", "in_degree", "degree").checkpoint()
+    between = betweenness(edge_list) if deg.count() <= exact_nodes else sampled_betweenness(edge_list)
+    return between.join(deg, "id").select(
         "id",
         round_to("betweenness", 4).alias("betweenness"),
         "degree",

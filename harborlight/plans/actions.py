@@ -178,21 +178,25 @@ def constraint_violations(t):
 
 @query("constraint_report", "K19", f"""
 WITH broken AS (SELECT id, count(*) AS n FROM ({BROKEN}) GROUP BY 1),
-named AS (SELECT order_id, supplier_id, delay_days, unnest(['*', supplier_id, region, product]) AS entity_id FROM silver_orders),
-entity AS (SELECT entity_id, count(*) AS n, count(*) FILTER (WHERE delay_days > 0) AS late, sum(delay_days) AS days FROM named GROUP BY 1),
+named AS (SELECT order_id, supplier_id, delay_days, inventory_level, quantity, created_at, unnest(['*', supplier_id, region, product]) AS entity_id FROM silver_orders),
+entity AS (SELECT entity_id, count(*) AS n, count(*) FILTER (WHERE delay_days > 0) AS late, sum(delay_days) AS days,
+  sum(CAST(inventory_level AS DECIMAL(18,4)))::DOUBLE / count(inventory_level)
+    * (date_diff('day', min(created_at)::DATE, max(created_at)::DATE) + 1) / sum(quantity)::DOUBLE AS cover FROM named GROUP BY 1),
 top AS (SELECT entity_id, max(n) AS n FROM (SELECT entity_id, supplier_id, count(*) AS n FROM named GROUP BY 1, 2) GROUP BY 1),
 seen AS (SELECT c.id, c.constraint_type, c.value, c.hard_limit, coalesce(b.n, 0) AS broken_orders,
    CASE WHEN c.constraint_type IN ('max_delay_days', 'max_spend_usd', 'anomaly_value_threshold', 'sla_delivery_days', 'min_trust_score',
           'min_trust_score_threshold', 'min_inventory', 'min_inventory_level') THEN 'ORDER'
-        WHEN c.constraint_type IN ('max_delay_rate_pct', 'max_avg_delay_days', 'max_single_supplier_pct') THEN 'ENTITY'
+        WHEN c.constraint_type IN ('max_delay_rate_pct', 'max_avg_delay_days', 'max_single_supplier_pct', 'min_safety_stock_days') THEN 'ENTITY'
         ELSE 'UNKNOWN' END AS level,
-   {rnd("CASE c.constraint_type WHEN 'max_delay_rate_pct' THEN e.late * 100.0::DOUBLE / e.n WHEN 'max_avg_delay_days' THEN e.days::DOUBLE / e.n WHEN 'max_single_supplier_pct' THEN t.n * 100.0::DOUBLE / e.n END", 4)} AS observed
+   {rnd("CASE c.constraint_type WHEN 'max_delay_rate_pct' THEN e.late * 100.0::DOUBLE / e.n WHEN 'max_avg_delay_days' THEN e.days::DOUBLE / e.n WHEN 'max_single_supplier_pct' THEN t.n * 100.0::DOUBLE / e.n WHEN 'min_safety_stock_days' THEN e.cover END", 4)} AS observed
  FROM constraints c LEFT JOIN broken b ON b.id = c.id LEFT JOIN entity e ON e.entity_id = c.entity_id LEFT JOIN top t ON t.entity_id = c.entity_id)
 SELECT id, constraint_type, level, observed, broken_orders,
-  CASE level WHEN 'ORDER' THEN broken_orders > 0 WHEN 'ENTITY' THEN observed > value END AS broken FROM seen""")
+  CASE WHEN level = 'ORDER' THEN broken_orders > 0 WHEN constraint_type = 'min_safety_stock_days' THEN observed < value
+    WHEN level = 'ENTITY' THEN observed > value END AS broken FROM seen""")
 def constraint_report(t):
     """Every constraint with what became of it, unknown kinds and entities without orders among them."""
-    orders = t.silver_orders().select("supplier_id", "region", "product", "delay_days")
+    orders = t.silver_orders().select(
+        "supplier_id", "region", "product", "delay_days", "inventory_level", "quantity", "created_at")
     return ops.constraint_report(t.constraints(), orders, order_violations(t))
 
 

@@ -86,11 +86,16 @@ SELECT d.deviation_id, d.order_id, d.type, d.severity, d.detected_at, d.executed
        CASE WHEN {rnd('coalesce(o.delay_days, 0)::DOUBLE * coalesce(o.order_value, 0.0::DOUBLE) * 0.02::DOUBLE', 2)} >= 10000 THEN 'CRITICAL_COST'
             WHEN {rnd('coalesce(o.delay_days, 0)::DOUBLE * coalesce(o.order_value, 0.0::DOUBLE) * 0.02::DOUBLE', 2)} >= 2000 THEN 'HIGH_COST'
             ELSE 'MODERATE' END AS risk_tier
-FROM deviations d LEFT JOIN (SELECT * FROM silver_orders WHERE status <> 'CANCELLED') o ON o.order_id = d.order_id""")
+FROM (SELECT deviation_id, order_id, type, severity, detected_at, executed FROM deviations UNION ALL
+      SELECT 'GONE-' || deviation_id, 'GONE-' || order_id, type, severity, detected_at, executed FROM deviations
+      WHERE type = 'STOCKOUT' AND _k1 % 10 = 0) d LEFT JOIN silver_orders o ON o.order_id = d.order_id""")
 def alerts_enriched(t):
-    """Cancelled orders are left out of the order side, so some deviations are orphans."""
-    orders = t.silver_orders().filter(F.col("status") != "CANCELLED")
-    return ops.enriched(t.deviations().select(*ALERT_COLUMNS), orders)
+    """All deviations, and added ones of orders that are not there."""
+    found = t.deviations("_k1")
+    gone = [F.concat(F.lit("GONE-"), F.col(c)).alias(c) for c in ("deviation_id", "order_id")]
+    orphans = found.filter((F.col("type") == "STOCKOUT") & (F.col("_k1") % 10 == 0)).select(
+        *gone, *[c for c in ALERT_COLUMNS if c not in ("deviation_id", "order_id")])
+    return ops.enriched(found.select(*ALERT_COLUMNS).unionByName(orphans), t.silver_orders())
 
 
 @query("alerts_cost_total", "B18", f"""
@@ -154,6 +159,37 @@ def demand_anchor(t):
         "event_id", "signal", "order_id", "product", "region")
 
 
+# events fall into one month, orders into years; 80 months of orders go by in the month of events
+SIGNAL_TIME = "make_timestamp((epoch_us(event_time) - 1704067200000000) * 80 + 788918400000000)"
+SIGNALS = f"""
+  SELECT event_id, supplier_id AS signal, CASE event_id % 4 WHEN 0 THEN 'small ring' WHEN 1 THEN 'red widget'
+           WHEN 2 THEN 'hot gear' ELSE 'no such part' END AS product,
+         CASE region WHEN 'NA' THEN 'AMERICA' WHEN 'EMEA' THEN 'EUROPE' WHEN 'APAC' THEN 'ASIA' ELSE 'AFRICA' END AS region,
+         {SIGNAL_TIME} AS signal_time
+  FROM stream_events WHERE event_type = 'DEMAND_SPIKE'"""
+
+
+@query("demand_as_of", "D12", f"""
+SELECT e.event_id, e.signal, o.order_id, e.product, e.region, e.signal_time FROM ({SIGNALS}) e
+ASOF JOIN (SELECT product, region, created_at, max(order_id) AS order_id FROM silver_orders
+           WHERE status NOT IN ('DELIVERED', 'CANCELLED') GROUP BY ALL) o
+  ON o.product = e.product AND o.region = e.region AND e.signal_time >= o.created_at""")
+def demand_as_of(t):
+    """All demand signals, each with the open order that was the newest at its time."""
+    n = F.col("event_id") % 4
+    micros = (F.unix_micros("event_time") - 1704067200000000) * 80 + 788918400000000
+    signals = t.stream_events().withColumn("event_time", F.col("event_time").cast("timestamp")).filter(
+        F.col("event_type") == "DEMAND_SPIKE").select(
+        "event_id", F.col("supplier_id").alias("signal"),
+        F.when(n == 0, "small ring").when(n == 1, "red widget").when(n == 2, "hot gear")
+        .otherwise("no such part").alias("product"),
+        F.when(F.col("region") == "NA", "AMERICA").when(F.col("region") == "EMEA", "EUROPE")
+        .when(F.col("region") == "APAC", "ASIA").otherwise("AFRICA").alias("region"),
+        F.timestamp_micros(micros).cast("timestamp_ntz").alias("signal_time"))
+    return dev.anchor_as_of(signals, t.silver_orders().select(
+        "order_id", "product", "region", "status", "created_at"), F.col("signal_time"))
+
+
 @query("layer_metrics", "E05 E06", f"""
 SELECT 'silver_orders' AS layer, 'row_count' AS metric, count(*)::DOUBLE AS value FROM silver_orders
 UNION ALL SELECT 'silver_orders', 'delayed_orders', count(*) FILTER (WHERE delay_days > 0) FROM silver_orders

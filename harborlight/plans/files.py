@@ -147,13 +147,15 @@ def new_files_once(t):
 
 
 @query("compacted", "N05 A12", """
-SELECT 16 AS files_before, 1 AS files_after, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders""")
+SELECT o_orderstatus, 8 * k AS files_before, k AS files_after, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys
+FROM orders, (SELECT count(DISTINCT o_orderstatus) AS k FROM orders) GROUP BY ALL""")
 def compacted(t):
+    """A table in partitions of many small files; one job merges them and the partitions stay."""
     path = run_dir(t.spark, "compact")
-    t.base("orders").select("o_orderkey", "o_orderstatus").repartition(16).write.parquet(path)
+    t.base("orders").select("o_orderkey", "o_orderstatus").repartition(8).write.partitionBy("o_orderstatus").parquet(path)
     stats = sinks.compact(t.spark, path)
-    return t.spark.read.parquet(path).agg(
-        F.lit(stats["files_before"]).alias("files_before"), F.lit(stats["files_after"]).alias("files_after"),
+    return t.spark.read.parquet(path).groupBy("o_orderstatus").agg(
+        F.lit(stats["files_before"]).cast("long").alias("files_before"), F.lit(stats["files_after"]).cast("long").alias("files_after"),
         F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
 
 

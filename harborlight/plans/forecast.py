@@ -230,6 +230,67 @@ def demand_trend_product(t):
     return ops.trend_forecast(ops.daily_demand(t.silver_orders(), "product"), "product")
 
 
+def bent_sql(source, key=""):
+    """Normal equations of level, slope and eight hinges for each key, and the same elimination row by row."""
+    lead, size = (f"{key}, " if key else ""), ops.BENDS + 2
+    group = f"GROUP BY {key}" if key else ""
+    same = f"b.{key} IS NOT DISTINCT FROM s.{key}" if key else "true"
+    pairs = [(i, j) for i in range(1, size + 1) for j in range(i, size + 1)]
+    sums = ", ".join([f"sum(t[{i}] * t[{j}])::DOUBLE AS s{i}_{j}" for i, j in pairs] + [
+        f"sum(t[{i}] * v)::DOUBLE AS r{i}" for i in range(1, size + 1)])
+
+    def cell(i, j):
+        s = f"s{min(i, j)}_{max(i, j)}"
+        return f"CASE WHEN {s} = 0 THEN 1.0::DOUBLE ELSE {s} + {s} * {ops.RIDGE}::DOUBLE END" if i == j and i > 2 else s
+
+    matrix = ", ".join("[" + ", ".join([cell(i, j) for j in range(1, size + 1)] + [f"r{i}"]) + "]" for i in range(1, size + 1))
+    explained = "0.0::DOUBLE + " + " + ".join(f"m[{i}][{size + 1}] * r{i}" for i in range(1, size + 1))
+    yhat = f"m[1][{size + 1}] + m[2][{size + 1}] * d" + "".join(
+        f" + m[{j + 2}][{size + 1}] * greatest(d - s[{j}], 0)" for j in range(1, ops.BENDS + 1))
+    band = f"sqrt(greatest(vv - explained, 0.0::DOUBLE) / (n - 2)) * {ops.BAND}::DOUBLE"
+    figures = {"yhat": "yhat", "yhat_lower": "yhat - band", "yhat_upper": "yhat + band", "trend": "yhat"}
+    return f"""
+SELECT {lead}ds, {", ".join(f"{rnd(f'({e}) / 100', 2)} AS {c}" for c, e in figures.items())} FROM (
+WITH RECURSIVE b AS (SELECT *, list_transform(range(1, {ops.BENDS + 1}), lambda j:
+    floor(date_diff('day', f, l) * {ops.BENT_SHARE}::DOUBLE * j / {float(ops.BENDS)}::DOUBLE)::BIGINT) AS s
+  FROM (SELECT {lead}min(ds) AS f, max(ds) AS l, count(*) AS n FROM {source} {group}) WHERE n >= 10),
+r AS (SELECT b.*, list_concat([1, x], list_transform(b.s, lambda p: greatest(x - p, 0))) AS t, v FROM (
+    SELECT s.*, CAST(CAST(y AS DECIMAL(18,2)) * 100 AS HUGEINT) AS v FROM {source} s) s JOIN b ON {same},
+    LATERAL (SELECT date_diff('day', b.f, s.ds) AS x)),
+q AS (SELECT {lead}f, l, n, s, {sums}, sum(v * v)::DOUBLE AS vv FROM (
+    SELECT * REPLACE (list_transform(t, lambda a: a::HUGEINT) AS t) FROM r) GROUP BY ALL),
+e(k, m, {lead}f, l, n, s, vv{"".join(f", r{i}" for i in range(1, size + 1))}) AS (
+  SELECT 1, [{matrix}], {lead}f, l, n, s, vv{"".join(f", r{i}" for i in range(1, size + 1))} FROM q
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k THEN list_transform(m[k], lambda v: v / m[k][k])
+    ELSE list_transform(row, lambda v, c: v - row[k] * (m[k][c] / m[k][k])) END), {lead}f, l, n, s, vv{"".join(f", r{i}" for i in range(1, size + 1))}
+  FROM e WHERE k <= {size})
+SELECT {lead}strftime(l + CAST(i AS INTEGER), '%Y-%m-%d') AS ds, {yhat} AS yhat, {band} AS band
+FROM (SELECT *, {explained} AS explained FROM e WHERE k = {size + 1}), range(1, 31) g(i),
+  LATERAL (SELECT date_diff('day', f, l) + i AS d))"""
+
+
+TABLES["bent_daily_value"] = """
+SELECT ds, y + CASE WHEN ds > DATE '1998-01-01' THEN date_diff('day', DATE '1998-01-01', ds) * 100 ELSE 0 END AS y FROM daily_value"""
+
+
+@query("demand_changepoints", "K13", f"""
+SELECT 'as it is' AS series, * FROM ({bent_sql("daily_value")})
+UNION ALL SELECT 'bent', * FROM ({bent_sql("bent_daily_value")})""")
+def demand_changepoints(t):
+    """Daily value with a trend that may bend; once as it is, once with a slope of a hundred a day added from 1998 on."""
+    daily = ops.daily_demand(t.silver_orders())
+    days = F.greatest(F.datediff("ds", F.lit("1998-01-01").cast("date")), F.lit(0))
+    bent = daily.withColumn("y", F.col("y") + days * 100)
+    both = daily.withColumn("series", F.lit("as it is")).unionByName(bent.withColumn("series", F.lit("bent")))
+    return ops.bent_forecast(both, "series")
+
+
+@query("demand_changepoints_product", "K13", bent_sql("daily_product_value", "product"))
+def demand_changepoints_product(t):
+    return ops.bent_forecast(ops.daily_demand(t.silver_orders(), "product"), "product")
+
+
 TABLES["launch_orders"] = """
 SELECT product, order_value, expected_delivery FROM silver_orders UNION ALL
 SELECT 'NEW-' || product || '-' || quantity, order_value, expected_delivery FROM silver_orders WHERE inventory_level < 2"""

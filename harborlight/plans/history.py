@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from harborlight.functions import rules
+from harborlight.functions.numeric import round_to
 from harborlight.operators import features as feat
 from harborlight.operators import graph
 from harborlight.operators import history as ops
@@ -169,6 +170,23 @@ def network_betweenness(t):
     return graph.cascade_risk(layered(t))
 
 
+LOOSE, LOOSE_RISK = 0.25, 0.01
+TABLES["layer_pivots"] = f"""
+SELECT id, k, n FROM (SELECT id, row_number() OVER (ORDER BY md5(id), id) AS i FROM layer_degrees),
+  (SELECT n, least(n, ceil(ln(2 * n / {LOOSE_RISK}::DOUBLE) / (2 * {LOOSE} * {LOOSE})::DOUBLE * power(n / (n - 1)::DOUBLE, 2))) AS k
+   FROM (SELECT count(*)::DOUBLE AS n FROM layer_degrees)) WHERE i <= k"""
+
+
+@query("network_sampled", "K16", f"""
+SELECT d.id, {rnd('coalesce(x.share, 0.0::DOUBLE) * (c.n / c.k) / ((c.n - 1) * (c.n - 2))', 4)} AS betweenness
+FROM layer_degrees d, (SELECT any_value(n) AS n, any_value(k) AS k FROM layer_pivots) c
+LEFT JOIN (SELECT b, sum(1.0::DOUBLE / p) AS share FROM (
+    SELECT b, s, count(*) OVER (PARTITION BY s, t) AS p FROM layer_paths) WHERE s IN (SELECT id FROM layer_pivots) GROUP BY 1) x ON x.b = d.id""")
+def network_sampled(t):
+    """Betweenness from as many pivots as a wide bound asks for."""
+    return graph.sampled_betweenness(layered(t), LOOSE, LOOSE_RISK).select("id", round_to("betweenness", 4).alias("betweenness"))
+
+
 @query("network_risk", "G04", f"SELECT * FROM ({BETWEEN}) ORDER BY cascade_risk DESC, id LIMIT 20")
 def network_risk(t):
     return graph.cascade_risk(layered(t)).orderBy(F.col("cascade_risk").desc(), "id").limit(20)

@@ -144,30 +144,36 @@ def dlq_split(t):
     return dead_letters(with_errors(t.stream_events()), t.event_anchor()).select("event_id", "error", "context")
 
 
-_COUNT = "SELECT '{}' AS layer, count(*) AS rows FROM {}"
+def _layer(layer, source, observed=True, delayed="NULL::BIGINT", critical="NULL::BIGINT"):
+    """Rows of a layer, and what was seen of it while it was written."""
+    return (f"SELECT '{layer}' AS layer, count(*) AS rows, {'count(*)' if observed else 'NULL::BIGINT'} AS observed, "
+            f"{delayed} AS delayed, {critical} AS high_critical FROM {source}")
 
 
 @query("medallion_run", "N03 A11 A12 A13 N05 J04 K04 E05", " UNION ALL ".join([
-    _COUNT.format("bronze/orders", "raw_orders"),
-    _COUNT.format("silver/orders", "silver_orders"),
-    _COUNT.format("silver/freight_rates", "freight_silver"),
-    _COUNT.format("silver/wh_capacities", "wh_silver"),
-    _COUNT.format("silver/plant_ports", "plant_ports"),
-    _COUNT.format("silver/products", "products_per_plant"),
-    "SELECT 'quality/orders', 3",
-    _COUNT.format("models/stg_orders", "stg_orders"),
-    _COUNT.format("models/stg_suppliers", "stg_suppliers"),
-    _COUNT.format("models/fct_shipments", "fct_shipments"),
-    _COUNT.format("models/dim_suppliers", "stg_suppliers"),
-    "SELECT 'models/agg_control_tower', 1",
-    _COUNT.format("gold/orders_ai_ready", "silver_orders"),
-    _COUNT.format("gold/deviations", "silver_orders WHERE delay_days > 0"),
-    _COUNT.format("gold/supplier_risk", "supplier_risk"),
-    _COUNT.format("gold/forecasted_risks", "all_risks"),
-    "SELECT 'gold/demand_forecast', 30",
+    _layer("bronze/orders", "raw_orders", False),
+    _layer("silver/orders", "silver_orders", False),
+    _layer("silver/freight_rates", "freight_silver"),
+    _layer("silver/wh_capacities", "wh_silver"),
+    _layer("silver/plant_ports", "plant_ports"),
+    _layer("silver/products", "products_per_plant"),
+    _layer("quality/orders", "range(3)"),
+    _layer("models/stg_orders", "stg_orders"),
+    _layer("models/stg_suppliers", "stg_suppliers"),
+    _layer("models/fct_shipments", "fct_shipments"),
+    _layer("models/dim_suppliers", "stg_suppliers"),
+    _layer("models/agg_control_tower", "range(1)"),
+    _layer("gold/orders_ai_ready", "silver_orders", True, "count(*) FILTER (WHERE delay_days > 0)", "count(*) FILTER (WHERE delay_days > 7)"),
+    _layer("gold/deviations", "silver_orders WHERE delay_days > 0"),
+    _layer("gold/supplier_risk", "supplier_risk"),
+    _layer("gold/forecasted_risks", "all_risks"),
+    _layer("gold/demand_forecast", "range(30)"),
 ]))
 def medallion_run(t):
-    """The batch job over two loads, the older orders first; the later load is run twice, as after a failure."""
+    """The batch job over two loads, the older orders first; the later load is run twice, as after a failure.
+
+    ``observed`` and the figures behind it come from the last write of a layer; bronze and silver observe the load only.
+    """
     from harborlight.medallion import LAYERS, Feeds, Medallion
     from harborlight.session import run_dir
 
@@ -181,6 +187,9 @@ def medallion_run(t):
     job.maintain()
     out = None
     for layer in LAYERS:
-        rows = job.read(layer).groupBy(F.lit(layer).alias("layer")).agg(F.count("*").alias("rows"))
+        seen = {} if layer in ("bronze/orders", "silver/orders") else job.metrics[layer]
+        figures = [F.lit(seen.get(c)).cast("long").alias(name) for c, name in (
+            ("rows", "observed"), ("delayed", "delayed"), ("high_critical", "high_critical"))]
+        rows = job.read(layer).agg(F.count("*").alias("rows")).select(F.lit(layer).alias("layer"), "rows", *figures)
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -7,6 +7,8 @@ row and not the file. Rows keep where they came from.
 from __future__ import annotations
 
 import csv
+from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,38 +34,30 @@ PRODUCT_HEADER = ["Plant_Code", "Product_ID"]
 DELIMITERS = {".csv": ",", ".tsv": "\t", ".txt": "|"}
 
 
-def files_by_header(spark: SparkSession, path: str, sep: str = ",") -> dict[tuple[str, ...], list[str]]:
-    """The files of a folder, or one file, grouped by their header's names in order.
+def files_by_header(spark: SparkSession, paths: str | Sequence[str], sep: str = ",") -> dict[tuple[str, ...], list[str]]:
+    """The files of a folder, or given files, grouped by their header's names in order.
 
-    Only first lines are read, on the driver; names are what is compared, so
-    files of one feed may order their columns differently.
+    Tasks read the lines and keep each file's first one; files are then grouped by it, so what comes back is one row for each
+    distinct header. Names are what is compared, so files of one feed may order their columns differently.
     """
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(at)
-    if not found:
-        raise FileNotFoundError(path)
-    names, stack = [], list(found)
-    while stack:
-        status = stack.pop()
-        name = status.getPath().getName()
-        if name[0] in "._":
-            continue
-        if status.isDirectory():
-            stack += list(fs.listStatus(status.getPath()))
-        elif status.getLen() > 0:
-            names.append(status.getPath().toString())
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    # a file's first block is read by one task, from its first line on
+    first = lines.filter("start = 0").groupBy("file").agg(F.first("value").alias("line"))
+    first = first.persist()
+    try:
+        found = first.groupBy("line").agg(F.min("file").alias("least")).collect()
+        if len(found) == 1:  # the folder itself stands for its files
+            found = [(found[0]["line"], [paths] if isinstance(paths, str) else list(paths))]
+        else:
+            found = [(r["line"], [unquote(f) for f in r["files"]]) for r in first.groupBy("line").agg(
+                F.sort_array(F.collect_list("file")).alias("files")).collect()]
+    finally:
+        first.unpersist()
     groups: dict[tuple[str, ...], list[str]] = {}
-    for name in sorted(names):
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
-            fs.open(jvm.org.apache.hadoop.fs.Path(name)), "UTF-8"))
-        try:
-            line = (reader.readLine() or "").lstrip("\ufeff")
-        finally:
-            reader.close()
-        header = tuple(c.strip() for c in next(csv.reader([line], delimiter=sep), []))
-        groups.setdefault(header, []).append(name)
+    for line, files in sorted(found, key=lambda r: r[1]):
+        header = tuple(c.strip() for c in next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), []))
+        groups.setdefault(header, []).extend(files)
     return groups
 
 
@@ -71,7 +65,7 @@ def _cells(spark: SparkSession, header: tuple[str, ...], files: list[str], sep:
     """All cells of files with one header as text, with their source; of equal names the first column counts."""
     places = [f"_c{i}" for i in range(len(header))]
     rows = spark.read.schema(", ".join(f"{c} string" for c in places)).option("header", True).option(
-        "sep", sep).csv(files)
+        "sep", sep).option("recursiveFileLookup", "true").csv(files)
     first = {name: i for i, name in reversed(list(enumerate(header)))}
     return rows.select(
         *[F.col(places[i]).alias(n) for n, i in sorted(first.items(), key=lambda x: x[1]) if n],
@@ -237,19 +231,19 @@ def new_files(spark: SparkSession, folder: str, schema: T.StructType, checkpoint
     """Load files that arrived since the last call, each exactly once, and stop.
 
     The stream carries file names only. Each batch reads its files by header and writes a
-    folder of its own, which a repeated batch replaces.
+    folder of its own, which a repeated batch replaces. Cells that do not convert are null and stand in ``_bad_cells`` as name=cell.
     """
 
     def load(names: DataFrame, batch: int) -> None:
-        groups: dict[tuple[str, ...], list[str]] = {}
-        for row in names.collect():  # names of the batch's new files
-            for header, files in files_by_header(spark, row["path"], delimiter).items():
-                groups.setdefault(header, []).extend(files)
+        files = [row["path"] for row in names.collect()]  # names of the batch's new files
         found = None
-        for header, files in groups.items():
-            rows = _cells(spark, header, files, delimiter).select(
-                *[(F.col(f"`{f.name}`") if f.name in header else F.lit(None)).try_cast(f.dataType).alias(f.name)
-                  for f in schema.fields], "_source_file")
+        for header, same in files_by_header(spark, files, delimiter).items() if files else ():
+            cells = {f.name: F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit("")) for f in schema.fields if f.name in header}
+            lost = [F.when(c.isNotNull() & c.try_cast(schema[n].dataType).isNull(), F.concat(F.lit(f"{n}="), c))
+                    for n, c in cells.items()]
+            rows = _cells(spark, header, same, delimiter).select(
+                *[cells.get(f.name, F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema.fields], "_source_file",
+                F.array_compact(F.array(*lost)).cast("array<string>").alias("_bad_cells"))
             found = rows if found is None else found.unionByName(rows)
         if found is not None:
             found.write.mode("overwrite").parquet(f"{out}/batch={batch}")

@@ -1,13 +1,16 @@
 """Quality rules, features, drift and the network against small hand-made inputs."""
 
 import collections
+import datetime as dt
+import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from harborlight.operators import features, graph, quality
+from harborlight.operators import asof, features, forecast, graph, learning, quality
 
 
 def test_rules_on_nulls(spark, rows):
@@ -169,3 +172,116 @@ def test_delay_model_learns_and_its_metrics_add_up(spark):
     assert abs(m.roc_auc - auc_by_hand([r.probability for r in test], [r.label == 1.0 for r in test])) < 1e-4
     assert m.roc_auc > 0.85
     assert {r.confidence for r in test} <= {"HIGH", "MEDIUM", "LOW"}
+
+
+def test_a_bent_series_goes_on_with_its_last_slope(spark):
+    start = dt.date(2024, 1, 1)
+    rows = [("bent", start + dt.timedelta(days=i), 1000.0 + 2 * i + (0 if i < 100 else 30 * (i - 100))) for i in range(200)]
+    rows += [("straight", start + dt.timedelta(days=i), 500.0 - i) for i in range(200)]
+    rows += [("short", start + dt.timedelta(days=i), 1.0) for i in range(9)] + [(None, start + dt.timedelta(days=i), 7.0) for i in range(20)]
+    rows += [("gap", start + dt.timedelta(days=i), 5.0 * i) for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 400)]
+    daily = spark.createDataFrame(rows, "k string, ds date, y double")
+    got = {}
+    for r in forecast.bent_forecast(daily, "k").collect():
+        got.setdefault(r.k, []).append(r)
+    assert set(got) == {"bent", "straight", "gap", None} and all(len(v) == 30 for v in got.values())
+    last = {k: max(v, key=lambda r: r.ds) for k, v in got.items()}
+    true = 1000 + 2 * 229 + 30 * 129
+    assert abs(last["bent"].yhat - true) < 0.02 * true and last["bent"].ds == str(start + dt.timedelta(days=229))
+    line = [r for r in forecast.trend_forecast(daily, "k").collect() if r.k == "bent"]
+    assert abs(max(line, key=lambda r: r.ds).yhat - true) > 0.1 * true  # one line misses it
+    assert abs(last["straight"].yhat - (500 - 229)) < 0.5 and abs(last[None].yhat - 7) < 0.01
+    assert last["bent"].yhat_lower < last["bent"].yhat < last["bent"].yhat_upper
+    one = forecast.bent_forecast(daily.filter("k = 'bent'").drop("k")).collect()
+    assert len(one) == 30 and {r.yhat for r in one} == {r.yhat for r in got["bent"]}
+
+
+def test_solved_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    a = rng.standard_normal((6, 6))
+    a, b = a @ a.T + np.eye(6), rng.standard_normal(6)
+    df = spark.createDataFrame([([[*map(float, row), float(v)] for row, v in zip(a, b)],)], "m array<array<double>>")
+    found = df.select(forecast.solved(F.col("m"), 6).alias("x")).first().x
+    assert np.allclose(found, np.linalg.solve(a, b))
+
+
+def plain_betweenness(links):
+    """Brandes' walk from every node."""
+    out, ids = {}, {x for e in links for x in e}
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+    score = dict.fromkeys(ids, 0.0)
+    for s in ids:
+        order, before, paths, far = [], {x: [] for x in ids}, dict.fromkeys(ids, 0), {s: 0}
+        paths[s], queue = 1, [s]
+        while queue:
+            u = queue.pop(0)
+            order.append(u)
+            for v in out.get(u, ()):
+                if v not in far:
+                    far[v] = far[u] + 1
+                    queue.append(v)
+                if far[v] == far[u] + 1:
+                    paths[v] += paths[u]
+                    before[v].append(u)
+        share = dict.fromkeys(ids, 0.0)
+        for v in reversed(order):
+            for u in before[v]:
+                share[u] += paths[u] / paths[v] * (1 + share[v])
+            if v != s:
+                score[v] += share[v]
+    n = len(ids)
+    return {x: v / ((n - 1) * (n - 2)) for x, v in score.items()}
+
+
+def test_betweenness_from_pivots(spark):
+    rng = random.Random(1)
+    links = sorted({(f"a{rng.randrange(60)}", f"b{rng.randrange(8)}") for _ in range(120)} | {(f"b{rng.randrange(8)}", f"c{rng.randrange(60)}") for _ in range(120)})
+    exact = plain_betweenness(links)
+    edges = spark.createDataFrame(links, "source string, target string")
+    assert all(abs(r.betweenness - exact[r.id]) < 1e-9 for r in graph.betweenness(edges).collect())
+    error = 0.25
+    k = graph.pivot_count(len(exact), error)
+    assert k < len(exact)
+    found = {r.id: r.betweenness for r in graph.sampled_betweenness(edges, error).collect()}
+    assert found.keys() == exact.keys() and all(abs(found[x] - exact[x]) <= error for x in exact)
+    assert any(found[x] != exact[x] for x in exact)
+    assert graph.pivot_count(10_000) < 4000 and graph.pivot_count(10**9) < 6000 and graph.pivot_count(2) == 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 1003])
+def test_split_is_exact_for_each_class(spark, n):
+    df = spark.createDataFrame([(f"o{i}", float(i % 7 == 0)) for i in range(n)], "order_id string, label double")
+    got = learning.stratified(df, "label", learning.draw_of(F.col("order_id")), "order_id").collect()
+    for c in (0.0, 1.0):
+        mine = sorted((r for r in got if r.label == c), key=lambda r: (hashlib.md5(r.order_id.encode()).hexdigest()[:8], r.order_id))
+        assert [r.train for r in mine] == [i < len(mine) * 8 // 10 for i in range(len(mine))]
+    assert len(got) == n
+
+
+def test_split_with_equal_draws(spark):
+    df = spark.createDataFrame([(f"o{i:03d}", "c") for i in range(25)], "order_id string, label string")
+    got = learning.stratified(df, "label", F.lit(7).cast("long"), "order_id").collect()
+    assert [r.train for r in sorted(got, key=lambda r: r.order_id)] == [i < 20 for i in range(25)]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_as_of(spark, parts):
+    rng = random.Random(parts)
+    at = dt.datetime(2024, 1, 1)
+    versions = [(rng.choice(["hot", "hot", "hot", "b", None]), at + dt.timedelta(seconds=rng.randrange(5000)), f"v{i:04d}") for i in range(300)]
+    rows = [(i, rng.choice(["hot", "hot", "b", "none", None]), at + dt.timedelta(seconds=rng.randrange(5000))) for i in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = asof.latest_before(
+            spark.createDataFrame(rows, "id int, k string, at timestamp"), spark.createDataFrame(versions, "k string, made timestamp, name string"),
+            ["k"], F.col("at"), F.col("made"), F.col("name"), F.col("name"), "newest").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {}
+    for i, k, t in rows:
+        held = [(m, v) for q, m, v in versions if k is not None and q == k and m <= t]
+        want[i] = max(held)[1] if held else None
+    assert {r.id: r.newest for r in found} == want and len(found) == 300
+    assert sum(v is None for v in want.values()) < 250

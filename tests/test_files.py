@@ -97,10 +97,11 @@ def test_new_files_are_loaded_once(spark, tmp_path):
     write(folder / "one.csv", "a", "1", "2")
     csv_feeds.new_files(*args)
     csv_feeds.new_files(*args)
-    write(folder / "two.csv", "a", "3")
+    write(folder / "two more.csv", "a", "3", "x7")
     csv_feeds.new_files(*args)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted((r.a, r._source_file) for r in got) == [(1, "one.csv"), (2, "one.csv"), (3, "two.csv")]
+    assert sorted((r.a or 0, r._source_file, tuple(r._bad_cells)) for r in got) == [
+        (0, "two%20more.csv", ("a=x7",)), (1, "one.csv", ()), (2, "one.csv", ()), (3, "two%20more.csv", ())]  # names as Spark gives them
 
 
 def table(spark, *ids, status="DELAYED", at="2024-01-01"):
@@ -189,11 +190,82 @@ def test_a_rename_that_fails_keeps_the_old_table(spark, monkeypatch, broken):
         sinks.replace(spark.range(7), path)
     assert spark.read.parquet(path).count() == 3
     monkeypatch.setattr(sinks, "_rename", rename)
-    rename(spark, path, f"{path}.old-1234")  # cut off between the renames
+    hidden = sinks._hidden(path)
+    os.makedirs(hidden, exist_ok=True)
+    rename(spark, path, f"{hidden}/old-1234")  # cut off between the renames
+    sinks.recover(spark, path)
+    assert spark.read.parquet(path).count() == 3 and not os.path.exists(hidden)
     sinks.replace(spark.range(7), path)
     assert spark.read.parquet(path).count() == 7
 
 
+def files_of(path):
+    """Modification times of the data files, by name."""
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+
+
+def test_compaction_is_one_job_and_hides_its_drafts(spark, monkeypatch):
+    """Two hundred partitions at once; while folders are exchanged, and behind a run that was cut off, no row is seen twice."""
+    path = run_dir(spark, "wide")
+    rows = spark.range(4000).select("id", F.format_string("%03d", F.col("id") % 200).alias("part"))
+    rows.repartition(3).write.partitionBy("part").parquet(path)
+    calls, rename, writes = [], sinks._rename, []
+
+    def watched(session, source, target):
+        calls.append(target)
+        if len(calls) in (1, 2, 250):  # a reader in between
+            df = spark.read.parquet(path)
+            assert df.count() == df.distinct().count() and set(df.columns) == {"id", "part"}
+            writes.append(df.count())
+        if len(calls) == 301:
+            raise RuntimeError("cut off")
+        return rename(session, source, target)
+
+    monkeypatch.setattr(sinks, "_rename", watched)
+    with pytest.raises(RuntimeError, match="cut off"):
+        sinks.compact(spark, path)
+    assert min(writes) >= 4000 - 20  # one folder at most is away
+    df = spark.read.parquet(path)
+    assert df.count() == df.distinct().count() >= 4000 - 20
+    monkeypatch.setattr(sinks, "_rename", rename)
+    stats = sinks.compact(spark, path)
+    assert stats["files_after"] == 200
+    df = spark.read.parquet(path)
+    assert df.count() == df.distinct().count() == 4000
+    assert not [n for n in os.listdir(path) if n.startswith("_re")] and "part=007" in os.listdir(path)
+
+
+def test_a_load_touches_its_own_partitions_only(spark):
+    path = run_dir(spark, "silver")
+
+    def load(ids, status, at):
+        return spark.createDataFrame([(f"o{i}", status, at) for i in ids], "order_id string, status string, at string")
+
+    assert len(sinks.merge_load(load(range(500), "NEW", "1"), path, ["order_id"], ["at"], 16)) == 16
+    before = files_of(path)
+    touched = sinks.merge_load(load([3, 3, 9999], "DONE", "2"), path, ["order_id"], ["at"], 4)  # keeps its sixteen
+    after = files_of(path)
+    assert 0 < len(touched) <= 2 and all(t.startswith("hash_16=") for t in touched)
+    kept = {f for f in before if not any(f"/{t}/" in f for t in touched)}
+    assert kept and all(after[f] == before[f] for f in kept)
+    got = {r.order_id: r.status for r in sinks.merged_table(spark, path).collect()}
+    assert got == {f"o{i}": "NEW" for i in range(500)} | {"o3": "DONE", "o9999": "DONE"}
+    sinks.merge_load(load([5], "MORE", "3").withColumn("extra", F.lit(1)), path, ["order_id"], ["at"])
+    found = {r.order_id: r.extra for r in sinks.merged_table(spark, path).collect()}
+    assert len(found) == 501 and found["o5"] == 1 and found["o6"] is None
+    assert sinks.merge_load(load([], "X", "4"), path, ["order_id"], ["at"]) == []
+    assert sinks.merged_table(spark, path).count() == 501
+
+
+def test_metrics_of_the_batch_job_come_from_its_writes(spark):
+    from harborlight.medallion import Medallion
+
+    job = Medallion(spark, run_dir(spark, "job"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    job.write("gold/x", spark.range(10).withColumn("delay_days", F.col("id") % 3), F.max("id").alias("most"))
+    assert job.metrics["gold/x"] == {"rows": 10, "most": 9}
+    assert job.read("gold/x").count() == 10
+
+
 def test_backfill_modes(spark):
     path = run_dir(spark, "fill")
     order = ["created_at"]
