@@ -17,23 +17,26 @@ back to the block, where the texts are summed up; so what is moved follows the d
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harborlight.llm.common import saved, whole
+from harborlight import session
+from harborlight.llm.common import parallelism, saved, whole
 from harborlight.llm.language_id import fold
 
 DEPTH = 5              # bytes of the longest context; 5 at most, so that context, byte and text fit into 64 bits
 TOP = 3                # levels that are aggregates over all tasks
 BLOCK = 24 << 20       # bytes of text in a block
-PIECE = 4 << 20        # bytes that are worked on at once
+PIECE = 1 << 20        # bytes that are worked on at once
 ROWS = 1 << 20         # contexts that a task works out at once, and the rest of the last group
 END = b"\n"
 
@@ -77,21 +80,39 @@ def body(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + END
 
 
-def blocks(docs: DataFrame, train: Column, size: int = BLOCK) -> DataFrame:
-    """(block, doc_id, train, body); a block is a run of rows of one partition, with ``size`` bytes or one longer text."""
+PACKS = "block long, ids array<long>, train array<boolean>, length array<long>, bodies binary"
+
+
+def packs(docs: DataFrame, train: Column, size: int = BLOCK) -> DataFrame:
+    """Bodies, compressed together: (block, ids, train, length, bodies).
+
+    A block is a run of rows of one partition, with ``size`` bytes or one longer text; a pack is what one batch of rows has of it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, at = TaskContext.get().partitionId(), 0
+        task, at, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
         for batch in batches:
             bodies = [body(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            before = at + np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype(np.int64)
+            length = np.array([len(b) for b in bodies], np.int64)
+            before = at + np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
             at = int(before[-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((np.int64(task) << 32) + before[:-1] // size), batch.column(0), batch.column(1),
-                 pa.array(bodies, pa.binary())], ["block", "doc_id", "train", "body"])
+            block = (np.int64(task) << 32) + before[:-1] // size
+            for k in np.unique(block):
+                lo, hi = np.searchsorted(block, [k, k + 1])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([k]), pa.array([batch.column(0)[lo:hi].to_pylist()], pa.list_(pa.int64())),
+                    pa.array([batch.column(1)[lo:hi].to_pylist()], pa.list_(pa.bool_())),
+                    pa.array([length[lo:hi]], pa.list_(pa.int64())),
+                    pa.array([pack.compress(b"".join(bodies[lo:hi]))], pa.binary())], ["block", "ids", "train", "length", "bodies"])
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), whole().alias("text"))
-    return rows.mapInArrow(run, "block long, doc_id long, train boolean, body binary")
+    return rows.mapInArrow(run, PACKS)
+
+
+def unpacked(length: list[int], packed: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(packed) if length else b""
+    ends = np.cumsum(length)
+    return [data[e - n:e] for e, n in zip(ends.tolist(), length, strict=True)]
 
 
 def pieces(bodies: Iterable[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -136,51 +157,95 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def counted(bodies: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def counted(bodies: Iterable[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of the bodies and how often each stands there."""
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    keys, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     for key, _ in pieces(bodies, depth):
         key.sort()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         keys.append(key[first])
         counts.append(np.diff(np.append(first, len(key))))
+        held += len(first)
+        if held > ROWS + 2 * len(keys[0]):  # what is held stays a few times the result
+            one = summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, held = [one[0]], [one[1]], 0
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
-REQUESTS = "block long, key long, word binary, n long"
+def chunks(bodies: Iterable[bytes], size: int) -> Iterator[list[bytes]]:
+    """The bodies in lists of about ``size`` bytes."""
+    held, n = [], 0
+    for b in bodies:
+        held.append(b)
+        n += len(b)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def counted_words(bodies: Iterable[bytes], bits: int) -> np.ndarray:
+    """Rows (key, check, count) of the distinct words of the bodies, in order."""
+    found = [np.zeros((0, 3), np.int64)]
+    for part in chunks(bodies, PIECE):
+        words = Counter(w for b in part for w in b.split())
+        found.append(np.stack([*word_keys(list(words), bits), np.fromiter(words.values(), np.int64, len(words))], axis=1))
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
+    return np.column_stack([rows[first, :2], np.add.reduceat(rows[:, 2], first) if len(rows) else np.zeros(0, np.int64)])
+
+
+REQUESTS = "block long, key long, check long, n long"
 
 
-def requests(texts: DataFrame, depth: int) -> DataFrame:
-    """What each block asks for: its distinct keys, and its distinct words, with their counts in training texts."""
+def word_keys(words: Sequence[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, check) of words: a negative number from ``bits`` of one hash, and another hash that tells words with equal keys apart."""
+    key = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    check = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    return (key & np.uint64((1 << bits) - 1) | np.uint64(1 << 63)).view(np.int64), check.view(np.int64)
+
+
+def requests(texts: DataFrame, depth: int, bits: int) -> DataFrame:
+    """What each block asks for: its distinct contexts with their byte, and its distinct words, with their counts in training texts."""
     def asked(block: int, bodies: dict[bool, list[bytes]]) -> Iterator[pa.RecordBatch]:
         keys, n = counted(bodies[True], depth)
         other, _ = counted(bodies[False], depth)
         keys, n = summed(np.concatenate([keys, other]), np.concatenate([n, np.zeros(len(other), np.int64)]))
-        words = Counter(w for b in bodies[True] for w in b.split())
-        for b in bodies[False]:
-            for w in b.split():
-                words[w] += 0
-        k, m = len(keys), len(words)
+        words, more = counted_words(bodies[True], bits), counted_words(bodies[False], bits)
+        more[:, 2] = 0  # a word of both kinds asks twice
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(k + m, block, np.int64)),
-            pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(m, pa.int64())]),
-            pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array(list(words), pa.binary())]),
-            pa.array(np.concatenate([n, np.fromiter(words.values(), np.int64, m)]))], ["block", "key", "word", "n"])
+            pa.array(np.full(len(keys) + len(words) + len(more), block, np.int64)),
+            pa.array(np.concatenate([keys.view(np.int64), words[:, 0], more[:, 0]])),
+            pa.array(np.concatenate([np.zeros(len(keys), np.int64), words[:, 1], more[:, 1]])),
+            pa.array(np.concatenate([n, words[:, 2], more[:, 2]]))], ["block", "key", "check", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, bodies, size = None, {True: [], False: []}, 0
         for batch in batches:
-            for b, train, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-                if b != block or size > BLOCK:  # a part of a block may ask by itself
+            for r in batch.select(["block", "train", "length", "bodies"]).to_pylist():
+                if r["block"] != block or size > BLOCK:  # a part of a block may ask by itself
                     if size:
                         yield from asked(block, bodies)
-                    block, bodies, size = b, {True: [], False: []}, 0
-                bodies[train].append(text)
-                size += len(text)
+                    block, bodies, size = r["block"], {True: [], False: []}, 0
+                for train, text in zip(r["train"], unpacked(r["length"], r["bodies"]), strict=True):
+                    bodies[train].append(text)
+                    size += len(text)
         if size:
             yield from asked(block, bodies)
 
-    return texts.select("block", "train", "body").mapInArrow(run, REQUESTS)
+    return texts.select("block", "train", "length", "bodies").mapInArrow(run, REQUESTS)
+
+
+def dealt(rows: DataFrame, label: str) -> DataFrame:
+    """Write a table in buckets by ``key``, so that it is shuffled once for all that is done by key."""
+    spark, n = rows.sparkSession, parallelism(rows.sparkSession)
+    path = session.run_dir(spark, label)
+    name = "harborlight_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    rows.repartition(n, "key").write.format("parquet").mode("errorifexists").option("path", path).option(
+        "compression", "zstd").bucketBy(n, "key").saveAsTable(name)
+    return spark.table(name)
 
 
 # -- the tree -------------------------------------------------------------
@@ -343,51 +408,64 @@ def _sums(bodies: list[bytes], keys: np.ndarray, log_p: np.ndarray, depth: int)
     return out
 
 
-def scored(docs: DataFrame, train: Column, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+def scored(docs: DataFrame, train: Column, depth: int = DEPTH, block: int = BLOCK, word_bits: int = 63) -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
     Learns from the rows where ``train`` is true and scores all. ``score`` is log10 of the probability of the
     whole text under the tree, its end included, over ``n_bytes`` bytes. ``base_score`` is that of an
     add-one model of whole words and the end over ``n_tokens`` tokens, of which ``n_known`` stand in
-    the ``train_tokens`` tokens of training; words are compared by content.
+    the ``train_tokens`` tokens of training; words are told apart by 127 bits of two hashes
+    (``word_bits`` makes equal keys frequent in tests).
 
     Texts of any length are cut in overlapping parts; null counts as empty and still has its end. Without training rows every
     bit has one half. Rows given twice count twice and come twice; other columns are not read; an empty table gives no rows.
     """
     if not TOP <= depth <= DEPTH:
         raise ValueError("depth must be from 3 to 5")
-    texts = saved(blocks(docs, train, block), "bodies")
-    asked = saved(requests(texts, depth), "requests")
+    texts = saved(packs(docs, train, block), "bodies")
+    asked = dealt(requests(texts, depth, word_bits), "requests")
+    counts = saved(asked.groupBy("key", "check").agg(F.sum("n").alias("n")), "keys")
     ctx = F.shiftright("key", 8).bitwiseAND((1 << 8 * TOP) - 1)
-    keys = saved(asked.filter("key IS NOT NULL").select(ctx.alias("ctx"), "key", "n").repartition("ctx").groupBy(
-        "ctx", "key").agg(F.sum("n").alias("n")), "keys")
-    found = saved(log_probabilities(keys, depth), "probabilities")
-    words = saved(asked.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    found = saved(log_probabilities(counts.filter("key >= 0").select(ctx.alias("ctx"), "key", "n"), depth), "probabilities")
+    words = counts.filter("key < 0")
     # three numbers come back: words, distinct words, and training texts, each of which has one end
-    whole_counts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
-    ends = texts.filter("train").count()
-    total, distinct = whole_counts.n + ends, whole_counts.v + (ends > 0)
-    answers = asked.filter("key IS NOT NULL").select("block", "key").join(found, "key").select(
-        "block", "key", "log_p", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n")).unionByName(
-        asked.filter("word IS NOT NULL").select("block", "word").join(words, "word").select(
-            "block", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("log_p"), "word", "n"))
+    held = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
+    ends = texts.agg(F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0)).alias("n")).first().n
+    total, distinct = held.n + ends, held.v + (ends > 0)
+    values = found.select("key", F.lit(0).cast("long").alias("right_check"), F.col("log_p").alias("value")).unionByName(
+        words.select("key", F.col("check").alias("right_check"), F.col("n").cast("double").alias("value")))
+    # not an equality of columns, so that the buckets by key still do for the join
+    answers = asked.select("block", "key", "check").join(values, "key").filter(
+        F.col("check").bitwiseXOR(F.col("right_check")) == 0).select("block", "key", "check", "value")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = right.filter(pa.compute.is_valid(right.column("key")))
-        keys, log_p = known.column("key").to_numpy().view(np.uint64), known.column("log_p").to_numpy()
-        keys, first = np.unique(keys, return_index=True)
-        bodies = left.column("body").to_pylist()
-        score = _sums(bodies, keys, log_p[first], depth)
-        named = right.filter(pa.compute.is_valid(right.column("word")))
-        counts = dict(zip(named.column("word").to_pylist(), named.column("n").to_pylist(), strict=True))
+        key, check, value = (right.column(c).to_numpy() for c in ("key", "check", "value"))
+        order = np.lexsort((check, key))  # parts of a block may have asked for the same
+        key, check, value = key[order], check[order], value[order]
+        first = int(np.searchsorted(key, 0))
+        keys, at = np.unique(key[first:], return_index=True)
+        rows = left.select(["ids", "train", "length", "bodies"]).to_pylist()
+        bodies = [b for r in rows for b in unpacked(r["length"], r.pop("bodies"))]
+        score = _sums(bodies, keys.view(np.uint64), value[first:][at], depth)
         n_tokens, n_known, base = [], [], []
-        for b in bodies:
-            c = np.array([*map(counts.__getitem__, b.split()), ends], np.int64)
-            n_tokens.append(len(c))
-            n_known.append(int((c > 0).sum()))
-            base.append(float(np.log10((c + 1) / (total + distinct + 1)).sum()))
+        for part in chunks(bodies, PIECE):
+            split = [b.split() for b in part]
+            names = list({w for ws in split for w in ws})
+            asked_key, asked_check = word_keys(names, word_bits)
+            place = np.searchsorted(key[:first], asked_key)
+            wrong = check[place] != asked_check
+            while wrong.any():  # words with equal keys stand side by side
+                place[wrong] += 1
+                wrong = check[place] != asked_check
+            n_of = dict(zip(names, value[place].astype(np.int64).tolist(), strict=True))
+            for ws in split:
+                c = np.array([*map(n_of.__getitem__, ws), ends], np.int64)
+                n_tokens.append(len(c))
+                n_known.append(int((c > 0).sum()))
+                base.append(float(np.log10((c + 1) / (total + distinct + 1)).sum()))
         return pa.table({
-            "doc_id": left.column("doc_id"), "train": left.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()),
+            "doc_id": pa.array([i for r in rows for i in r["ids"]], pa.int64()),
+            "train": pa.array([t for r in rows for t in r["train"]], pa.bool_()), "n_tokens": pa.array(n_tokens, pa.int64()),
             "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(bodies), pa.int64()),
             "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
             "n_bytes": pa.array([len(b) for b in bodies], pa.int64())})

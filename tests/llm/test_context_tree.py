@@ -116,6 +116,16 @@ def test_scores_against_the_recursion(spark, monkeypatch, depth, block, piece, r
     assert any(held) and min(r[6] for r in got) < -20
 
 
+def test_words_with_equal_keys(spark):
+    """Words that one hash does not tell apart are told apart by the other."""
+    prepare(spark)
+    data = texts(8)
+    held = [i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in data]
+    docs = spark.createDataFrame([(*r, "b", "k", "w", 1, "t") for r in data], SCHEMA).repartition(2)
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9)) for r in ct.scored(docs, ct.fold(7) != 2, word_bits=1).collect()), key=str)
+    assert got == sorted(((r[0], r[2], r[3], round(r[5], 9)) for r in expected(data, held, 3)), key=str)
+
+
 def test_long_text_in_parts(monkeypatch):
     rng = random.Random(2)
     bodies = [bytes(rng.randrange(97, 101) for _ in range(n)) + b"\n" for n in (0, 5, 3000, 1, 700)]
@@ -159,3 +169,16 @@ def test_probabilities_of_all_bytes_sum_to_one(spark):
     assert len(p) == len(asked)
     assert abs(sum(p[base | b] for b in range(256)) - 1) < 1e-9
     assert max(range(256), key=lambda b: p[base | b]) == ord("r")
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_groups_stay_whole(monkeypatch, rows):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ct, "ROWS", rows)
+    group = [1, 1, 1, 2, 3, 3, 3, 3, 4, 5, 5]
+    batches = [pa.RecordBatch.from_pydict({"g": group[a:b]}) for a, b in ((0, 2), (2, 2), (2, 6), (6, 7), (7, 11))]
+    found = [t.column(0).to_pylist() for t in ct._groups(iter(batches))]
+    assert [x for t in found for x in t] == group
+    assert not any(a[-1] == b[0] for a, b in zip(found, found[1:]))
+    assert len(found) == {1: 4, 3: 3, 1000: 1}[rows] or len(found) > 1
