@@ -166,23 +166,27 @@ SELECT doc_id, domain, language, source_name, tokens, budget::BIGINT AS budget,
 """
 
 
+LEVELS = 10  # segments that the check SQL follows; the tables have fewer
+
+
 def _depth(d: int) -> str:
     """One level of the template trees."""
+    ends = "bb = 0 OR bb = ll" if d >= url_filter.DEPTH else "false"
     return f"""
-h{d} AS MATERIALIZED (SELECT *, segs[{d + 1}] AS seg FROM t{d}),
+h{d} AS MATERIALIZED (SELECT *, CASE WHEN NOT done THEN segs[{d + 1}] END AS seg FROM t{d}),
 k{d} AS MATERIALIZED (SELECT host, t, seg, count(*) AS n, count(bad) AS l, coalesce(sum(bad), 0) AS b FROM h{d}
   WHERE seg IS NOT NULL GROUP BY ALL),
 n{d} AS (SELECT host, t, count(*) AS kids, sum(n) AS pages, sum(l) AS ll, sum(b) AS bb,
   sum(CASE WHEN regexp_matches(seg, '[0-9]') THEN n ELSE 0 END) AS digits FROM k{d} GROUP BY ALL),
-w{d} AS (SELECT *, kids > {url_filter.CHILDREN} OR digits * 2 > pages OR (kids >= {url_filter.FEW} AND kids * 2 > pages) AS wild
-  FROM n{d}),
-s{d} AS (SELECT k.host, k.t, k.seg FROM k{d} k JOIN w{d} w ON k.host = w.host AND k.t = w.t
-  WHERE NOT wild AND ll > 0 AND (b * ll::DOUBLE - l * bb::DOUBLE) * (b * ll::DOUBLE - l * bb::DOUBLE)
-    <= {url_filter.Z2} * l * bb::DOUBLE * (ll - bb)),
-t{d + 1} AS MATERIALIZED (SELECT h.page_id, h.host, h.path, h.rule, h.ruled, h.bad, h.segs, h.t || CASE
-  WHEN h.seg IS NULL THEN '' WHEN wild THEN '/*' WHEN s.seg IS NOT NULL THEN '/~' ELSE '/' || h.seg END AS t
-  FROM h{d} h LEFT JOIN w{d} w ON h.host = w.host AND h.t = w.t
-  LEFT JOIN s{d} s ON h.host = s.host AND h.t = s.t AND h.seg = s.seg),"""
+s{d} AS (SELECT host, t, seg, {ends} AS ends, CASE WHEN {ends} THEN '/**'
+    WHEN wild AND differs AND l >= {url_filter.FEW} THEN '/' || seg WHEN wild THEN '/*'
+    WHEN differs OR ll = 0 THEN '/' || seg ELSE '/~' END AS step
+  FROM (SELECT *, digits * 2 > pages OR (kids >= {url_filter.FEW} AND kids * 2 > pages) AS wild,
+    (b * ll::DOUBLE - l * bb::DOUBLE) * (b * ll::DOUBLE - l * bb::DOUBLE) > {url_filter.Z2} * l * bb::DOUBLE * (ll - bb) AS differs
+    FROM k{d} JOIN n{d} USING (host, t))),
+t{d + 1} AS MATERIALIZED (SELECT h.page_id, h.host, h.path, h.rule, h.ruled, h.bad, h.segs, h.t || coalesce(step, '') AS t,
+  h.done OR coalesce(ends, false) AS done
+  FROM h{d} h LEFT JOIN s{d} s ON h.host = s.host AND h.t = s.t AND h.seg = s.seg),"""
 
 
 ORACLE_URLS = rf"""
@@ -194,10 +198,9 @@ r(verdict, rule, h, p) AS (VALUES {", ".join(
 m AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, length(h) DESC, rule) AS i
   FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
 t0 AS (SELECT u.*, rule, verdict AS ruled, CASE verdict WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad,
-  list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS t FROM u LEFT JOIN m ON u.page_id = m.page_id AND i = 1),
-{"".join(_depth(d) for d in range(url_filter.DEPTH))}
-f AS MATERIALIZED (SELECT *, t || CASE WHEN len(segs) > {url_filter.DEPTH} THEN '/**' ELSE '' END AS template
-  FROM t{url_filter.DEPTH}),
+  list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS t, false AS done FROM u LEFT JOIN m ON u.page_id = m.page_id AND i = 1),
+{"".join(_depth(d) for d in range(LEVELS))}
+f AS MATERIALIZED (SELECT *, t AS template FROM t{LEVELS}),
 own AS (SELECT host, template, count(bad) AS l, count(bad) - coalesce(sum(bad), 0) AS good FROM f GROUP BY ALL),
 sh AS (SELECT template, sum(l) AS shape_l, sum(good) AS shape_good FROM own GROUP BY ALL),
 e AS (SELECT (coalesce(sum(good), 0) + 1.0::DOUBLE) / (coalesce(sum(l), 0) + 2.0::DOUBLE) AS base FROM own),

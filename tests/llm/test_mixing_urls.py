@@ -88,9 +88,39 @@ def test_templates(spark):
     for i in range(40):
         rows += [("h", f"/good/{i}", 0), ("h", f"/fine/{i}", 0), ("h", f"/bad/{i}", 1), ("h", f"/new/{i}", None), ("g", f"/x{i}y", None)]
     rows += [("h", "/" + "a/" * 12, None), ("h", "/", 0), ("h", "/good/3", 0)]
-    df = spark.createDataFrame(rows, "host string, path string, bad int")
+    df = spark.createDataFrame(rows, "host string, path string, bad int").withColumn("n", F.lit(1))
     found = {(r.host, r.path): r.template for r in url_filter.templates(df).collect()}
     assert found["h", "/bad/3"] == "/bad/*" and found["g", "/x3y"] == "/*" and found["h", "/"] == ""
     assert found["h", "/good/3"] in ("/~/*", "/good/*") and found["h", "/good/3"].endswith("/*")
     assert found["h", "/new/1"] == "/~/*"
     assert found["h", "/" + "a/" * 12].endswith("/**")
+
+
+@pytest.mark.parametrize("sections", [64, 65, 300])
+def test_sections_of_any_number_are_judged_alike(spark, sections):
+    """Half of the sections are bad; each is told by its own labels."""
+    prepare(spark)
+    name = lambda k: "sec" + chr(97 + k // 26 % 26) + chr(97 + k % 26) + "x" * (k // 676)
+    rows = [("h", f"/{name(k)}/{i}", k % 2, 1) for k in range(sections) for i in range(20)]
+    df = spark.createDataFrame(rows, "host string, path string, bad int, n int")
+    found = {r.path: (r.template, r.bad) for r in url_filter.templates(df).collect()}
+    assert {t for t, _ in found.values()} == {f"/{name(k)}/*" for k in range(sections)}
+
+
+def test_a_bad_branch_stays_out_of_a_wildcard(spark):
+    """Values of a wildcard node with enough labels that differ have a template of their own; single odd pages do not."""
+    prepare(spark)
+    rows = [("h", f"/{i}/p", 0, 1) for i in range(200)] + [("h", f"/777/{c}", 1, 1) for c in "abcdefgh"] + [("h", "/999/q", 1, 1)]
+    df = spark.createDataFrame(rows, "host string, path string, bad int, n int")
+    found = {r.path: r.template for r in url_filter.templates(df).collect()}
+    assert found["/777/a"].startswith("/777") and found["/3/p"].startswith("/*") and found["/999/q"].startswith("/*")
+
+
+def test_labels_that_differ_below_depth_eight(spark):
+    prepare(spark)
+    deep = "/" + "/".join("abcdefghi")
+    rows = [("h", f"{deep}/{side}/{c}", int(side == "bad"), 1) for side in ("good", "bad") for c in "klmnopqrst"]
+    df = spark.createDataFrame(rows, "host string, path string, bad int, n int")
+    found = {r.path: r.template for r in url_filter.templates(df).collect()}
+    assert found[f"{deep}/good/k"] != found[f"{deep}/bad/k"]
+    assert {t.endswith("/**") for t in found.values()} == {True}
