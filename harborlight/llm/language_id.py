@@ -26,7 +26,8 @@ UNKNOWN = "und"
 STRETCH = 32       # bytes of a word that are read as one sequence
 UNITS = 12         # hidden units for each direction
 STEPS, BATCH = 700, 256
-PER_LANGUAGE = 250  # training documents for each language
+PER_LANGUAGE = 250  # training documents for each language at most
+TRAINING = 4000    # training documents in all at most, but one for each language
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -105,14 +106,15 @@ class Network:
         return logits
 
     def train(self, words: list[list[bytes]], steps: int = STEPS, batch: int = BATCH, seed: int = 7) -> None:
-        """Fit by Adam; words[k] are words of language k, drawn alike for every language."""
+        """Fit by Adam; words[k] are words of language k, drawn alike for every language. Long words are drawn by stretches, as they are read."""
+        words = [[s for w in ws for s in stretches(w)] for ws in words]
         rng = np.random.default_rng(seed)
         params = [self.out, *(p for c in self.cells for p in (c.inputs, c.state))]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         u = self.cells[0].state.shape[0]
         for step in range(1, steps + 1):
             truth = rng.integers(0, len(words), batch)
-            codes = padded([words[k][rng.integers(len(words[k]))][:STRETCH] for k in truth])
+            codes = padded([words[k][rng.integers(len(words[k]))] for k in truth])
             both, tape_l, tape_r = self._states(codes, keep=True)
             logits = both @ self.out
             p = np.exp(logits - logits.max(axis=2, keepdims=True))
@@ -132,6 +134,11 @@ class Network:
                 p_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
+def stretches(word: bytes) -> list[bytes]:
+    """A word in parts of STRETCH bytes; the last may be shorter."""
+    return [word[k:k + STRETCH] for k in range(0, len(word), STRETCH)]
+
+
 def padded(words: list[bytes]) -> np.ndarray:
     """Codes (time, rows) of words of up to STRETCH bytes; 256 pads."""
     width = max(map(len, words), default=0)
@@ -158,11 +165,11 @@ class Reader:
 
     def _read(self, words: list[bytes]) -> np.ndarray:
         """Per word: sum of probabilities over its letters' bytes, and their number."""
-        stretches = [(i, w[k:k + STRETCH]) for i, w in enumerate(words) for k in range(0, len(w), STRETCH)]
-        stretches.sort(key=lambda x: len(x[1]))
+        parts = [(i, s) for i, w in enumerate(words) for s in stretches(w)]
+        parts.sort(key=lambda x: len(x[1]))
         out = np.zeros((len(words), len(self.network.languages) + 1))
-        for at in range(0, len(stretches), self.ROWS):
-            part = stretches[at:at + self.ROWS]
+        for at in range(0, len(parts), self.ROWS):
+            part = parts[at:at + self.ROWS]
             codes = padded([w for _, w in part])
             held = LETTER[codes]
             p = np.einsum("trk,tr->rk", self.network.label(codes), held.astype(np.float32))
@@ -185,38 +192,62 @@ class Reader:
         return out[:, :-1] / np.maximum(out[:, -1:], 1)
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, steps: int = STEPS) -> Network:
-    """Train on up to ``per_language`` documents of each value of lang.
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, steps: int = STEPS, most: int = TRAINING) -> Network:
+    """Train on up to ``per_language`` documents of each value of lang, and about ``most`` in all.
 
-    Of a language's rows with letters, those with the smallest hash of doc_id and
-    text are taken. Only ids and the sampled texts come to the driver, bounded for
-    each language. Rows without lang or text are left out.
+    Every language with rows that have letters is learned, with an equal share of the sample. Of a language's rows those with the smallest hash of doc_id and
+    text are taken. Only the sampled texts come to the driver. Rows without lang or text are left out.
     """
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(
+    texts = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = texts.select(
         "lang", F.xxhash64("doc_id", "text").alias("h"), F.rlike("text", F.lit(r"\p{L}")).alias("letters"),
     ).filter("letters")
     counts = rows.groupBy("lang").count().collect()
-    names = sorted(r["lang"] for r in counts)
+    if not counts:
+        return Network([])
+    each = max(1, min(per_language, most // len(counts)))
     # hashes spread evenly, so twice the wanted share of them holds the smallest ones of a language
-    below = [(r["lang"], min(int(min(1.0, (2 * per_language + 50) / r["count"]) * 2**64) - 2**63, 2**63 - 1)) for r in counts]
+    below = [(r["lang"], min(int(min(1.0, (2 * each + 50) / r["count"]) * 2**64) - 2**63, 2**63 - 1)) for r in counts]
     limits = labelled.sparkSession.createDataFrame(below, "lang string, most long")
     order = W.partitionBy("lang").orderBy("h")
-    picked = rows.join(F.broadcast(limits), "lang").filter("h <= most").select("lang", "h", F.row_number().over(order).alias("n")).filter(
-        F.col("n") <= per_language).select("h").distinct().collect()
-    wanted = [r["h"] for r in picked]
-    sample = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(
-        F.xxhash64("doc_id", "text").isin(wanted)).select("lang", "text").distinct().collect() if wanted else []
-    words: dict[str, list[bytes]] = {n: [] for n in names}
+    picked = rows.join(limits, "lang").filter("h <= most").select("lang", "h", F.row_number().over(order).alias("n")).filter(
+        F.col("n") <= each).select("lang", "h").distinct()
+    sample = texts.withColumn("h", F.xxhash64("doc_id", "text")).join(picked, ["lang", "h"]).select("lang", "text").distinct().collect()
+    words: dict[str, list[bytes]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["text"])):
-        if r["lang"] in words:
-            words[r["lang"]] += [w for w in r["text"].encode().split() if LETTER[np.frombuffer(w, np.uint8)].any()]
-    names = [n for n in names if words[n]]
+        found = [w for w in r["text"].encode().split() if LETTER[np.frombuffer(w, np.uint8)].any()]
+        if found:
+            words.setdefault(r["lang"], []).extend(found)
+    names = sorted(words)
     network = Network(names)
     if len(names) > 1:
         network.train([words[n] for n in names], steps)
     return network
 
 
+def least_score(held: DataFrame, network: Network, share: float = 0.001) -> float:
+    """A score that rightly recognised documents hardly ever fall under, from labelled rows that were not learned from.
+
+    Halfway between the score of no knowledge, one over the number of languages, and the one that ``share`` of the rightly recognised rows fall
+    under, so it means the same at any number of languages. Without such rows it is the former.
+    """
+    n = len(network.languages)
+    if not n:
+        return 0.0
+    sent = held.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = Labeller(sent.value)
+        for batch in batches:
+            names, score = label(batch.column(1).cast(pa.binary()).to_pylist())
+            right = names == np.array(batch.column(0).to_pylist(), object)
+            yield pa.RecordBatch.from_arrays([pa.array(score[right.astype(bool)])], ["score"])
+
+    rows = held.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(run, "score double")
+    low = rows.agg(F.percentile_approx("score", share, 10_000)).first()[0]
+    return 1 / n if low is None else 1 / n + (low - 1 / n) / 2
+
+
 _LETTERS = re.compile(rb"[A-Za-z]")
 
 
