@@ -31,10 +31,10 @@ def arriving(t, job, lots=2):
     return out
 
 
-def keyed_orders(events, rows=F.lit(True)):
-    """Valid orders for which ``rows`` holds, and clock events."""
+def keyed_orders(events, rows=None):
+    """Valid orders for which ``rows`` holds, all without it, and clock events."""
     good = (F.size("errors") == 0) & (F.col("event_type") == "ORDER")
-    return keyed.with_clock(val.with_errors(events), good & rows).drop("errors")
+    return keyed.with_clock(val.with_errors(events), good if rows is None else good & rows).drop("errors")
 
 
 def valid_orders(events):
