@@ -17,6 +17,7 @@ it, a bounded number at a time.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ TASK_VARIANTS = 1 << 28   # variants a task goes through
 TASK_PRINTS = 1 << 24     # fingerprints a task holds
 WAVE_COPIES = 128         # copies of a fingerprint on the way at once
 LEAST_PARTS = 64
+FEW_PARTS = 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -73,9 +75,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 class Ball:
     """The flips within ``radius`` bits and the linear hash that deals variants out."""
 
-    def __init__(self, radius: int, part_bits: int, pass_bits: int):
+    def __init__(self, radius: int, part_bits: int, pass_bits: int, few: bool = False):
         self.part_bits, self.bits = part_bits, part_bits + pass_bits
         codes = np.random.default_rng(1).integers(0, 1 << 30, 64, dtype=np.int32)
+        if few:  # the partition is that of as many bits of the fingerprint; other flips stay in it
+            codes &= ~np.int32((1 << part_bits) - 1)
+            codes[:part_bits] |= np.int32(1) << np.arange(part_bits, dtype=np.int32)
         flips = [c for r in range(radius + 1) for c in itertools.combinations(range(64), r)]
         self.masks = np.array([sum(1 << b for b in c) for c in flips], np.uint64)
         self.codes = codes & ((1 << self.bits) - 1)
@@ -149,12 +154,13 @@ def _bits(n: float) -> int:
     return max(0, int(np.ceil(np.log2(max(n, 1)))))
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, **limits: int) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = RADIUS, few: bool = False, **limits: int) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` that connect all those within ``radius`` bits.
 
     Two fingerprints are connected by the edges exactly if a chain of
     fingerprints leads from one to the other with steps of at most ``radius`` bits.
-    Only the number of fingerprints comes to the driver.
+    Only the number of fingerprints comes to the driver. With ``few`` a partition is that of the lowest bits, which must be
+    evenly spread: a fingerprint is sent to fewer partitions, for many fingerprints and a small radius.
     """
     spark = prints.sparkSession
     n = prints.count()
@@ -165,10 +171,15 @@ def near_links(prints: DataFrame, radius: int = RADIUS, **limits: int) -> DataFr
     if n > held:
         parts = max(parts, n * ball / held)
     part_bits = _bits(parts)
+    sent = ball
+    if few:
+        part_bits = _bits(max(FEW_PARTS if n > 10_000 else 8, n * ball / task))
+        while n * (sent := sum(math.comb(part_bits, r) for r in range(half + 1))) > held << part_bits:
+            part_bits += 1
     pass_bits = _bits(n * ball / (1 << part_bits) / limits.get("pass_variants", PASS_VARIANTS))
     parts = 1 << part_bits
-    shape = Ball(half, part_bits, min(pass_bits, 12))
-    waves = -(-min(parts, ball) // limits.get("wave_copies", WAVE_COPIES))
+    shape = Ball(half, part_bits, min(pass_bits, 12), few)
+    waves = -(-min(parts, sent) // limits.get("wave_copies", WAVE_COPIES))
     found = None
     for wave in range(waves):
         lo, hi = parts * wave // waves, parts * (wave + 1) // waves
