@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ BLOCK = 64        # examples in a block
 COMMON = 20       # a term of one example in so many, and of 8 at least, is common
 ROUNDS = (6, 16)  # blocks opened for a text before its bounds are looked at again
 TEXTS = 512       # texts that are looked up at once
+FITTED = 64       # examples that are looked up at once on the driver
 EVIDENCE = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -89,11 +90,14 @@ class BlockMaxIndex:
         self.first = np.searchsorted(term[order], np.arange(terms + 1))
         self.places = place
 
-    def nearest_of(self, queries: Sequence[Vector], k: int, skip: np.ndarray | None = None) -> list[Vector]:
-        """For each query the k examples of largest positive cosine, ties to the smaller one; ``skip`` names one to leave out of each."""
+    def nearest_of(self, queries: Sequence[Vector], k: int, skip: np.ndarray | None = None, texts: int = TEXTS) -> list[Vector]:
+        """For each query the k examples of largest positive cosine, ties to the smaller one; ``skip`` names one to leave out of each.
+
+        ``texts`` are looked up at once, which bounds the memory.
+        """
         out: list[Vector] = []
-        for at in range(0, len(queries), TEXTS):
-            out += self._some(queries[at:at + TEXTS], k, None if skip is None else skip[at:at + TEXTS])
+        for at in range(0, len(queries), texts):
+            out += self._some(queries[at:at + texts], k, None if skip is None else skip[at:at + texts])
         return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> Vector:
@@ -156,19 +160,37 @@ class BlockMaxIndex:
 class Judge:
     """Vocabulary, index, and the curve from votes to probabilities."""
 
-    def __init__(self, examples: Sequence[tuple[int, str | Counter, int]], counts: dict[int, int]):
-        """examples: (doc_id, text or counts of its words, label); counts: labelled rows of each label in all of the training folds."""
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.labels = np.array([e[2] for e in examples], np.int64)
-        tokens = [Counter(words_of(e[1])) if isinstance(e[1], str) else e[1] for e in examples]
-        n = len(examples)
+    def __init__(self, examples: Iterable[tuple[int, str | Counter, int]], counts: dict[int, int]):
+        """examples: (doc_id, text or counts of its words, label); counts: labelled rows of each label in all of the training folds.
+
+        Examples are gone through once, and only the numbers of their words are kept.
+        """
+        ids, labels, held, seen = [], [], [], {}
+        for doc_id, text, label in examples:
+            words = Counter(words_of(text)) if isinstance(text, str) else text
+            codes = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))
+            by = np.argsort(codes)
+            held.append((codes[by], np.fromiter(words.values(), np.int32, len(words))[by]))
+            ids.append(doc_id)
+            labels.append(label)
+        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.int64)
+        n = len(held)
         # every term of the examples; copies of one set of words count once, so they make no term common
-        sets = {frozenset(t) for t in tokens}
-        df = Counter(w for t in sets for w in t)
-        kept = sorted(df)
+        sets = {codes.tobytes() for codes, _ in held}
+        df = np.zeros(len(seen), np.int64)
+        for codes in sets:
+            df[np.frombuffer(codes, np.int32)] += 1
+        kept = sorted(seen)
         self.terms = {w: i for i, w in enumerate(kept)}
-        self.idf = np.array([np.log((1 + len(sets)) / (1 + df[w])) + 1 for w in kept])
-        vectors = [self.vector(t) for t in tokens]
+        first = np.fromiter((seen[w] for w in kept), np.int64, len(kept))
+        place = np.empty(len(kept), np.int64)
+        place[first] = np.arange(len(kept))
+        self.idf = np.array([np.log((1 + len(sets)) / (1 + k)) + 1 for k in df[first].tolist()])
+        vectors = []
+        for codes, tf in held:
+            by = np.argsort(place[codes])
+            vectors.append(self.weighed(place[codes][by], tf[by].astype(float)))
+        del seen, held, sets
         self.index = BlockMaxIndex(vectors, len(kept))
         # every class weighs as it does among all labelled rows
         total = sum(counts.values()) or 1
@@ -176,7 +198,7 @@ class Judge:
         held = np.maximum(np.bincount(self.labels, minlength=2), 1)
         each = (share / held)[self.labels] * n
         self.base = (share[1] * 2 + 1) / 4 if not n else 0.0
-        votes = np.array([self.vote(*x) for x in self.index.nearest_of(vectors, NEAREST, np.arange(n))])
+        votes = np.array([self.vote(*x) for x in self.index.nearest_of(vectors, NEAREST, np.arange(n), FITTED)])
         alone = np.isnan(votes)
         self.base = float((each[alone] @ self.labels[alone] + share[1]) / (each[alone].sum() + 1)) if n else share[1]
         self.curve = _logistic(votes[~alone], self.labels[~alone], each[~alone])
@@ -247,8 +269,16 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Judge:
     chosen = docs.sparkSession.createDataFrame([(int(i),) for i in label], "doc_id long")  # ``examples`` rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).join(
         F.broadcast(chosen), "doc_id").distinct()
-    found = [(r["doc_id"], Counter(dict(zip(r["words"], r["n"], strict=True))), label[r["doc_id"]]) for r in word_counts(rows).collect()]
-    return Judge(sorted(found, key=lambda e: (e[0], sorted(e[1].items()))), counts)
+    found = word_counts(rows).toArrow()  # not as rows: a word takes its bytes only
+    ids, words, numbers = (found.column(k) for k in range(3))
+    times = Counter(ids.to_pylist())
+
+    def counted(i: int) -> Counter:
+        return Counter(dict(zip(words[i].as_py(), numbers[i].as_py(), strict=True)))
+
+    # several texts of an id in the order of their words
+    order = sorted(range(len(ids)), key=lambda i: (ids[i].as_py(), sorted(counted(i).items()) if times[ids[i].as_py()] > 1 else []))
+    return Judge(((ids[i].as_py(), counted(i), label[ids[i].as_py()]) for i in order), counts)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
