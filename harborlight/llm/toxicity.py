@@ -1,5 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
+A term's weight is its idf, times what it tells of the label: most words of a text tell nothing, and what they
+share would drown the few that do. Every term of the examples keeps its idf at least.
+
 The examples' vectors stand in an inverted index whose postings are cut into
 blocks of alike examples. Rare terms, those with the largest impact, are looked up for every text, so what they add to each example is
 known. Of the common terms the largest weight in each block is known. Both together bound the cosine
@@ -32,6 +35,7 @@ COMMON = 20       # a term of one example in so many, and of 8 at least, is comm
 ROUNDS = (6, 16)  # blocks opened for a text before its bounds are looked at again
 TEXTS = 512       # texts that are looked up at once
 FITTED = 64       # examples that are looked up at once on the driver
+CHANCE = 3.0      # standard deviations that a term's share of toxic examples may be off by chance
 EVIDENCE = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,6 +62,29 @@ def _alike(rows: np.ndarray, groups: int, rounds: int = 8) -> np.ndarray:
     return np.lexsort((np.arange(len(rows)), -near[np.arange(len(rows)), own], own))
 
 
+def _telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
+    """A factor of 1 or more for each term: by how many standard deviations beyond ``CHANCE`` its share of toxic examples is off.
+
+    toxic, clean: the examples of either label that hold the term. The deviation is the root of the likelihood ratio of both
+    shares against one. The side that is too frequent counts with an example less, so no example's own label makes its words tell.
+    """
+    n = n_toxic + n_clean
+    if not n_toxic or not n_clean:
+        return np.ones(len(toxic))
+    more = toxic * n_clean > clean * n_toxic
+    a = np.where(more, np.maximum(toxic - 1, 0), toxic)
+    b = np.where(more, clean, np.maximum(clean - 1, 0))
+
+    def part(seen: np.ndarray, share: float, of: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(share * of, 1e-9)), 0)
+
+    held, rest = a + b, n - a - b
+    ratio = 2 * (part(a, n_toxic / n, held) + part(b, n_clean / n, held)
+                 + part(n_toxic - a, n_toxic / n, rest) + part(n_clean - b, n_clean / n, rest))
+    still = (a * n_clean > b * n_toxic) == more  # without that example the share may lean to the other side
+    return 1 + np.where(still, np.maximum(np.sqrt(np.maximum(ratio, 0)) - CHANCE, 0), 0)
+
+
 class BlockMaxIndex:
     """Postings of unit vectors by term, in blocks of alike examples, with each block's largest weights.
 
@@ -176,16 +203,23 @@ class Judge:
         self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.int64)
         n = len(held)
         # every term of the examples; copies of one set of words count once, so they make no term common
-        sets = {codes.tobytes() for codes, _ in held}
-        df = np.zeros(len(seen), np.int64)
-        for codes in sets:
-            df[np.frombuffer(codes, np.int32)] += 1
+        sets: dict[bytes, list[int]] = {}
+        for (codes, _), label in zip(held, labels, strict=True):
+            marks = sets.setdefault(codes.tobytes(), [0, 0])
+            marks[label] += 1
+        df, toxic, n_toxic = np.zeros(len(seen), np.int64), np.zeros(len(seen)), 0.0
+        for codes, marks in sets.items():
+            at = np.frombuffer(codes, np.int32)
+            df[at] += 1
+            toxic[at] += marks[1] / sum(marks)
+            n_toxic += marks[1] / sum(marks)
         kept = sorted(seen)
         self.terms = {w: i for i, w in enumerate(kept)}
         first = np.fromiter((seen[w] for w in kept), np.int64, len(kept))
         place = np.empty(len(kept), np.int64)
         place[first] = np.arange(len(kept))
         self.idf = np.array([np.log((1 + len(sets)) / (1 + k)) + 1 for k in df[first].tolist()])
+        self.weights = self.idf * _telling(toxic[first], (df - toxic)[first], n_toxic, len(sets) - n_toxic)
         vectors = []
         for codes, tf in held:
             by = np.argsort(place[codes])
@@ -204,12 +238,12 @@ class Judge:
         self.curve = _logistic(votes[~alone], self.labels[~alone], each[~alone])
 
     def vector(self, counts: Counter) -> Vector:
-        """Unit TF-IDF vector: (1 + ln tf) times idf over the vocabulary."""
+        """Unit TF-IDF vector: (1 + ln tf) times idf and what the term tells, over the vocabulary."""
         held = sorted((self.terms[w], k) for w, k in counts.items() if w in self.terms)
         return self.weighed(np.array([t for t, _ in held], np.int64), np.array([k for _, k in held], float))
 
     def weighed(self, terms: np.ndarray, tf: np.ndarray) -> Vector:
-        weights = (1 + np.log(tf)) * self.idf[terms] if len(terms) else np.zeros(0)
+        weights = (1 + np.log(tf)) * self.weights[terms] if len(terms) else np.zeros(0)
         return terms, weights / np.linalg.norm(weights) if len(terms) else weights
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
