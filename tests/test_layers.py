@@ -5,7 +5,7 @@ import glob
 
 import pytest
 
-from harborlight.sources import layers
+from harborlight.sources import layers, sinks
 from harborlight.sources.derived import Tables
 
 
@@ -85,3 +85,48 @@ def test_settings_come_back(spark, tmp_path, waves):
     assert spark.conf.get("spark.sql.shuffle.partitions") == was
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
     assert layers.materialized(spark, "t", source, lambda: spark.read.parquet(source), bucket_by="id").count() == 5
+
+
+def test_merge_and_compact_in_runs(spark, tmp_path, waves):
+    """A load is merged and its table compacted a run of folders at a time, with the rows and files of one run."""
+    path = str(tmp_path / "t")
+    rows = lambda lo, hi, v: spark.range(lo, hi).selectExpr("id", f"{v} v", "id % 7 w").repartition(4)
+    assert len(sinks.merge_load(rows(0, 400, 1), path, ["id"], ["v"], 8)) == 8
+    assert len(sinks.merge_load(rows(300, 500, 2), path, ["id"], ["v"], 8)) == 8
+    found = {r.id: r.v for r in sinks.merged_table(spark, path).collect()}
+    assert found == {k: 2 if k >= 300 else 1 for k in range(500)} and sinks.merged_table(spark, path).count() == 500
+    spark.read.parquet(path).repartition(5).write.mode("append").partitionBy("hash_8").parquet(path)
+    jobs = []
+    kept = sinks.wave_count
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sinks, "wave_count", lambda size: jobs.append(kept(size)) or kept(size))
+        stats = sinks.compact(spark, path)
+    assert jobs == [3] and stats["files_before"] > 8 and stats["files_after"] == 8
+    assert sinks.merged_table(spark, path).count() == 1000
+    assert not glob.glob(f"{path}/_replacing*")
+
+
+def test_runs():
+    sizes = [(str(k), 1 + k % 3) for k in range(10)]
+    assert list(sinks._runs(sizes)) == [[n for n, _ in sizes]]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(layers, "WAVE_BYTES", 5)
+        runs = list(sinks._runs(sizes))
+        assert sum(runs, []) == [n for n, _ in sizes] and len(runs) == 4
+        assert list(sinks._runs([])) == [] and list(sinks._runs([("a", 0)])) == [["a"]]
+
+
+def test_batch_job_clears_its_shuffles(spark, tmp_path):
+    """A run of the batch job leaves no shuffle files of its writes."""
+    from pyspark.sql import functions as F
+
+    from harborlight.medallion import Feeds, Medallion
+
+    t = Tables(spark, folder_of_orders(spark, tmp_path / "in"))
+    job = Medallion(spark, str(tmp_path / "out"), t.order_anchor(), 2)
+    load = t.raw_orders()
+    feeds = Feeds(t.freight_rates(), t.wh_capacities(), t.derive_plant_ports(), t.products_per_plant(), t.suppliers())
+    before = shuffle_files(spark)
+    job.run(load, feeds, F.date_trunc("YEAR", F.col("created_at")), "1")
+    assert shuffle_files(spark) <= before
+    assert job.read("bronze/orders").count() == load.count()
